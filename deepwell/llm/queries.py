@@ -23,6 +23,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_toxic_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import find_toxic
+
+    return find_toxic(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -47,7 +53,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_bloom, op3_source_mixing, op5_best_fit_packing, op6_pii_semicrf, op9_superminhash, op10_suffix_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_bloom, op3_source_mixing, op4_toxic_zstd, op5_best_fit_packing, op6_pii_semicrf, op9_superminhash, op10_suffix_dedup)}
 
 #: DuckDB SQL for queries that SQL can express. None of these can be: they train models, hash with 64-bit
 #: words, tokenise or pack sequentially. tests/llm holds each against a brute-force version instead.

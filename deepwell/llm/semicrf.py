@@ -213,7 +213,7 @@ def _entity(r: random.Random, kind: str) -> str:
         return r.choice([whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))])
     value = r.choice([hexa(18), hexa(32), hexa(40), "".join(r.choice(string.ascii_letters + string.digits) for _ in range(20)) + "7"])
     key = r.choice(["password", "token", "secret", "api_key", "passwd", "access_key"])
-    return r.choice([f"{key}={value}", f'{key} = "{value}"', f"{key}: {value}", f"{key}='{value}'", "AKIA" + "".join(r.choice(string.ascii_uppercase + "234567") for _ in range(15)) + r.choice("234567"), "ghp_" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(30)) + "1"])
+    return r.choice([f"{key}={value}", f'{key} = "{value}"', f"{key}: {value}", f"{key}='{value}'", *["AKIA" + "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(15)) + r.choice(string.digits)] * 2, "ghp_" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(30)) + "1"])
 
 
 def _ascii(r: random.Random) -> str:
@@ -327,7 +327,7 @@ def fit(data: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 2, rat
 
 
 @lru_cache(maxsize=4)
-def model(sentences_used: int = 400, seed: int = 7) -> SemiCrf:
+def model(sentences_used: int = 500, seed: int = 7) -> SemiCrf:
     """The trained model; the generated training set's size and seed are its parameters."""
     return fit(sentences(sentences_used, seed))
 
