@@ -72,8 +72,9 @@ def span_features(span: str, before: str, after: str) -> tuple[str, ...]:
     """Of the whole segment ``span``, the character before it and the two after it."""
     digits = "".join(c for c in span if "0" <= c <= "9")
     shape = _RUNS.sub(r"\1", span.translate(_SHAPE))
-    out = ["bias", f"digits={min(len(digits), 20)}", f"length={min(len(span) // 4, 12)}"]
-    out.append("shape=" + (shape if len(shape) <= 9 else "long"))
+    out = ["bias"]
+    if not (_EMAIL.fullmatch(span) or _ASSIGN.fullmatch(span) or _KEY.fullmatch(span)):  # what is in these is arbitrary
+        out += [f"digits={min(len(digits), 20)}", f"length={min(len(span) // 4, 12)}", "shape=" + (shape if len(shape) <= 9 else "long")]
     out.append("before=" + ("edge" if not before else "space" if before[-1].isspace() else "word" if before[-1].isalnum() else "open" if before[-1] in "([{\"'<:" else "mark"))
     out.append("after=" + ("edge" if not after else "space" if after[0].isspace() else "word" if after[0].isalnum() or after[0] == "_" else "joined" if after[0] in ".-@" and after[1:].isalnum() else "stop" if after[0] in ".,;:!?)]}\"'>" else "mark"))
     if span[-1] in ".,;:!?-=@":

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +28,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+BROADCAST_BYTES = 8 << 20
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Of the files under a table that was read; from the file system, without a scan."""
+    spark = df.sparkSession
+    total = 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for file in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with the hint to broadcast it, if its files are at most ``limit`` bytes; else joins shuffle it."""
+    return F.broadcast(df) if stored_bytes(df) <= limit else df
