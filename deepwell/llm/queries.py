@@ -11,6 +11,12 @@ from .store import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fertility import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op2_language_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
@@ -41,6 +47,18 @@ def op6_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(table(spark, sf_dir, "documents"))
 
 
+def op7_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multiindex import near_pairs
+
+    return near_pairs(table(spark, sf_dir, "embeddings"))
+
+
+def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .superminhash import near_duplicates
 
@@ -53,7 +71,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_bloom, op3_source_mixing, op4_toxic_zstd, op5_best_fit_packing, op6_pii_semicrf, op9_superminhash, op10_suffix_dedup)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_token_fertility,
+        op2_language_bloom,
+        op3_source_mixing,
+        op4_toxic_zstd,
+        op5_best_fit_packing,
+        op6_pii_semicrf,
+        op7_inverted_multi_index,
+        op8_backoff_automaton,
+        op9_superminhash,
+        op10_suffix_dedup,
+    )
+}
 
 #: DuckDB SQL for queries that SQL can express. None of these can be: they train models, hash with 64-bit
 #: words, tokenise or pack sequentially. tests/llm holds each against a brute-force version instead.
