@@ -1,6 +1,548 @@
-"""The registered queries of the library's own operators, and the SQL they are held against."""
+"""The registered queries of the library's own operators, and the SQL they are held against.
+
+Each runs over its whole tables. Scores are rounded at the end only, as floats are summed in another order elsewhere.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from .functions import text as X
+from .functions import vectors as V
+from .functions.embedding import HashedNgrams, embed
+from .operators import chunking, context, dense, evaluation, filters, inverted, lexical, multiquery, rank, sparse, verification, versions
+from .sources import files, parsers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+DIM = 64
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("chunk_id", F.col("doc_id"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").withColumn("chunk_id", F.col("vec_id"))
+
+
+def _benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def _class_means(vectors: DataFrame) -> DataFrame:
+    """(qid, vector): the mean vector of each label."""
+    means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    return means.groupBy(F.col("label").cast("long").alias("qid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("vector"))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+_TOKENS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x))"
+_MEANS = "means AS (SELECT label::BIGINT AS qid, list(m ORDER BY i) AS vector FROM (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY label, i) GROUP BY label)"
+_BM25 = rf"""
+tokens AS (SELECT doc_id, {_TOKENS} AS ts FROM documents),
+post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tokens) GROUP BY doc_id, dl, term),
+stats AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM tokens),
+terms AS (SELECT DISTINCT item_id AS qid, unnest({_TOKENS}) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+scored AS (SELECT qid, doc_id, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_len))) AS score
+           FROM terms JOIN post USING (term) JOIN df USING (term), stats GROUP BY qid, doc_id)"""
+
+
+def _sql_top(source: str, k: int, key: str = "doc_id", out: str = "chunk_id") -> str:
+    return f"SELECT qid, {key} AS {out}, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, {key}) AS rank FROM {source}) WHERE rank <= {k}"
+
+
+# ---- lexical
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term")
+def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.document_frequency(lexical.postings(_documents(spark, sf_dir)))
+
+
+@query(f"SELECT doc_id AS chunk_id, len({_TOKENS}) AS dl FROM documents")
+def doc_len(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lengths(_documents(spark, sf_dir))
+
+
+@query(f"SELECT count(*) AS n, sum(len({_TOKENS}))::BIGINT AS total_len, round(avg(len({_TOKENS})), 6) AS avg_len FROM documents")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(lexical.corpus_stats(_documents(spark, sf_dir)), "avg_len")
+
+
+@query(f"WITH {_BM25} {_sql_top('scored', 10)}")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(lexical.bm25_top_k(_documents(spark, sf_dir), _benchmark_queries(spark, sf_dir), 10), "score")
+
+
+@query(f"WITH {_BM25}, ok AS (SELECT s.* FROM scored s JOIN documents d USING (doc_id) WHERE d.lang = 'en' AND d.n_chars >= 200) {_sql_top('ok', 10)}")
+def bm25_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    accept = filters.filtered(docs, {"lang": "en", "n_chars": {"$gte": 200}})
+    return _rounded(lexical.bm25_top_k(docs, _benchmark_queries(spark, sf_dir), 10, accept), "score")
+
+
+# ---- dense, sparse, hybrid
+
+_SCORE = {"cosine": "list_dot_product(vector, v) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(v, v)))", "dot": "list_dot_product(vector, v)", "l2": "-(list_dot_product(vector, vector) + list_dot_product(v, v) - 2 * list_dot_product(vector, v))"}
+
+
+def _dense_sql(metric: str, k: int, where: str = "true", queries: str = _MEANS, name: str = "means") -> str:
+    return f"WITH {queries}, scored AS (SELECT qid, vec_id, {_SCORE[metric]} AS score FROM {name}, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {where})) {_sql_top('scored', k, 'vec_id')}"
+
+
+_ALL = "everyone AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS vector FROM embeddings)"
+
+
+def _dense(spark: SparkSession, sf_dir: str, metric: str, where: dict | None = None) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    return _rounded(dense.dense_top_k(filters.filtered(vectors, where), _class_means(vectors), 10, DIM, metric), "score")
+
+
+@query(_dense_sql("cosine", 10))
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir, "cosine")
+
+
+@query(_dense_sql("dot", 10))
+def dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir, "dot")
+
+
+@query(_dense_sql("l2", 10))
+def l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir, "l2")
+
+
+@query(_dense_sql("cosine", 10, "label IN (1, 3, 5) AND label <> 3"))
+def dense_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir, "cosine", {"label": {"$in": [1, 3, 5], "$ne": 3}})
+
+
+@query(_dense_sql("cosine", 5, queries=_ALL, name="everyone"))
+def batch_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    everyone = vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("vector"))
+    return _rounded(dense.dense_top_k(vectors, everyone, 5, DIM), "score")
+
+
+_CODES = "coded AS (SELECT vec_id, embedding, list_transform(v, lambda x: greatest(-127, least(127, round(x / scale)))) AS codes, scale FROM (SELECT vec_id, embedding, v, list_max(list_transform(v, lambda x: abs(x))) / 127 AS scale FROM (SELECT vec_id, embedding, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings)))"
+
+
+@query(f"WITH {_CODES} SELECT vec_id, list_transform(codes, lambda x: x::INT) AS codes, round(scale, 9) AS scale FROM coded")
+def sq8_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = V.normalize(F.col("embedding"))
+    return _vectors(spark, sf_dir).withColumn("v", v).select("vec_id", V.int8_codes(F.col("v")).cast("array<int>").alias("codes"), F.round(V.int8_scale(F.col("v")), 9).alias("scale"))
+
+
+@query(_dense_sql("cosine", 10))
+def sq8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    return _rounded(dense.int8_top_k(vectors, _class_means(vectors), 10), "score")
+
+
+_LISTS = f"{_MEANS}, units AS (SELECT qid AS list_id, list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))) AS c FROM means), near AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_id, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_dot_product(embedding::DOUBLE[], c), 9) DESC, list_id) AS r FROM embeddings, units)"
+
+
+def _centroids(vectors: DataFrame):
+    import numpy as np
+
+    return dense.unit(np.array([r["vector"] for r in _class_means(vectors).orderBy("qid").collect()]))  # ten classes
+
+
+@query(f"WITH {_LISTS} SELECT vec_id, list_id FROM near WHERE r = 1")
+def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    return inverted.assign(vectors, _centroids(vectors)).select("vec_id", F.col("list_id").cast("long").alias("list_id"))
+
+
+@query(
+    f"WITH {_LISTS}, {_ALL}, probe AS (SELECT qid, list_id FROM (SELECT e.qid, u.list_id, row_number() OVER (PARTITION BY e.qid ORDER BY round(list_dot_product(e.vector, c), 9) DESC, u.list_id) AS r FROM everyone e, units u) WHERE r <= 3), "
+    f"scored AS (SELECT p.qid, n.vec_id, {_SCORE['cosine']} AS score FROM probe p JOIN near n ON n.r = 1 AND n.list_id = p.list_id JOIN everyone e ON e.qid = p.qid) {_sql_top('scored', 5, 'vec_id')}"
+)
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    centroids = _centroids(vectors)
+    everyone = vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("vector"))
+    return _rounded(inverted.list_top_k(inverted.assign(vectors, centroids), everyone, centroids, 5, 3), "score")
+
+
+@query()
+def ivf_pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    centroids = inverted.train_lists(vectors, DIM, vectors.count())
+    books = inverted.train_codes(vectors, DIM)
+    coded = inverted.encode(inverted.assign(vectors, centroids), books)
+    return _rounded(inverted.code_top_k(coded, _class_means(vectors), centroids, books, 10, 8), "score")
+
+
+_SPARSE = "post AS (SELECT vec_id, i AS dim, embedding[i + 1]::DOUBLE AS value FROM embeddings, range(64) t(i) WHERE abs(embedding[i + 1]) > 0.15::FLOAT)"
+
+
+def _sparse(vectors: DataFrame) -> DataFrame:
+    """Components beyond 0.15 as struct(indices, values)."""
+    big = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.abs(p["x"]) > F.lit(0.15).cast("float"))
+    return vectors.withColumn("sparse", F.struct(F.transform(big, lambda p: p["i"]).alias("indices"), F.transform(big, lambda p: p["x"]).alias("values")))
+
+
+@query(f"WITH {_SPARSE}, scored AS (SELECT a.vec_id AS qid, b.vec_id, sum(a.value * b.value) AS score FROM post a JOIN post b USING (dim) GROUP BY ALL) {_sql_top('scored', 5, 'vec_id')}")
+def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    post = sparse.sparse_postings(_sparse(_vectors(spark, sf_dir)))
+    return _rounded(sparse.sparse_top_k(post, post.withColumnRenamed("chunk_id", "qid"), 5), "score")
+
+
+_HYBRID = f"""{_BM25},
+lex AS (SELECT qid, doc_id AS id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS r FROM scored),
+dscored AS (SELECT item_id AS qid, e.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) AS score
+            FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e),
+den AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS r FROM dscored)"""
+
+
+def _hybrid_sql(dense_weight: float, lexical_weight: float, source: str = "both_") -> str:
+    return f"{source} AS (SELECT qid, id, sum(w / (60 + r)) AS score FROM (SELECT qid, id, r, {lexical_weight}::DOUBLE AS w FROM lex WHERE r <= 50 UNION ALL SELECT qid, id, r, {dense_weight}::DOUBLE FROM den WHERE r <= 50) GROUP BY qid, id)"
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors, asked = _vectors(spark, sf_dir), _benchmark_queries(spark, sf_dir)
+    near = asked.join(vectors, asked["qid"] == vectors["vec_id"]).select("qid", F.col("embedding").cast("array<double>").alias("vector"))
+    return dense.dense_top_k(vectors, near, 50, DIM), lexical.bm25_top_k(_documents(spark, sf_dir), asked, 50)
+
+
+@query(f"WITH {_HYBRID}, {_hybrid_sql(1, 1)} {_sql_top('both_', 10, 'id')}")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages against texts and vectors, fused by reciprocal rank."""
+    near, words = _signals(spark, sf_dir)
+    return _rounded(rank.top_k(rank.fuse([(near, 1.0), (words, 1.0)]), 10), "score")
+
+
+@query(f"WITH {_HYBRID}, {_hybrid_sql(0.3, 0.7)} {_sql_top('both_', 10, 'id')}")
+def weighted_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near, words = _signals(spark, sf_dir)
+    return _rounded(rank.top_k(rank.fuse([(near, 0.3), (words, 0.7)]), 10), "score")
+
+
+_GRID = [(0.5, 1.5), (1.0, 1.0), (1.5, 0.5)]
+
+
+@query(
+    f"WITH {_HYBRID}, "
+    + ", ".join(_hybrid_sql(d, w, f"g{i}") for i, (d, w) in enumerate(_GRID))
+    + f", g AS ({' UNION ALL '.join(f'SELECT {i} AS config, * FROM g{i}' for i in range(len(_GRID)))}) SELECT config, qid, id AS chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY config, qid ORDER BY round(score, 9) DESC, id) AS rank FROM g) WHERE rank <= 5"
+)
+def rrf_weight_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All configurations of a tuning grid in one job: both signals are ranked once, the grid multiplies their short lists."""
+    near, words = _signals(spark, sf_dir)
+    hits = near.select("qid", "chunk_id", "rank", F.lit(0).alias("signal")).union(words.select("qid", "chunk_id", "rank", F.lit(1)))
+    grid = spark.createDataFrame([(i, s, float(w)) for i, pair in enumerate(_GRID) for s, w in enumerate(pair)], "config int, signal int, weight double")
+    fused = hits.join(F.broadcast(grid), "signal").groupBy("config", "qid", "chunk_id").agg(F.sum(F.col("weight") / (60 + F.col("rank"))).alias("score"))
+    return _rounded(rank.top_k(fused, 5, by=("config", "qid")), "score")
+
+
+@query(
+    "WITH m AS (SELECT vec_id, label, list_transform(range(8), lambda r: list_slice(embedding::DOUBLE[], r * 8 + 1, r * 8 + 8)) AS parts FROM embeddings), "
+    "q AS (SELECT qid, list_transform(range(8), lambda r: list_slice(vector, r * 8 + 1, r * 8 + 8)) AS qp FROM means), "
+    "scored AS (SELECT qid, vec_id, list_sum(list_transform(qp, lambda a: list_max(list_transform(parts, lambda b: list_dot_product(a, b))))) AS score FROM q, m) ".replace("WITH ", f"WITH {_MEANS}, ", 1) + _sql_top("scored", 10, "vec_id")
+)
+def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as eight token vectors of eight."""
+    vectors = _vectors(spark, sf_dir)
+    cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(F.col(c), r * 8 + 1, F.lit(8)))
+    q = _class_means(vectors).select("qid", cut("vector").alias("qp"))
+    rows = vectors.select("chunk_id", cut("embedding").alias("parts")).crossJoin(F.broadcast(q))
+    return _rounded(rank.top_k(rows.select("qid", "chunk_id", V.max_sim(F.col("qp"), F.col("parts")).alias("score")), 10), "score")
+
+
+# ---- filters
+
+_LABELLED = "(SELECT d.doc_id, d.lang, d.source, d.n_chars, d.text, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels, absent for most."""
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").dropDuplicates(["doc_id"]), "doc_id", "left")
+
+
+_FILTERS: dict[str, tuple[dict, str]] = {
+    "filter_eq": ({"quality": 1}, "quality = 1"),
+    "filter_ne": ({"quality": {"$ne": 1}}, "NOT coalesce(quality = 1, false)"),
+    "filter_in": ({"lang": {"$in": ["de", "fr"]}}, "lang IN ('de', 'fr')"),
+    "filter_nin": ({"quality": {"$nin": [0]}}, "NOT coalesce(quality IN (0), false)"),
+    "filter_range": ({"n_chars": {"$gte": 300, "$lt": 900}}, "n_chars >= 300 AND n_chars < 900"),
+    "filter_contains": ({"text": {"contains": "the "}}, "contains(text, 'the ')"),
+    "filter_contains_any": ({"text": {"contains_any": ["ß", "ñ"]}}, "contains(text, 'ß') OR contains(text, 'ñ')"),
+    "filter_contains_all": ({"text": {"contains_all": ["e", "."]}}, "contains(text, 'e') AND contains(text, '.')"),
+    "filter_exists": ({"toxic": {"exists": False}}, "toxic IS NULL"),
+    "filter_prefix": ({"source": {"prefix": "s"}, "lang": {"prefix": "e"}}, "starts_with(source, 's') AND starts_with(lang, 'e')"),
+    "filter_not": ({"$not": {"$or": [{"toxic": 1}, {"lang": "en"}]}}, "NOT (coalesce(toxic = 1, false) OR coalesce(lang = 'en', false))"),
+    "filter_and_or": ({"$and": [{"n_chars": {"gt": 100}}, {"$or": [{"quality": 0}, {"lang": "es"}]}]}, "n_chars > 100 AND (coalesce(quality = 0, false) OR coalesce(lang = 'es', false))"),
+}
+
+
+def _filter_query(name: str, spec: dict) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return filters.filtered(_labelled(spark, sf_dir), spec).select("doc_id", "lang")
+
+    run.__name__ = name
+    return run
+
+
+for _name, (_spec, _where) in _FILTERS.items():
+    query(f"SELECT doc_id, lang FROM {_LABELLED} WHERE {_where}")(_filter_query(_name, _spec))
+
+
+@query("SELECT event_id, event_type FROM events WHERE CAST(json_extract(props, '$.k') AS DOUBLE) >= 50 AND event_type <> 'error'")
+def filter_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dynamic metadata: the DSL over a VARIANT column."""
+    events = table(spark, sf_dir, "events").withColumn("m", F.try_parse_json("props"))
+    return events.where(filters.compile_filter({"k": {"$gte": 50}}, filters.variant("m")) & filters.compile_filter({"event_type": {"$ne": "error"}}, filters.typed(events))).select("event_id", "event_type")
+
+
+@query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE source = (SELECT min(source) FROM documents) AND lang = 'en' GROUP BY source")
+def tenant_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    name = docs.agg(F.min("source")).first()[0]
+    return filters.filtered(docs, filters.tenant({"lang": "en"}, name, "source")).groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# ---- documents
+
+
+@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor(0.6::DOUBLE * len(regexp_extract_all(text, '[^\\s]+')) + 0.4::DOUBLE * (length(text) / 4.0::DOUBLE))::INT) END AS tokens FROM documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY trim(regexp_replace(text, '\\s+', ' ', 'g'))")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of each text, white space aside; the key that is shuffled is a digest, not the text."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(X.collapse(F.col("text")), 256).alias("digest"))
+    return docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("digest")
+
+
+@query("SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 3")
+def per_document_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    return table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(w).alias("rank")).where("rank <= 3").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return versions.latest(rows, "user_id", F.desc("ts"), F.desc("event_id")).drop("ts")
+
+
+@query(
+    "WITH d AS (SELECT doc_id, source || '/' || lang AS doc_group, CASE quality WHEN 1 THEN 'active' WHEN 0 THEN 'retired' END AS status, n_chars AS version FROM " + _LABELLED + "), "
+    "r AS (SELECT *, CASE status WHEN 'active' THEN 0 WHEN 'retired' THEN 2 ELSE 1 END AS status_rank FROM d), "
+    "p AS (SELECT *, rank() OVER (PARTITION BY doc_group ORDER BY status_rank, version DESC) AS place FROM r), "
+    "t AS (SELECT *, sum((place = 1)::INT) OVER (PARTITION BY doc_group) AS firsts, count(*) OVER (PARTITION BY doc_group) AS n FROM p) "
+    "SELECT doc_id, doc_group, status_rank, place, place = 1 AND firsts > 1 AND n > 1 AS tied, NOT (status_rank = 2 OR place > 1) AS keep FROM t"
+)
+def version_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _labelled(spark, sf_dir).select(
+        "doc_id",
+        F.concat_ws("/", "source", "lang").alias("doc_group"),
+        F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "retired").alias("status"),
+        F.lit(None).cast("string").alias("effective_date"),
+        F.col("n_chars").alias("version"),
+    )
+    return versions.precedence(docs).select("doc_id", "doc_group", "status_rank", F.col("place").cast("long").alias("place"), "tied", "keep")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents, their turns as chunks."""
+    turns = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"])
+    return turns.select(F.col("conv_id").cast("string").alias("document_id"), F.lit(1).cast("long").alias("document_version"), F.col("turn").cast("int").alias("chunk_index"), F.concat_ws("#", "conv_id", "turn").alias("chunk_id"), "role", "text")
+
+
+@query("SELECT a.conv_id || '#' || a.turn AS neighbor_of, b.conv_id || '#' || b.turn AS chunk_id FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 2 AND b.turn <> a.turn WHERE a.role = 'assistant'")
+def neighbor_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _turns(spark, sf_dir)
+    hits = chunks.where("role = 'assistant'").withColumns({"qid": F.lit(0), "score": F.lit(1.0)})
+    return context.neighbors(hits, chunks, 1, 2).select("neighbor_of", "chunk_id")
+
+
+@query("SELECT conv_id || '#' || turn AS chunk_id, lag(conv_id || '#' || turn) OVER w AS previous_chunk_id, lead(conv_id || '#' || turn) OVER w AS next_chunk_id FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def prev_next_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.linked(_turns(spark, sf_dir)).select("chunk_id", "previous_chunk_id", "next_chunk_id")
+
+
+@query("SELECT conv_id::VARCHAR AS document_id, min(turn)::INT AS first, max(turn)::INT AS last, count(*) AS chunks FROM (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM conversations WHERE role <> 'system' AND length(text) > 120) GROUP BY conv_id, run")
+def adjacent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = _turns(spark, sf_dir).where((F.col("role") != "system") & (F.length("text") > 120))
+    return context.adjacent_runs(chosen).groupBy("document_id", "run").agg(F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"), F.count("*").alias("chunks")).drop("run")
+
+
+_OLD = "(SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'de')"
+_NEW = "(SELECT doc_id, sha256(CASE WHEN lang = 'es' THEN text || '.' ELSE text END) AS h FROM documents WHERE lang <> 'fr')"
+
+
+def _two_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What a store held and what a folder holds now: German documents came, French ones went, Spanish ones changed."""
+    docs = table(spark, sf_dir, "documents")
+    now = F.when(F.col("lang") == "es", F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    old = docs.where("lang <> 'de'").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return old, docs.where("lang <> 'fr'").select("doc_id", F.sha2(now, 256).alias("content_hash"))
+
+
+@query(f"SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.h = n.h THEN 'unchanged' ELSE 'updated' END AS action FROM {_OLD} o FULL JOIN {_NEW} n ON o.doc_id = n.doc_id")
+def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.sync_plan(*_two_states(spark, sf_dir), "doc_id")
+
+
+@query(f"SELECT count(n.doc_id) AS discovered, count(*) FILTER (o.doc_id IS NULL) AS added, count(*) FILTER (o.h <> n.h) AS updated, count(*) FILTER (o.h = n.h) AS unchanged, count(*) FILTER (n.doc_id IS NULL) AS deleted FROM {_OLD} o FULL JOIN {_NEW} n ON o.doc_id = n.doc_id")
+def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.sync_counts(files.sync_plan(*_two_states(spark, sf_dir), "doc_id"))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS texts FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en' AND text IS NOT NULL) GROUP BY text")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cache = docs.where("lang = 'en'").select(F.sha2("text", 256).alias("content_hash"), F.lit("m").alias("fingerprint"))
+    misses = files.cache_misses(docs, cache, "m")
+    return misses.select("content_hash").join(docs.select(F.sha2("text", 256).alias("content_hash")), "content_hash").groupBy("content_hash").agg(F.count("*").alias("texts"))
+
+
+@query(
+    "WITH q AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents), "
+    "hits AS (SELECT item_id, doc_id, ((length(t) - length(replace(t, q, ''))) / length(q))::INT AS n FROM q, d WHERE contains(t, q)) "
+    "SELECT q.item_id, count(h.doc_id) AS documents, coalesce(min(h.n), 0) AS occurrences, count(h.doc_id) > 0 AND coalesce(min(h.n), 0) <= 8 AS grounded FROM q LEFT JOIN hits h USING (item_id) GROUP BY q.item_id"
+)
+def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each benchmark passage stands word for word, and how well the best one pins it down."""
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return verification.ground_quotes(quotes, table(spark, sf_dir, "documents"), "item_id", "doc_id").select("item_id", "documents", "occurrences", "grounded")
+
+
+@query(
+    f"WITH t AS (SELECT item_id, list_distinct({_TOKENS}) AS s FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)), 6) AS overlap FROM t a JOIN t b ON a.item_id < b.item_id"
+)
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(X.tokenize(F.col("text"))).alias("s"))
+    a, b = t.select(F.col("item_id").alias("a"), F.col("s").alias("x")), t.select(F.col("item_id").alias("b"), F.col("s").alias("y"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(X.overlap(F.col("x"), F.col("y")), 6).alias("overlap"))
+
+
+@query("SELECT n_nationkey, 'n_nationkey: ' || n_nationkey || '; n_name: ' || n_name || '; n_regionkey: ' || n_regionkey AS row FROM nation")
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    return nation.select("n_nationkey", parsers.csv_rows(nation).alias("row"))
+
+
+@query("SELECT count(DISTINCT conv_id) AS documents, count(*) AS live_chunks, sum(length(text))::BIGINT AS chars FROM conversations")
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("live_chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT o_orderkey, list_distinct([o_custkey % 7, o_custkey % 3]) AS markers FROM orders".replace("list_distinct([o_custkey % 7, o_custkey % 3])", "CASE WHEN o_custkey % 7 = o_custkey % 3 THEN [(o_custkey % 7)::INT] ELSE [(o_custkey % 7)::INT, (o_custkey % 3)::INT] END"))
+def citations_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.concat(F.lit("So it is ["), (F.col("o_custkey") % 7).cast("string"), F.lit("]. And ["), (F.col("o_custkey") % 3).cast("string"), F.lit("][x]"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.citation_markers(answer).alias("markers"))
+
+
+# ---- evaluation
+
+
+@query(
+    f"WITH {_ALL}, hits AS (SELECT qid, vec_id, rank FROM ({_dense_sql('cosine', 10, queries=_ALL, name='everyone').replace('AS chunk_id', 'AS vec_id')})), "
+    "f AS (SELECT h.qid, h.rank, q.label = e.label AS ok FROM hits h JOIN embeddings q ON q.vec_id = h.qid JOIN embeddings e ON e.vec_id = h.vec_id), "
+    "m AS (SELECT label, count(*) AS m FROM embeddings GROUP BY label), "
+    "per AS (SELECT f.qid, count(*) FILTER (ok) AS found, count(*) AS n, min(rank) FILTER (ok) AS first, coalesce(sum(1 / log2(rank + 1)) FILTER (ok), 0) AS dcg FROM f GROUP BY f.qid) "
+    "SELECT count(*) AS queries, round(avg(found / m), 6) AS recall, round(avg(found / n), 6) AS precision, round(avg((found > 0)::INT), 6) AS hit, round(avg(coalesce(1 / first, 0)), 6) AS mrr, "
+    "round(avg(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= m)), 6) AS ndcg FROM per JOIN embeddings e ON e.vec_id = per.qid JOIN m ON m.label = e.label"
+)
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a query; those of its label are relevant."""
+    vectors = _vectors(spark, sf_dir)
+    everyone = vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("vector"))
+    hits = dense.dense_top_k(vectors, everyone, 10, DIM).withColumn("document_id", F.col("chunk_id"))
+    members = vectors.groupBy("label").agg(F.collect_list(F.col("vec_id").cast("string")).alias("relevant_ids"))
+    relevant = vectors.join(members, "label").select(F.col("vec_id").alias("qid"), "relevant_ids")
+    return _rounded(evaluation.summary(evaluation.per_query(hits, relevant, 10)).select("queries", "recall", "precision", "hit", "mrr", "ndcg"), "recall", "precision", "hit", "mrr", "ndcg")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
+def latency_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(evaluation.nearest_rank("value", 0.5).alias("p50"), evaluation.nearest_rank("value", 0.95).alias("p95"))
+
+
+@query(
+    "WITH s AS (SELECT toxic AS label, (n_chars % 100) / 100.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL), "
+    "t AS (SELECT i / 20.0::DOUBLE AS threshold FROM range(1, 20) t(i)) "
+    "SELECT threshold, round(avg(recall), 6) AS accuracy FROM (SELECT threshold, label, avg(((score >= threshold) = (label = 1))::INT) AS recall FROM s, t GROUP BY ALL) GROUP BY threshold"
+)
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("toxic").alias("label"), (F.col("n_chars") % 100 / F.lit(100.0)).alias("score"))
+    return _rounded(evaluation.balanced_accuracy(rows, spark.range(1, 20).select((F.col("id") / F.lit(20.0)).alias("threshold"))), "accuracy")
+
+
+# ---- pipelines whose steps are sequential in Python: held against brute force in tests/
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", parsers.html_text(F.col("html")).alias("p")).select("page_id", "p.title", "p.text")
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), key="doc_id")
+
+
+@query()
+def hashed_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", embed(F.col("text"), HashedNgrams(256)).alias("embedding"))
+
+
+def _candidates(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    docs = _documents(spark, sf_dir)
+    chunks = docs.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.lit(1).cast("long").alias("document_version"), F.col("doc_id").cast("int").alias("chunk_index"), "text", X.estimate_tokens(F.col("text")).alias("token_count"), F.col("lang").alias("title"))
+    hits = lexical.bm25_top_k(docs, _benchmark_queries(spark, sf_dir), k).withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    return hits.join(chunks, "chunk_id"), chunks
+
+
+@query()
+def context_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, chunks = _candidates(spark, sf_dir, 24)
+    return context.assemble_contexts(hits, context.Budget(tokens=1200), chunks, 1, 1).select("qid", "context", "token_count", "truncated", "duplicates", "blocks")
+
+
+@query()
+def multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark passage as a question, its sentences as subqueries."""
+    asked = multiquery.subqueries(_benchmark_queries(spark, sf_dir).select("qid", F.col("text").alias("question")), lambda t: X.split_sentences(t))
+    docs = _documents(spark, sf_dir)
+    hits = lexical.bm25_top_k(docs, asked.select(F.col("sub_id").alias("qid"), "text"), 20).withColumnRenamed("qid", "sub_id")
+    return _rounded(multiquery.fused(hits.join(asked.drop("text"), "sub_id"), coverage=1, k=8), "score")
+
+
+@query()
+def verify_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as answers: their claims, and whether each stands in the turns before it."""
+    turns = table(spark, sf_dir, "conversations")
+    before = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)
+    answers = turns.withColumn("evidence", F.collect_list("text").over(before)).where("role = 'assistant'").select(F.concat_ws("#", "conv_id", "turn").alias("answer_id"), F.col("text").alias("answer"), "evidence")
+    return verification.verify(answers, verification.overlap_judge(0.6))
