@@ -1,0 +1,73 @@
+import itertools
+
+import numpy as np
+
+from deepwell.llm import semicrf as P
+
+from .conftest import rows_of
+
+
+def test_held_out_sentences():
+    crf = P.model()
+    hit = found = gold = 0
+    for text, truth in P.sentences(200, seed=99):
+        got = {(a, b, k) for a, b, k, _ in crf.segments(text)}
+        hit += len(got & set(truth))
+        found += len(got)
+        gold += len(truth)
+    assert hit / found > 0.9 and hit / gold > 0.9
+
+
+def test_dynamic_program_finds_the_best_of_all_segmentations():
+    crf = P.model()
+    for text in ("a 12@b.co 7", "x=1 2", "+1 415", "4@4 4"):
+        tokens, spans = P.candidates(text)
+        outside = crf.columns["outside"][0]
+        by = {}
+        for a, b, f in spans:
+            by.setdefault(a, []).append((b, crf.score(f)))
+
+        def paths(at):
+            if at == len(tokens):
+                yield []
+                return
+            for rest in paths(at + 1):
+                yield [(at, at + 1, 0, outside), *rest]
+            for b, s in by.get(at, []):
+                for rest in paths(b):
+                    for kind in range(1, len(P.KINDS) + 1):
+                        yield [(at, b, kind, s[kind]), *rest]
+
+        def value(path):
+            kinds = [0, *(k for _, _, k, _ in path)]
+            return sum(s for *_, s in path) + sum(crf.moves[a, b] for a, b in itertools.pairwise(kinds))
+
+        best = max(map(value, itertools.islice(paths(0), 200_000)))
+        mine = crf.segments(text)
+        covered = {}
+        for a, b, k, _ in mine:
+            i, j = next(n for n, t in enumerate(tokens) if t[0] == a), next(n for n, t in enumerate(tokens) if t[1] == b)
+            covered[i] = (j + 1, k)
+        path, at = [], 0
+        while at < len(tokens):
+            b, k = covered.get(at, (at + 1, 0))
+            path.append((at, b, k, dict((x, s) for x, s in by.get(at, []))[b][k] if k else outside))
+            at = b
+        assert np.isclose(value(path), best)
+
+
+def test_windows_do_not_change_the_result(spark):
+    mail, filler = "someone@mail.example.com", "plain words only " * 300
+    text = f"{filler}é {mail} {filler} card 4111 1111 1111 1111, {filler}"
+    got = {(r.start, r.stop, r.kind) for r in P.find_private(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    assert got == {(a, b, P.KINDS[k - 1]) for a, b, k, _ in P.model().segments(text)}
+    assert (text.index(mail), text.index(mail) + len(mail), "EMAIL") in got
+
+
+def test_redaction_counts_and_defined_cases(spark, none):
+    rows = [(1, "write to a.b@c.com now", 22), (None, "call 415-555-1234 today", 23), (2, None, None), (3, "", 0), (4, "version 2.0 of 1999", 19), (4, "version 2.0 of 1999", 19)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("kind", P.F.lit("mine"))
+    out = P.redacted(df)
+    assert out.columns == df.columns
+    assert rows_of(out, "doc_id", "text", "n_chars") == sorted([(1, "write to [EMAIL] now", 20), (None, "call [PHONE] today", 18), (2, None, None), (3, "", 0), (4, "version 2.0 of 1999", 19), (4, "version 2.0 of 1999", 19)], key=repr)
+    assert P.find_private(none).collect() == [] and P.redacted(none).collect() == []
