@@ -57,7 +57,10 @@ class KnowledgeBase:
         existing = existing.select("document_id", "content_hash", F.col("metadata")["processing"].alias("processing"))
         found = got.where("error IS NULL").withColumn("processing", F.lit(self.processing))
         plan = files.sync_plan(existing, got.withColumn("processing", F.lit(self.processing)), "document_id", fingerprint="processing")
-        counts = files.sync_counts(plan).first().asDict() | {"failed": got.where("error IS NOT NULL").count()}
+        broken = got.where("error IS NOT NULL").select("document_id")
+        counts = files.sync_counts(plan.join(broken, "document_id", "left_anti")).first().asDict()
+        counts["failed"] = broken.count()
+        counts["discovered"] += counts["failed"]
         changed = found.join(plan.where("action IN ('added', 'updated')"), "document_id", "left_semi")
         gone = plan.where("action = 'deleted'").select("document_id")
         meta = F.map_concat("metadata", F.create_map(F.lit("processing"), F.col("processing")))
