@@ -6,6 +6,7 @@ Each stage works on all that the one before kept, written as Parquet and read ag
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +14,7 @@ from deepwell.llm.language import in_a_language
 from deepwell.llm.mixing import mixed_documents
 from deepwell.llm.packing import pack
 from deepwell.llm.semicrf import redacted
-from deepwell.llm.store import table, written
+from deepwell.llm.store import bounded_batches, table, written
 from deepwell.llm.superminhash import without_near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -44,13 +45,18 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("private_data", private_data),
-    ("source_mix", source_mix),
-    ("packing", packing),
-]
+def _bounded(stage: Stage) -> Stage:
+    """The stage, with Arrow batches of bounded size."""
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return call
+
+
+STAGES: list[tuple[str, Stage]] = [(f.__name__, _bounded(f)) for f in (language_id, near_dedup, private_data, source_mix, packing)]
 
 #: SQL can't express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None

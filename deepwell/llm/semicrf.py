@@ -67,7 +67,7 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=1 << 14)
 def span_features(span: str, before: str, after: str) -> tuple[str, ...]:
     """Of the whole segment ``span``, the character before it and the two after it."""
     digits = "".join(c for c in span if "0" <= c <= "9")

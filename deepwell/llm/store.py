@@ -27,6 +27,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,3 +48,14 @@ def stored_bytes(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """A written table with the hint to broadcast it, if its files are at most ``limit`` bytes; else joins shuffle it."""
     return F.broadcast(df) if stored_bytes(df) <= limit else df
+
+
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """At most so many bytes in an Arrow batch: rows may be very long, and JVM and Python hold a batch each per core."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(name, None)
+    if have is None or not have.rstrip("b").isdigit() or int(have.rstrip("b")) > limit or int(have.rstrip("b")) <= 0:
+        spark.conf.set(name, str(limit))
