@@ -45,6 +45,8 @@ SEED = 11
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = SEED) -> np.ndarray:
     """Lloyd's algorithm; an empty centroid moves to the point farthest from its own."""
+    if not len(x):
+        return np.zeros((1, x.shape[1]))
     r = np.random.default_rng(seed)
     c = x[r.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
