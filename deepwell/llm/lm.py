@@ -198,20 +198,26 @@ class Automaton:
 def train(docs: DataFrame, discount: float = DISCOUNT, min_count: int = MIN_COUNT, max_arcs: int = MAX_ARCS) -> Automaton:
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counts = written(texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    # how many n-grams have each small count decides the cut; the table has one row per count
-    sizes = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().toPandas().sort_values("n")
-    above = sizes["count"][::-1].cumsum()[::-1].to_numpy()
-    fits = sizes["n"].to_numpy()[(above <= max_arcs) & (sizes["n"].to_numpy() >= min_count)]
-    cut = int(fits[0]) if len(fits) else (int(sizes["n"].max()) + 1 if len(sizes) else min_count)
+    by_order = [counts.groupBy(F.expr(f"gram & {(1 << 6 * k) - 1}").alias("gram")).agg(F.sum("n").alias("n")) if k < ORDER else counts for k in range(1, ORDER + 1)]
+    # how many n-grams of an order have each small count decides the cut, for the order that has most; lower orders are
+    # more frequent, so they may keep more than the highest. Counts go by their ten leading bits: some thousand rows at most.
+    cut = min_count
+    for own in by_order[1:]:
+        low = F.expr("greatest(0, CAST(floor(log2(n)) AS INT) - 9)")
+        sizes = own.withColumn("low", low).groupBy(F.expr("shiftleft(shiftright(n, low), low)").alias("n")).count().toPandas().sort_values("n")
+        above, n = sizes["count"][::-1].cumsum()[::-1].to_numpy(), sizes["n"].to_numpy()
+        if len(n):
+            fits = n[above <= max_arcs]
+            need = int(fits[0]) if len(fits) else 2 * int(n.max())
+            cut = max(cut, need)
     orders = []
-    for k in range(1, ORDER + 1):
-        own = counts.groupBy(F.expr(f"gram & {(1 << 6 * k) - 1}").alias("gram")).agg(F.sum("n").alias("n")) if k < ORDER else counts
+    for k, own in enumerate(by_order, 1):
         if k > 1:
             total = own.groupBy(F.shiftright("gram", 6).alias("context")).agg(F.sum("n").alias("total"))
             own = own.where(F.col("n") >= cut).join(total, F.shiftright("gram", 6) == F.col("context")).select("gram", "n", "total")
         else:
             own = own.withColumn("total", F.lit(0).cast("long"))
-        kept = own.toArrow()  # at most ``max_arcs`` rows; lower orders have fewer
+        kept = own.toArrow()  # at most ``max_arcs`` rows
         orders.append(tuple(kept[c].to_numpy() for c in ("gram", "n", "total")))
     return Automaton(orders, discount)
 
