@@ -12,15 +12,18 @@ absolute discounting:
 
     p(w | h) = max(c(hw) - D, 0) / c(h) + b(h) p(w | h'),   b(h) = 1 - sum of the first terms
 
-with h' the context less its oldest symbol. N-grams of two symbols or more are kept from a count of ``cut`` up; ``cut``
-is the least (from ``MIN_COUNT``) that leaves at most ``MAX_ARCS`` n-grams of an order, so the automaton fits in a
-worker whatever the corpus; what is pruned falls to b(h), and each state's distribution still sums to 1.
+with h' the context less its oldest symbol. N-grams of two symbols or more are kept from a count of ``MIN_COUNT`` up,
+however many there are; what is pruned falls to b(h), and each state's distribution still sums to 1.
 
 A context with a kept continuation is a state, a kept n-gram an arc to the longest state that ends the extended
 context, and each state has a failure arc of weight b(h) to its suffix. One pass from left to right carries the state
 and adds up log-probabilities; arcs are found by a 64-bit mask per state and a popcount. The state depends on the last
 ``ORDER`` - 1 symbols alone, so long texts are cut into pieces that overlap by as many and run side by side.
 
+The automaton grows with the corpus, so it isn't sent to the workers: its arrays are files in the session's shared
+folder, which every worker maps into memory. The driver writes them a batch of n-grams at a time and holds one entry
+for each context that ``ORDER`` - 1 symbols can form (64 MB), whatever the corpus.
+
 Defined cases: a null text has null scores and 0 symbols; an empty one scores its end alone; repeated rows count and
 are scored each; other columns are ignored; an empty table gives no rows.
 """
@@ -28,21 +31,25 @@ are scored each; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import os
+import uuid
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .store import written
+from .store import shared_folder, written
 
 ORDER = 5
 ALPHABET = 64
 DISCOUNT = 0.7
 MIN_COUNT = 2
-MAX_ARCS = 1_500_000
+BATCH = 1 << 20
 PIECE = 512
 
 _FOLD = np.full(256, 31, np.uint8)
@@ -91,71 +98,99 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + 100_000].astype(np.int64)), pa.array(counts[i : i + 100_000])], ["gram", "n"])
 
 
+#: An order's kept n-grams as batches of their codes, counts and contexts' counts, in any order; may be read again.
+Grams = Callable[[], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
 class Automaton:
-    """States in order of (length, context); root is state 0 and has an arc for every symbol."""
-
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]], discount: float = DISCOUNT):
-        """``orders``: per order 1.., the kept n-grams' codes, counts, and their contexts' counts."""
-        unigram, n, _ = orders[0]
-        p = np.zeros(ALPHABET)
-        p[unigram] = n
-        p = (p + 1) / (p.sum() + ALPHABET)
-        contexts = [np.zeros(1, np.int64)]  # by length
-        for gram, _, _ in orders[1:]:
-            contexts.append(np.unique(gram >> 6))
-        first = np.cumsum([0] + [len(c) for c in contexts])
-        self.states = int(first[-1])
-
-        def state(context: np.ndarray, length: int) -> np.ndarray:
-            """Of contexts that are states; -1 for others."""
-            own = contexts[length]
-            if not len(own):
-                return np.full(len(context), -1)
-            at = np.searchsorted(own, context)
-            at[at == len(own)] = 0
-            return np.where(own[at] == context, first[length] + at, -1)
+    """States in order of (length, context); root is state 0 and has an arc for every symbol. Arcs by (state, symbol)."""
+
+    FILES = ("mask", "fail", "back", "arc", "weight", "target", "start")
+
+    def __init__(self, folder: str):
+        """``folder``: where ``build`` wrote."""
+        self.folder = folder
+        for name in self.FILES:
+            setattr(self, name, np.asarray(np.load(f"{folder}/{name}.npy", mmap_mode="r")))
+        self.states = len(self.mask)
+
+    def __reduce__(self):
+        return Automaton, (self.folder,)  # workers map the files
+
+    @classmethod
+    def build(cls, folder: str, unigrams: tuple[np.ndarray, np.ndarray], orders: list[Grams], discount: float = DISCOUNT) -> Automaton:
+        """``unigrams``: codes and counts; ``orders``: from two symbols up."""
+        os.makedirs(folder)
+
+        def array(name: str, kind: type, n: int) -> np.ndarray:
+            return np.asarray(np.lib.format.open_memmap(f"{folder}/{name}.npy", "w+", kind, (n,)))
+
+        number = [np.zeros(1, np.int32)]  # by length: of each possible context its state, -1 where it is none
+        first = [0, 1]
+        for k, grams in enumerate(orders, 1):
+            seen = np.zeros(1 << 6 * k, bool)
+            for gram, _, _ in grams():
+                seen[gram >> 6] = True
+            own = np.full(len(seen), -1, np.int32)
+            own[seen] = np.arange(first[-1], first[-1] + np.count_nonzero(seen), dtype=np.int32)
+            number.append(own)
+            first.append(first[-1] + int(np.count_nonzero(seen)))
 
         def longest(context: np.ndarray, length: int) -> np.ndarray:
-            out = np.full(len(context), -1, np.int64)
-            for k in range(min(length, len(contexts) - 1), -1, -1):
+            out = number[length][context & ((1 << 6 * length) - 1)]
+            for k in range(length - 1, -1, -1):
                 todo = np.flatnonzero(out < 0)
-                out[todo] = state(context[todo] & ((1 << 6 * k) - 1), k)
+                out[todo] = number[k][context[todo] & ((1 << 6 * k) - 1)]
             return out
 
-        self.mask = np.zeros(self.states, np.uint64)
-        self.mask[0] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        self.fail = np.zeros(self.states, np.int32)
-        self.back = np.zeros(self.states, np.float64)
-        source, symbol, weight, target = [np.zeros(ALPHABET, np.int64)], [np.arange(ALPHABET)], [p], [longest(np.arange(ALPHABET), 1)]
-        probability = {1: (np.arange(ALPHABET), p)}  # of each order's kept n-grams
-        for k, (gram, n, total) in enumerate(orders[1:], 2):
-            if not len(gram):
+        mask, fail, back = array("mask", np.uint64, first[-1]), array("fail", np.int32, first[-1]), array("back", np.float64, first[-1])
+        mask[0] = 0xFFFFFFFFFFFFFFFF
+        for k, grams in enumerate(orders, 2):  # ``back`` has the sums of shares first
+            for gram, n, total in grams():
+                own = number[k - 1][gram >> 6]
+                np.bitwise_or.at(mask, own, np.uint64(1) << (gram & 63).astype(np.uint64))
+                np.add.at(back, own, np.maximum(n - discount, 0) / total)
+        arc = array("arc", np.int32, first[-1])
+        arc[1:] = np.cumsum(np.bitwise_count(mask[:-1]), dtype=np.int32)  # fewer than 2^31: there are 2^30 n-grams of ORDER
+        arcs = int(arc[-1]) + int(np.bitwise_count(mask[-1]))
+
+        def place(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+            return arc[state] + np.bitwise_count(mask[state] & ((np.uint64(1) << symbol.astype(np.uint64)) - np.uint64(1)))
+
+        weight, target = array("weight", np.float32, arcs), array("target", np.int32, arcs)
+        root = np.arange(ALPHABET)
+        lower = np.zeros(ALPHABET)  # probabilities of the last order's arcs, of which the first is number ``base``
+        lower[unigrams[0]] = unigrams[1]
+        lower, base = (lower + 1) / (lower.sum() + ALPHABET), 0
+        weight[root], target[root] = np.log(lower), longest(root, 1)
+        for k, grams in enumerate(orders, 2):
+            if first[k] == first[k - 1]:
                 break
-            order = np.argsort(gram)
-            gram, n, total = gram[order], n[order], total[order]
-            own = state(gram >> 6, k - 1)
-            share = np.maximum(n - discount, 0) / total
-            rest = 1 - np.bincount(own - first[k - 1], share, len(contexts[k - 1]))
-            self.back[first[k - 1] : first[k]] = np.log(np.maximum(rest, 1e-12))
-            context = contexts[k - 1]
-            self.fail[first[k - 1] : first[k]] = state(context & ((1 << 6 * (k - 2)) - 1), k - 2)
-            shorter, q = probability[k - 1]
-            at = np.searchsorted(shorter, gram & ((1 << 6 * (k - 1)) - 1))
-            lower = q[at]  # a kept n-gram's suffix is kept: it's at least as frequent
-            prob = share + rest[own - first[k - 1]] * lower
-            probability[k] = (gram, prob)
-            source.append(own)
-            symbol.append(gram & 63)
-            weight.append(prob)
-            target.append(longest(gram, k if k < ORDER else ORDER - 1))
-        source, symbol = np.concatenate(source), np.concatenate(symbol)
-        order = np.lexsort((symbol, source))
-        source, symbol = source[order], symbol[order].astype(np.uint64)
-        self.arc = np.searchsorted(source, np.arange(self.states)).astype(np.int32)
-        np.bitwise_or.at(self.mask, source, np.uint64(1) << symbol)
-        self.weight = np.log(np.concatenate(weight))[order].astype(np.float32)
-        self.target = np.concatenate(target)[order].astype(np.int32)
-        self.start = int(longest(np.zeros(1, np.int64), ORDER - 1)[0])
+            for at in range(first[k - 1], first[k], BATCH):
+                states = slice(at, min(at + BATCH, first[k]))
+                back[states] = 1 - back[states]
+            from_ = int(arc[first[k - 1]])
+            to = int(arc[first[k]]) if first[k] < len(arc) else arcs
+            own_probability = array("lower", np.float64, to - from_) if k < ORDER else None
+            for gram, n, total in grams():
+                own = number[k - 1][gram >> 6]
+                fail[own] = number[k - 2][(gram >> 6) & ((1 << 6 * (k - 2)) - 1)]  # a context's suffix is one: it's at least as frequent
+                suffix = gram & ((1 << 6 * (k - 1)) - 1)
+                # a kept n-gram's suffix is kept, likewise
+                probability = np.maximum(n - discount, 0) / total + back[own] * lower[place(number[k - 2][suffix >> 6], suffix & 63) - base]
+                at = place(own, gram & 63)
+                weight[at] = np.log(probability)
+                target[at] = longest(gram, min(k, ORDER - 1))
+                if own_probability is not None:
+                    own_probability[at - from_] = probability
+            if own_probability is not None:
+                os.unlink(f"{folder}/lower.npy")  # stays mapped while it's used
+                lower, base = own_probability, from_
+            for at in range(first[k - 1], first[k], BATCH):
+                states = slice(at, min(at + BATCH, first[k]))
+                back[states] = np.log(np.maximum(back[states], 1e-12))
+        array("start", np.int64, 1)[0] = longest(np.zeros(1, np.int64), ORDER - 1)[0]
+        return cls(folder)
 
     def step(self, at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and log-probabilities of a symbol in each of many states."""
@@ -181,7 +216,7 @@ class Automaton:
         size = np.minimum(PIECE, n[row] - number * PIECE)
         order = np.argsort(-size, kind="stable")  # those that end first leave from the end
         begin, size, number = begin[order], size[order], number[order]
-        state = np.where(number == 0, self.start, 0).astype(np.int32)
+        state = np.where(number == 0, self.start[0], 0).astype(np.int32)
         inner = np.flatnonzero(number > 0)
         for j in range(ORDER - 1, 0, -1):
             state[inner], _ = self.step(state[inner], symbols[begin[inner] - j])
@@ -195,12 +230,27 @@ class Automaton:
         return out, n
 
 
-def train(docs: DataFrame, discount: float = DISCOUNT, min_count: int = MIN_COUNT, max_arcs: int = MAX_ARCS) -> Automaton:
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = written(texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    by_order = [counts.groupBy(F.expr(f"gram & {(1 << 6 * k) - 1}").alias("gram")).agg(F.sum("n").alias("n")) if k < ORDER else counts for k in range(1, ORDER + 1)]
-    # how many n-grams of an order have each small count decides the cut, for the order that has most; lower orders are
-    # more frequent, so they may keep more than the highest. Counts go by their ten leading bits: some thousand rows at most.
+def _local(uri: str) -> str:
+    parts = urlparse(uri)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"the automaton's files are mapped into memory: {uri} must be a folder that is mounted on every machine")
+    return unquote(parts.path)
+
+
+def _grams(table: DataFrame) -> Grams:
+    files = [_local(file) for file in table.inputFiles()]
+
+    def read() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for file in files:
+            for batch in pq.ParquetFile(file).iter_batches(BATCH):
+                yield tuple(batch[c].to_numpy() for c in ("gram", "n", "total"))
+
+    return read
+
+
+def _cut(by_order: list[DataFrame], min_count: int, max_arcs: int) -> int:
+    """The least count, from ``min_count`` up, that at most ``max_arcs`` n-grams of every order have."""
+    # counts go by their ten leading bits: some thousand rows at most
     cut = min_count
     for own in by_order[1:]:
         low = F.expr("greatest(0, CAST(floor(log2(n)) AS INT) - 9)")
@@ -208,18 +258,24 @@ def train(docs: DataFrame, discount: float = DISCOUNT, min_count: int = MIN_COUN
         above, n = sizes["count"][::-1].cumsum()[::-1].to_numpy(), sizes["n"].to_numpy()
         if len(n):
             fits = n[above <= max_arcs]
-            need = int(fits[0]) if len(fits) else 2 * int(n.max())
-            cut = max(cut, need)
+            cut = max(cut, int(fits[0]) if len(fits) else 2 * int(n.max()))
+    return cut
+
+
+def train(docs: DataFrame, discount: float = DISCOUNT, min_count: int = MIN_COUNT, max_arcs: int | None = None) -> Automaton:
+    """``max_arcs``: for callers that want a small model of a large table, a bound on each order's n-grams; none by default."""
+    folder = _local(shared_folder(docs.sparkSession))
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    counts = written(texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    by_order = [counts.groupBy(F.expr(f"gram & {(1 << 6 * k) - 1}").alias("gram")).agg(F.sum("n").alias("n")) if k < ORDER else counts for k in range(1, ORDER + 1)]
+    cut = min_count if max_arcs is None else _cut(by_order, min_count, max_arcs)
     orders = []
-    for k, own in enumerate(by_order, 1):
-        if k > 1:
-            total = own.groupBy(F.shiftright("gram", 6).alias("context")).agg(F.sum("n").alias("total"))
-            own = own.where(F.col("n") >= cut).join(total, F.shiftright("gram", 6) == F.col("context")).select("gram", "n", "total")
-        else:
-            own = own.withColumn("total", F.lit(0).cast("long"))
-        kept = own.toArrow()  # at most ``max_arcs`` rows
-        orders.append(tuple(kept[c].to_numpy() for c in ("gram", "n", "total")))
-    return Automaton(orders, discount)
+    for own in by_order[1:]:
+        total = own.groupBy(F.shiftright("gram", 6).alias("context")).agg(F.sum("n").alias("total"))
+        kept = own.where(F.col("n") >= cut).join(total, F.shiftright("gram", 6) == F.col("context")).select("gram", "n", "total")
+        orders.append(_grams(written(kept, "kept-grams")))
+    one = by_order[0].toArrow()  # a row for each symbol
+    return Automaton.build(f"{folder}/automaton-{uuid.uuid4().hex}", (one["gram"].to_numpy(), one["n"].to_numpy()), orders, discount)
 
 
 def score(docs: DataFrame, model: Automaton | None = None) -> DataFrame:

@@ -67,6 +67,27 @@ def test_pruning_keeps_within_the_bound(docs):
     assert len(model.weight) <= M.ALPHABET + 500 * (M.ORDER - 1)
 
 
+def test_every_repeated_ngram_is_an_arc_on_a_large_diverse_corpus(spark):
+    text = np.random.default_rng(5).integers(97, 123, 2_000_000).astype(np.uint8).tobytes().decode()
+    rows = [(i, text[i * 10_000 : (i + 1) * 10_000]) for i in range(200)] * 2
+    model = M.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    arcs = M.ALPHABET
+    symbols = np.concatenate([np.pad(M._FOLD[np.frombuffer(t.encode(), np.uint8)], (M.ORDER - 1, 1)) for _, t in rows[:200]]).reshape(200, -1).astype(np.int64)
+    top = sum(symbols[:, j : symbols.shape[1] - M.ORDER + 1 + j] << 6 * (M.ORDER - 1 - j) for j in range(M.ORDER))
+    assert len(np.unique(top)) > 1_500_000
+    for k in range(2, M.ORDER + 1):  # each text occurs twice, so every n-gram does
+        arcs += len(np.unique(top & ((1 << 6 * k) - 1)))
+    assert len(model.weight) == arcs
+
+
+def test_a_model_is_sent_by_the_name_of_its_files(docs):
+    import pickle
+
+    model = M.train(docs)
+    sent = pickle.dumps(model)
+    assert len(sent) < 1000 and np.array_equal(pickle.loads(sent).weight, model.weight)
+
+
 def test_defined_cases(none, crowded):
     assert M.score(none).collect() == []
     assert M.score(crowded).columns == ["doc_id", "symbols", "log_prob", "bits", "perplexity"]
