@@ -7,11 +7,12 @@
 A segmentation of the tokens scores the sum of its segments' weighted features and of transition weights
 between neighbouring kinds. Features see the whole candidate span: its shape, lengths, checksum and address
 tests, keywords, hexadecimal runs, and what stands before and after it. Dynamic programming over segment
-ends picks boundaries and kinds jointly; an entity has at most ``MAX_TOKENS`` tokens and ``MAX_BYTES``
-characters, starts and ends on a token that isn't white space, lies in one line, and holds a trigger (an ASCII
-digit or @). Since no other span can be an entity, only the stretches within ``MAX_BYTES`` of a trigger need
-the program; all else is outside by construction, and the result is that of the whole text. ``score`` is
-the entity's gain over reading its tokens as outside.
+ends picks boundaries and kinds jointly; an entity starts and ends on a token that isn't white space, lies in one
+line, and holds a trigger: an ASCII digit or @, or the start of an assignment to a secret's name or of a key with a
+known prefix, with or without digits. It has at most ``MAX_TOKENS`` tokens and ``MAX_BYTES`` characters, or is such an
+assignment or key as a whole, of any length. Since no other span can be an entity, only the stretches within
+``MAX_BYTES`` of a trigger need the program; all else is outside by construction, and the result is that of the whole
+text. ``score`` is the entity's gain over reading its tokens as outside.
 
 The weights are trained here, by regularised conditional likelihood (forward-backward, AdaGrad) on generated
 sentences: each kind in many formats, and look-alikes (versions, dates, prices, sums, times, code).
@@ -29,6 +30,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,6 +54,12 @@ _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
 _ASSIGN = re.compile(r"(?i)(password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth)\s*[=:]\s*[\"']?([\w+/.-]{6,})[\"']?")
 _PHONE = re.compile(r"(\+\d{1,3}[ .-]?)?(\(\d{2,4}\)|\d{2,4})([ .-]\d{2,4}){1,4}")
 _KEY = re.compile(r"(AKIA|ASIA|ghp_|sk_live_|sk-|xox[bp]-|AIza)[A-Za-z0-9_-]{12,}")
+#: Where secrets are in a text; assignments may overlap (``secret: password=...``).
+_ASSIGNED = re.compile(r"(?<![^\W_])(?=((?ai:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth)[^\S\n]*[=:][^\S\n]*[\"']?[\w+/.-]{6,}[\"']?))")
+_KEYED = re.compile(r"(?<![^\W_])" + _KEY.pattern)
+#: At least the same, in bytes.
+_ASSIGNED_BYTES = re.compile(rb"(?=[pPtTsSaA])(?=((?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth)[\s\x1c-\x1f\x80-\xff]*[=:][\s\x1c-\x1f\x80-\xff]*[\"']?[\w+/.\x80-\xff-]*[\"']?))")
+_KEYED_BYTES = re.compile(rb"(?:AKIA|ASIA|ghp_|sk_live_|sk-|xox[bp]-|AIza)[A-Za-z0-9_-]*")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?")
 
 
@@ -158,7 +166,10 @@ class SemiCrf:
 def candidates(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[str, ...]]]]:
     """Tokens, and the spans (first token, token after the last, features) that may be entities."""
     tokens = tokenise(text)
-    trigger = np.concatenate([[0], np.cumsum([bool(_TRIGGER.search(text, a, b)) for a, b in tokens])]).tolist() if tokens else [0]
+    begins = [a for a, _ in tokens]
+    found = [m.span(1) for m in _ASSIGNED.finditer(text)] + [m.span() for m in _KEYED.finditer(text)]
+    secret = {bisect_right(begins, a) - 1 for a, _ in found}
+    trigger = np.concatenate([[0], np.cumsum([i in secret or bool(_TRIGGER.search(text, a, b)) for i, (a, b) in enumerate(tokens)])]).tolist() if tokens else [0]
     white = [text[a].isspace() for a, _ in tokens]
     line = [text[a] == "\n" for a, _ in tokens]
     spans = []
@@ -173,9 +184,20 @@ def candidates(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, t
                 continue
             stop = tokens[j][1]
             spans.append((i, j + 1, span_features(text[start:stop], text[max(0, start - 1) : start], text[stop : stop + 2])))
+    for i, j in sorted({(bisect_right(begins, a) - 1, bisect_right(begins, b - 1)) for a, stop in found for b in _ends(text, a, stop)}):
+        start, stop = tokens[i][0], tokens[j - 1][1]
+        if j - i > MAX_TOKENS or stop - start > MAX_BYTES:
+            spans.append((i, j, span_features(text[start:stop], text[max(0, start - 1) : start], text[stop : stop + 2])))
     return tokens, spans
 
 
+def _ends(text: str, start: int, stop: int) -> set[int]:
+    """Where a secret may end: with or without a quote, and with or without a sentence's marks."""
+    whole = text[start:stop]
+    bare = whole.rstrip("\"'")
+    return {stop, start + len(bare), start + len(bare.rstrip("./+-"))}
+
+
 # --- training -------------------------------------------------------------------------------------
 
 
@@ -212,9 +234,10 @@ def _entity(r: random.Random, kind: str) -> str:
         check = 98 - int("".join(str(int(c, 36)) for c in body + code + "00")) % 97
         whole = f"{code}{check:02d}{body}"
         return r.choice([whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))])
-    value = r.choice([hexa(18), hexa(32), hexa(40), "".join(r.choice(string.ascii_letters + string.digits) for _ in range(20)) + "7"])
+    some = lambda of, n: "".join(r.choice(of) for _ in range(n))
+    value = r.choice([hexa(18), hexa(32), hexa(40), some(string.ascii_letters + string.digits, 20) + "7", some(string.ascii_lowercase, r.randint(6, 24)), ".".join(some(string.ascii_letters + string.digits + "_-", r.randint(20, 60)) + "x" for _ in range(3))])
     key = r.choice(["password", "token", "secret", "api_key", "passwd", "access_key"])
-    return r.choice([f"{key}={value}", f'{key} = "{value}"', f"{key}: {value}", f"{key}='{value}'", *["AKIA" + "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(15)) + r.choice(string.digits)] * 2, "ghp_" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(30)) + "1"])
+    return r.choice([f"{key}={value}", f'{key} = "{value}"', f"{key}: {value}", f"{key}='{value}'", *["AKIA" + "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(15)) + r.choice(string.digits)] * 2, "ghp_" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(30)) + "1", "AKIA" + some(string.ascii_uppercase, 16), "ghp_" + some(string.ascii_letters, 36)])
 
 
 def _ascii(r: random.Random) -> str:
@@ -342,11 +365,19 @@ _DIGIT[[*range(48, 58), 64]] = True
 def windows(row: np.ndarray) -> list[tuple[int, int]]:
     """Byte ranges of a text that hold every possible entity and what its features see; they don't touch."""
     at = np.flatnonzero(_DIGIT[row])
+    raw = row.tobytes()
+    secrets = [m.span(1) for m in _ASSIGNED_BYTES.finditer(raw)] if b"=" in raw or b":" in raw else []
+    secrets += [m.span() for m in _KEYED_BYTES.finditer(raw)]
+    end = at
+    if secrets:
+        a, b = np.array(secrets).T
+        order = np.argsort(np.concatenate([at, a]), kind="stable")
+        at, end = np.concatenate([at, a])[order], np.maximum.accumulate(np.concatenate([at, b - 1])[order])
     if not len(at):
         return []
     reach = 4 * MAX_BYTES + 8  # characters have up to four bytes
-    gap = np.flatnonzero(np.diff(at) > 2 * reach)
-    lo, hi = at[np.concatenate([[0], gap + 1])] - reach, at[np.concatenate([gap, [len(at) - 1]])] + reach + 1
+    gap = np.flatnonzero(at[1:] - end[:-1] > 2 * reach)
+    lo, hi = at[np.concatenate([[0], gap + 1])] - reach, end[np.concatenate([gap, [len(at) - 1]])] + reach + 1
     return list(zip(np.maximum(lo, 0).tolist(), np.minimum(hi, len(row)).tolist(), strict=True))
 
 
@@ -375,9 +406,8 @@ def _find(crf):
         own = crf.value
         for batch in batches:
             for lo, hi, data, offsets in T.text_slices(batch.column(1)):
-                hot = np.concatenate([[0], np.cumsum(_DIGIT[data])])[offsets]
                 rows, spans = [], []
-                for i in np.flatnonzero(np.diff(hot) > 0).tolist():
+                for i in range(hi - lo):
                     row = data[offsets[i] : offsets[i + 1]]
                     if found := entities(own, row):
                         start = np.concatenate([[0], np.cumsum((row & 0xC0) != 0x80)])
@@ -408,8 +438,7 @@ def redacted(docs: DataFrame, crf: SemiCrf | None = None) -> DataFrame:
             column = batch.column(at)
             new = {}
             for lo, hi, data, offsets in T.text_slices(column):
-                hot = np.concatenate([[0], np.cumsum(_DIGIT[data])])[offsets]
-                for i in np.flatnonzero(np.diff(hot) > 0).tolist():
+                for i in range(hi - lo):
                     row = data[offsets[i] : offsets[i + 1]]
                     if found := entities(own, row):
                         raw, parts, a = row.tobytes(), [], 0
