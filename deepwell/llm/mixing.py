@@ -6,8 +6,10 @@
     shard BIGINT, slot INT, source STRING, epoch BIGINT, block BIGINT (number in the source),
     n_tokens INT, doc_ids ARRAY<BIGINT>, lengths ARRAY<INT>, langs ARRAY<STRING>, tokens BINARY
 
-1. Each task packs the documents it reads into blocks, source by source; a source's blocks are numbered
-   through the tasks by a prefix sum over (source, task). Only the last block of a task may be short.
+1. Each task packs the documents it reads into blocks, source by source. What is left of the tasks, less than a
+   block each, is packed into further blocks in the order of the tasks, so only the last block of a source may be
+   short, however many tasks read it. A source's blocks are numbered through the tasks by a prefix sum over
+   (source, task), those of the remainders last.
 2. Shard s draws its source counts from a multinomial with the target weights, by a generator keyed on
    (seed, s). There are as many slots as blocks, so weights above a source's share repeat it, and
    weights below thin it out.
@@ -44,6 +46,7 @@ TEMPERATURE = 0.7
 SEED = 20260101
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BROADCAST_BYTES = 32 << 20
+CARRIED = (1 << 31) - 1  # as task: the blocks of what the tasks left
 BLOCKS = "source string, task int, number int, n_tokens int, doc_ids array<long>, lengths array<int>, langs array<string>, tokens binary"
 
 
@@ -98,6 +101,44 @@ def _cut(block: int, vocab: str, folder: str | None):
     return cut
 
 
+def _carry(block: int, vocab: str, folder: str | None):
+    """Short blocks, in order of source and task -> blocks, of which a source's last may be short."""
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 2 if vocabulary(vocab, folder).n <= 1 << 16 else 4
+        source, number, size = None, 0, 0
+        pieces: list[tuple] = []  # (doc_id, length, lang, tokens) of the open block
+        schema = None
+
+        def close() -> pa.RecordBatch:
+            nonlocal number, size
+            ids, lengths, langs, parts = zip(*pieces, strict=True)
+            row = {"source": source, "task": CARRIED, "number": number, "n_tokens": size, "doc_ids": list(ids), "lengths": list(lengths), "langs": list(langs), "tokens": b"".join(parts)}
+            pieces.clear()
+            number, size = number + 1, 0
+            return pa.RecordBatch.from_pylist([row], schema)
+
+        for batch in batches:
+            schema = batch.schema
+            for row in batch.to_pylist():
+                if row["source"] != source:
+                    if pieces:
+                        yield close()
+                    source, number = row["source"], 0
+                at = 0
+                for doc, n, lang in zip(row["doc_ids"], row["lengths"], row["langs"], strict=True):
+                    while n:
+                        m = min(n, block - size)
+                        pieces.append((doc, m, lang, row["tokens"][at * width : (at + m) * width]))
+                        at, n, size = at + m, n - m, size + m
+                        if size == block:
+                            yield close()
+        if pieces:
+            yield close()
+
+    return carry
+
+
 def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     """A permutation of 0..n-1 without a table: four Feistel rounds, walking cycles back into range."""
     half = max(1, ((n - 1).bit_length() + 1) // 2)
@@ -159,7 +200,9 @@ def _slots(seed: int, sources: list, blocks: list[int], parts: list[tuple[np.nda
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, vocab: str = VOCABULARY, folder: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    blocks = written(docs.mapInArrow(_cut(block, vocab, folder), BLOCKS), "blocks")
+    read = written(docs.mapInArrow(_cut(block, vocab, folder), BLOCKS), "blocks")
+    left = read.where(F.col("n_tokens") < block).repartition("source").sortWithinPartitions("source", "task")
+    blocks = read.where(F.col("n_tokens") == block).union(written(left.mapInArrow(_carry(block, vocab, folder), BLOCKS), "carried"))
     # one row per source and task of the read: small beside the blocks, and the only thing the driver gets
     sizes = blocks.groupBy("source", "task").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).toPandas()
     sources = sorted(sizes["source"].unique(), key=lambda s: (s is None, s or ""))

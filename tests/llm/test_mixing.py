@@ -52,6 +52,32 @@ def test_blocks_hold_the_documents_tokens(docs, corpus):
             at += n
 
 
+def test_a_rare_source_in_many_tasks_has_its_share_of_tokens(spark):
+    v = vocabulary(M.VOCABULARY)
+    word = lambda i: f"number {i} of a source "
+    rows = [(i, word(i) * (1 if i % 8 == 0 else 20), None, "rare" if i % 8 == 0 else "usual") for i in range(800)] + [(800 + i, word(i), None, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    tokens = {s: sum(len(v._encode(t)) for _, t, _, x in rows if x == s) for s in ("rare", "usual", None)}
+    slots = {}
+    for tasks in (1, 40):
+        got = M.mix(df.repartition(tasks), {"rare": 1.0, "usual": 1.0}, block=64, shard=16).collect()
+        slots[tasks] = Counter(r.source for r in got)
+        share = sum(r.n_tokens for r in got if r.source == "rare") / sum(r.n_tokens for r in got)
+        assert len(got) == sum(-(-n // 64) for n in tokens.values()) and abs(share - slots[tasks]["rare"] / len(got)) < 0.02
+        assert 0.4 < share < 0.6
+        for source in ("rare", "usual"):
+            blocks = {r.block: r for r in got if r.source == source}
+            assert all(r.n_tokens == 64 for b, r in blocks.items() if b < tokens[source] // 64)
+            if set(blocks) == set(range(-(-tokens[source] // 64))):  # a whole epoch was drawn
+                seen = {}
+                for r in blocks.values():
+                    assert sum(r.lengths) == r.n_tokens == len(unpack_ids(r.tokens, v.n))
+                    for doc, n in zip(r.doc_ids, r.lengths):
+                        seen[doc] = seen.get(doc, 0) + n
+                assert seen == {i: len(v._encode(t)) for i, t, _, x in rows if x == source}
+    assert slots[1] == slots[40] and slots[1]["rare"] >= -(-tokens["rare"] // 64)
+
+
 def test_defined_cases(spark, docs, none):
     assert M.mix(none).collect() == []
     with pytest.raises(ValueError):
