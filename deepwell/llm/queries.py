@@ -48,9 +48,9 @@ def op6_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .multiindex import near_pairs
+    from .multiindex import near_vectors
 
-    return near_pairs(table(spark, sf_dir, "embeddings"))
+    return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op8_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
