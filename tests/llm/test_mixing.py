@@ -78,6 +78,49 @@ def test_a_rare_source_in_many_tasks_has_its_share_of_tokens(spark):
     assert slots[1] == slots[40] and slots[1]["rare"] >= -(-tokens["rare"] // 64)
 
 
+def test_every_character_comes_back(spark):
+    """Blocks of 5 tokens, on letters that take several: each document's stretches are its text."""
+    rows = [(i, "".join(chr(0x10000 + 977 * (i + 1) * j % 50000) if j % 3 else "ab 你"[j % 4] for j in range(3 + i % 40)), "x", f"s{i % 2}", 7.5 * i, [i, None], {"a": i}) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, meta double, place array<long>, n map<string, int>")
+    got = {}
+    for tasks in (1, 7):
+        # weights by tokens: each source has about an epoch; slots in order of block give the text of those that are whole
+        out = M._drawn(df.repartition(tasks), {"s0": 1.0, "s1": 1.0}, 5, 16, 1, M.VOCABULARY, None)
+        slots = out.select("source", "metas", "lengths", "tails", "tokens", "epoch", "block", "bucket", "number").dropDuplicates(["source", "block"]).orderBy("source", "bucket", "number")
+        texts = slots.coalesce(1).select("source", "metas", "lengths", "tails", "tokens").mapInArrow(M._texts(M.VOCABULARY, None, ["doc_id", "text", "meta", "place", "n"]), "doc_id long, text string, meta double, place array<long>, n map<string, int>").collect()
+        got[tasks] = sorted((r.doc_id, r.text, r.meta, r.place) for r in texts)
+        seen = {}
+        for r in texts:
+            seen.setdefault(r.doc_id, []).append(r)
+            assert r.meta == 7.5 * r.doc_id and r.place == [r.doc_id, None] and r.n == {"a": r.doc_id}
+        whole = 0
+        for i, t, *_ in rows:
+            parts = [r.text for r in seen.get(i, [])]
+            assert all("\ufffd" not in p for p in parts) and sum(map(len, parts)) <= len(t)
+            if sum(map(len, parts)) == len(t):
+                assert Counter("".join(parts)) == Counter(t) and all(p in t for p in parts)
+                whole += 1
+        assert whole > 60
+    assert got[1] == got[7]
+
+
+def test_equal_output_under_two_partitionings(spark, docs):
+    one, two = (sorted(map(repr, M.mix(docs.repartition(n), block=64, shard=16).collect())) for n in (1, 9))
+    assert one == two
+
+
+def test_repeated_rows_and_clashing_columns_with_null_ids(spark):
+    rows = [(None, "a b c d e f " * 30, None, None)] * 3 + [(4, "x y z " * 50, "l", "s")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    crowded = df.withColumns({c: M.F.lit("x") for c in ("bucket", "hash", "rest", "meta", "tokens", "number", "shard", "block", "epoch", "before", "range", "k", "n", "metas")})
+    got = M.mix(crowded, {"s": 1.0}, block=32).collect()
+    assert got and {i for r in got for i in r.doc_ids} == {4}
+    out = M.mixed_documents(crowded, block=32)
+    assert out.columns == crowded.columns and {r.hash for r in out.collect()} == {"x"}
+    less = df.select("doc_id", "text")
+    assert M.mixed_documents(less, block=32).columns == ["doc_id", "text"] and len(M.mix(less, block=32).collect()) > 5
+
+
 def test_defined_cases(spark, docs, none):
     assert M.mix(none).collect() == []
     with pytest.raises(ValueError):
