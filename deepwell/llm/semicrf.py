@@ -6,26 +6,32 @@
 
 A segmentation of the tokens scores the sum of its segments' weighted features and of transition weights
 between neighbouring kinds. Features see the whole candidate span: its shape, lengths, checksum and address
-tests, keywords, hexadecimal runs, and what stands before and after it. Dynamic programming over segment
-ends picks boundaries and kinds jointly; an entity starts and ends on a token that isn't white space, lies in one
-line, and holds a trigger: an ASCII digit or @, or the start of an assignment to a secret's name or of a key with a
-known prefix, with or without digits. It has at most ``MAX_TOKENS`` tokens and ``MAX_BYTES`` characters, or is such an
-assignment or key as a whole, of any length. Since no other span can be an entity, only the stretches within
-``MAX_BYTES`` of a trigger need the program; all else is outside by construction, and the result is that of the whole
-text. ``score`` is the entity's gain over reading its tokens as outside.
+tests, hexadecimal and opaque runs, a keyword before it, and what else stands before and after it. Dynamic programming
+over segment ends picks boundaries and kinds jointly. A candidate starts and ends on a token that isn't white space, lies
+in one line and has at most ``MAX_TOKENS`` tokens of any length; beyond that length assignments, keys with a known
+prefix, addresses, values after a keyword and long runs without blanks are candidates as a whole, and a private key in
+PEM is one token with all its lines. ``score`` is the entity's gain over reading its tokens as outside.
+
+Every candidate has a score. One that holds no mark (a digit, an @, or one of the patterns named above) has the feature
+``plain`` alone; so all of them score alike, and ``never_plain`` compares that score with every way of reading the same
+tokens as outside, for all neighbours. Where it always loses, as under the trained weights, no best segmentation holds a
+plain span, and only the stretches of ``MAX_TOKENS`` words around marks need the program: the result is that over the
+whole text. Under other weights the program runs over whole texts with all candidates.
 
 The weights are trained here, by regularised conditional likelihood (forward-backward, AdaGrad) on generated
-sentences: each kind in many formats, and look-alikes (versions, dates, prices, sums, times, code).
+sentences: each kind in many formats, and look-alikes (versions, dates, prices, sums, times, code, digests).
 
-Kinds: EMAIL, PHONE, IP, CARD, SECRET (API keys, and assignments of passwords or tokens), SSN, IBAN.
+Kinds: EMAIL, PHONE, IP (versions 4 and 6), CARD, SECRET (API keys, private keys, and assignments of passwords or
+tokens), SSN, IBAN.
 
-Defined cases: null, empty and trigger-free texts have no entity; a null doc_id is reported as null; repeated
+Defined cases: null, empty and mark-free texts have no entity; a null doc_id is reported as null; repeated
 rows are reported each; ties go to the longer segment, then the earlier kind; other columns are ignored; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import math
 import random
 import re
@@ -44,23 +50,32 @@ from . import textops as T
 
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN")
 MAX_TOKENS = 16
-MAX_BYTES = 96
-_TOKEN = re.compile(r"[^\W_]+|[^\S\n]+|\n|.", re.DOTALL)
+LONG = 24
+_PEM = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?"
+_TOKEN = re.compile(_PEM + r"|[^\W_]+|[^\S\n]+|\n|.", re.DOTALL)
 _TRIGGER = re.compile(r"[0-9@]")
 _RUNS = re.compile(r"(.)\1+")
 _SHAPE = str.maketrans(string.digits + string.ascii_lowercase + string.ascii_uppercase, "9" * 10 + "a" * 26 + "A" * 26)
 _EMAIL = re.compile(r"[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
-_ASSIGN = re.compile(r"(?i)(password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth)\s*[=:]\s*[\"']?([\w+/.-]{6,})[\"']?")
+_NAMES = r"password|passwd|pwd|passphrase|token|secret|bearer|credential|api[_-]?key|access[_-]?key|auth(?:orization)?"
+_ASSIGN = re.compile(rf"(?i)({_NAMES})\s*[=:]\s*[\"']?([\w+/.~$!#%^&*-]{{6,}}=*)[\"']?")
 _PHONE = re.compile(r"(\+\d{1,3}[ .-]?)?(\(\d{2,4}\)|\d{2,4})([ .-]\d{2,4}){1,4}")
-_KEY = re.compile(r"(AKIA|ASIA|ghp_|sk_live_|sk-|xox[bp]-|AIza)[A-Za-z0-9_-]{12,}")
+_PREFIX = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk_live_|sk_test_|sk-|xox[abprs]-|AIza|npm_|hf_"
+_KEY = re.compile(rf"({_PREFIX})[A-Za-z0-9_-]{{12,}}")
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?")
 #: Where secrets are in a text; assignments may overlap (``secret: password=...``).
-_ASSIGNED = re.compile(r"(?<![^\W_])(?=((?ai:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth)[^\S\n]*[=:][^\S\n]*[\"']?[\w+/.-]{6,}[\"']?))")
+_ASSIGNED = re.compile(rf"(?<![^\W_])(?=((?ai:{_NAMES})[^\S\n]*[=:][^\S\n]*[\"']?[\w+/.~$!#%^&*-]{{6,}}=*[\"']?))")
 _KEYED = re.compile(r"(?<![^\W_])" + _KEY.pattern)
-#: At least the same, in bytes.
-_ASSIGNED_BYTES = re.compile(rb"(?=[pPtTsSaA])(?=((?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth)[\s\x1c-\x1f\x80-\xff]*[=:][\s\x1c-\x1f\x80-\xff]*[\"']?[\w+/.\x80-\xff-]*[\"']?))")
-_KEYED_BYTES = re.compile(rb"(?:AKIA|ASIA|ghp_|sk_live_|sk-|xox[bp]-|AIza)[A-Za-z0-9_-]*")
-_IBAN = re.compile(r"[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?")
+#: What stands after a secret's name and at most a word between, and long runs without blanks or quotes.
+_AFTER = re.compile(rf"(?<![^\W_])(?ai:{_NAMES})(?:[^\S\n]+(?:is|was|of))?[^\S\n]*[:=]?[^\S\n]*[\"']?")
+_VALUE = re.compile(r"[^\s\"'<>,;(){}\[\]]{6,}")
+_OPAQUE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{LONG},}}")
+#: After a value that isn't whole.
+_GOES_ON = re.compile(r"[\w+/~$#%^&*=-]|[.!][\w+/~$#%^&*=-]")
+#: In the lower-case bytes of a text, one of these is in every pattern above that needs neither a digit nor an @.
+_HINTS = (b"password", b"passwd", b"pwd", b"passphrase", b"token", b"secret", b"bearer", b"credential", b"apikey", b"api_", b"api-", b"accesskey", b"access_", b"access-", b"auth", b"akia", b"asia", b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"github_pat_", b"glpat-", b"sk_", b"sk-", b"xox", b"aiza", b"npm_", b"hf_", b"private key", b"::")
 
 
 def tokenise(text: str) -> list[tuple[int, int]]:
@@ -75,30 +90,71 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-@lru_cache(maxsize=1 << 14)
-def span_features(span: str, before: str, after: str) -> tuple[str, ...]:
-    """Of the whole segment ``span``, the character before it and the two after it."""
+def _ipv6(span: str) -> bool:
+    groups = [g for g in span.split(":") if g]
+    if len(groups) < 2 or not _IPV6.fullmatch(span):
+        return False
+    try:
+        ipaddress.IPv6Address(span)
+    except ValueError:
+        return False
+    return len(groups) >= 3 or any(c.isdigit() for c in span)
+
+
+def _opaque(span: str) -> list[str]:
+    """Of a run of letters, digits and joints that is no word, number or digest."""
+    if not re.fullmatch(r"[A-Za-z0-9+/_=.~-]{12,}", span) or re.fullmatch(r"[0-9a-f]+|[0-9A-F]+|\d[\d.-]*|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", span):
+        return []
+    kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in span]
+    turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    if not (2 in kinds and (0 in kinds or 1 in kinds)) and 5 * turns < len(span):
+        return []
+    return ["opaque", f"turns={min(9, 20 * turns // len(span))}", "opaque long" if len(span) >= LONG else "opaque short", "opaque mixed" if 2 in kinds and (0 in kinds or 1 in kinds) else "opaque letters"]
+
+
+PLAIN = ("plain",)
+
+
+def span_features(span: str, before: str, after: str, named: bool = False) -> tuple[str, ...]:
+    """Of the whole segment ``span``, the character before it and the two after it, and whether a secret's name is before it."""
+    return (_kept_features if len(span) <= 96 else _features)(span, before, after, named)
+
+
+def _features(span: str, before: str, after: str, named: bool) -> tuple[str, ...]:
     digits = "".join(c for c in span if "0" <= c <= "9")
     shape = _RUNS.sub(r"\1", span.translate(_SHAPE))
     out = ["bias"]
-    if not (_EMAIL.fullmatch(span) or _ASSIGN.fullmatch(span) or _KEY.fullmatch(span)):  # what is in these is arbitrary
+    if re.fullmatch(_PEM, span):
+        return ("bias", "is pem")
+    email, assigned, key = _EMAIL.fullmatch(span), _ASSIGN.fullmatch(span), _KEY.fullmatch(span)
+    v6 = _ipv6(span) if ":" in span else False
+    opaque = [] if email or assigned or key or v6 else _opaque(span)
+    named = named and bool(_VALUE.fullmatch(span))
+    if not (email or assigned or key or v6 or opaque or named):  # what is in these is arbitrary
         out += [f"digits={min(len(digits), 20)}", f"length={min(len(span) // 4, 12)}", "shape=" + (shape if len(shape) <= 9 else "long")]
     out.append("before=" + ("edge" if not before else "space" if before[-1].isspace() else "word" if before[-1].isalnum() else "open" if before[-1] in "([{\"'<:" else "mark"))
     out.append("after=" + ("edge" if not after else "space" if after[0].isspace() else "word" if after[0].isalnum() or after[0] == "_" else "joined" if after[0] in ".-@" and after[1:].isalnum() else "stop" if after[0] in ".,;:!?)]}\"'>" else "mark"))
-    if span[-1] in ".,;:!?-=@":
+    if span[-1] in ".,;:!?-=@" and not assigned:
         out.append("ends in mark")
-    if not (span[0].isalnum() or span[0] in "+("):
+    if not (span[0].isalnum() or span[0] in "+(" or v6):
         out.append("starts in mark")
     if " " in span:
         out.append("blank")
-    if _EMAIL.fullmatch(span):
+    if email:
         out.append("is email")
     if (m := _IP.fullmatch(span)) and all(int(x) < 256 for x in m.groups()):
         out.append("is ip")
-    if _ASSIGN.fullmatch(span):
-        out.append("is assignment" + (" quoted" if span[-1] in "\"'" else ""))
-    if _KEY.fullmatch(span):
-        out.append("is key")
+    if v6:
+        out.append("is ipv6")
+    cut = bool(_GOES_ON.match(after)) and span[-1] not in "\"'"
+    if assigned:
+        out.append("assignment cut" if cut else "is assignment" + (" quoted" if span[-1] in "\"'" else ""))
+    if key:
+        out.append("key cut" if cut else "is key")
+    if named:
+        odd = bool(digits) and any(c.isalpha() for c in span)
+        out.append("named cut" if cut else "named " + ("opaque" if opaque else "odd" if odd else "digits" if digits else "word"))
+    out += opaque
     if _PHONE.fullmatch(span):
         out += ["is phone", f"is phone {len(digits) if 7 <= len(digits) <= 15 else 'odd'}"]
         if span[0] in "+(":
@@ -116,10 +172,14 @@ def span_features(span: str, before: str, after: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+_kept_features = lru_cache(maxsize=1 << 14)(_features)
+
+
 class SemiCrf:
     def __init__(self, weights: dict[tuple[str, int], float], moves: np.ndarray):
         """``weights``: by feature and kind (0: outside); ``moves``: (kind before, kind)."""
         self.weights, self.moves = weights, moves
+        self._never: bool | None = None
         self.columns: dict[str, np.ndarray] = {}
         for (feature, kind), w in weights.items():
             self.columns.setdefault(feature, np.zeros(len(KINDS) + 1))[kind] = w
@@ -131,9 +191,22 @@ class SemiCrf:
                 total += c
         return total
 
+    def never_plain(self) -> bool:
+        """Whether no best segmentation holds a plain span: its tokens read as outside score more, whatever the neighbours."""
+        if self._never is None:
+            plain, outside = self.score(PLAIN), self.columns.get("outside", np.zeros(len(KINDS) + 1))[0]
+            m = self.moves
+            n = np.arange(1, MAX_TOKENS + 1)
+            least = float((n * outside + (n - 1) * m[0, 0]).min())
+            as_entity = m[:, 1:, None] + plain[1:][None, :, None] + m[1:, :][None]  # (before, kind, after)
+            as_outside = m[:, 0][:, None, None] + least + m[0, :][None, None, :]
+            last = (m[:, 1:] + plain[1:]).max(1) < m[:, 0] + least  # at the text's end
+            self._never = bool((as_entity < as_outside).all() and last.all())
+        return self._never
+
     def segments(self, text: str) -> list[tuple[int, int, int, float]]:
         """(start, stop, kind 1.., gain) of the best segmentation's entities."""
-        tokens, spans = candidates(text)
+        tokens, spans = candidates(text, plain=not self.never_plain())
         n = len(tokens)
         by_end: dict[int, list] = {}
         for a, b, features in spans:
@@ -163,31 +236,52 @@ class SemiCrf:
         return out[::-1]
 
 
-def candidates(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[str, ...]]]]:
+def marked(text: str) -> tuple[list[tuple[int, int]], list[int]]:
+    """Spans that are candidates as a whole, and where values after a secret's name start."""
+    found = [m.span(1) for m in _ASSIGNED.finditer(text)] + [m.span() for m in _KEYED.finditer(text)]
+    found += [m.span() for m in _EMAIL.finditer(text)] if "@" in text else []
+    found += [m.span() for m in _IPV6.finditer(text) if _ipv6(m.group())] + [m.span() for m in _OPAQUE.finditer(text)] + [m.span() for m in re.finditer(_PEM, text)]
+    named = []
+    for m in _AFTER.finditer(text):
+        if m.end() < len(text) and (value := _VALUE.match(text, m.end())) and not text[m.end() - 1].isalnum():
+            named.append(m.end())
+            found.append(value.span())
+    return found, named
+
+
+def candidates(text: str, plain: bool = True) -> tuple[list[tuple[int, int]], list[tuple[int, int, tuple[str, ...]]]]:
     """Tokens, and the spans (first token, token after the last, features) that may be entities."""
     tokens = tokenise(text)
+    if not tokens:
+        return [], []
     begins = [a for a, _ in tokens]
-    found = [m.span(1) for m in _ASSIGNED.finditer(text)] + [m.span() for m in _KEYED.finditer(text)]
-    secret = {bisect_right(begins, a) - 1 for a, _ in found}
-    trigger = np.concatenate([[0], np.cumsum([i in secret or bool(_TRIGGER.search(text, a, b)) for i, (a, b) in enumerate(tokens)])]).tolist() if tokens else [0]
+    found, named = marked(text)
+    whole = {(bisect_right(begins, a) - 1, bisect_right(begins, b - 1)) for a, stop in found for b in _ends(text, a, stop) if a < b}
+    secret, names = {i for i, _ in whole}, set(named)
+    trigger = np.concatenate([[0], np.cumsum([i in secret or bool(_TRIGGER.search(text, a, b)) for i, (a, b) in enumerate(tokens)])]).tolist()
     white = [text[a].isspace() for a, _ in tokens]
     line = [text[a] == "\n" for a, _ in tokens]
     spans = []
+
+    def add(i: int, j: int) -> None:
+        start, stop = tokens[i][0], tokens[j - 1][1]
+        spans.append((i, j, span_features(text[start:stop], text[max(0, start - 1) : start], text[stop : stop + 2], start in names)))
+
     for i in range(len(tokens)):
         if white[i]:
             continue
-        start = tokens[i][0]
         for j in range(i, min(i + MAX_TOKENS, len(tokens))):
-            if line[j] or tokens[j][1] - start > MAX_BYTES:
+            if line[j]:
                 break
-            if white[j] or trigger[j + 1] == trigger[i]:
+            if white[j]:
                 continue
-            stop = tokens[j][1]
-            spans.append((i, j + 1, span_features(text[start:stop], text[max(0, start - 1) : start], text[stop : stop + 2])))
-    for i, j in sorted({(bisect_right(begins, a) - 1, bisect_right(begins, b - 1)) for a, stop in found for b in _ends(text, a, stop)}):
-        start, stop = tokens[i][0], tokens[j - 1][1]
-        if j - i > MAX_TOKENS or stop - start > MAX_BYTES:
-            spans.append((i, j, span_features(text[start:stop], text[max(0, start - 1) : start], text[stop : stop + 2])))
+            if trigger[j + 1] != trigger[i]:
+                add(i, j + 1)
+            elif plain:
+                spans.append((i, j + 1, PLAIN))
+    for i, j in sorted(whole):
+        if j - i > MAX_TOKENS and not white[i] and not white[j - 1]:
+            add(i, j)
     return tokens, spans
 
 
@@ -195,7 +289,7 @@ def _ends(text: str, start: int, stop: int) -> set[int]:
     """Where a secret may end: with or without a quote, and with or without a sentence's marks."""
     whole = text[start:stop]
     bare = whole.rstrip("\"'")
-    return {stop, start + len(bare), start + len(bare.rstrip("./+-"))}
+    return {stop, start + len(bare), start + len(bare.rstrip("./+-!:?"))}
 
 
 # --- training -------------------------------------------------------------------------------------
@@ -219,7 +313,10 @@ def _entity(r: random.Random, kind: str) -> str:
         a, b, c = str(r.randint(2, 9)) + _digits(r, 2), _digits(r, 3), _digits(r, 4)
         return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1 {a} {b} {c}", f"+{r.randint(20, 99)} {_digits(r, 2)} {_digits(r, 4)} {_digits(r, 4)}", f"+{r.randint(20, 99)} {_digits(r, 3)} {_digits(r, 7)}", f"+1-{a}-{b}-{c}", f"{a}.{b}.{c}"])
     if kind == "IP":
-        return ".".join(str(r.randint(1, 255)) for _ in range(4))
+        if r.random() < 0.6:
+            return ".".join(str(r.randint(1, 255)) for _ in range(4))
+        groups = [f"{r.randrange(1 << r.choice([4, 8, 12, 16, 16])):x}" for _ in range(8)]
+        return r.choice([":".join(groups), ":".join(groups[:2]) + "::" + ":".join(groups[2:4]), "fe80::" + ":".join(groups[:4]), ":".join(groups[:3]) + "::" + groups[3]])
     if kind == "CARD":
         body = r.choice("3456") + _digits(r, 14)
         if r.random() < 0.6:
@@ -235,9 +332,25 @@ def _entity(r: random.Random, kind: str) -> str:
         whole = f"{code}{check:02d}{body}"
         return r.choice([whole, " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))])
     some = lambda of, n: "".join(r.choice(of) for _ in range(n))
-    value = r.choice([hexa(18), hexa(32), hexa(40), some(string.ascii_letters + string.digits, 20) + "7", some(string.ascii_lowercase, r.randint(6, 24)), ".".join(some(string.ascii_letters + string.digits + "_-", r.randint(20, 60)) + "x" for _ in range(3))])
+    alnum = string.ascii_letters + string.digits
+    mixed = lambda n: some(alnum, n - 2) + r.choice(string.digits) + r.choice(string.ascii_letters)
+    value = r.choice([hexa(18), hexa(32), hexa(40), mixed(20), mixed(8), some(string.ascii_lowercase, r.randint(6, 24)), some(alnum, 5) + r.choice("!$#%") + some(alnum, 3), ".".join(some(alnum + "_-", r.randint(20, 60)) + "x" for _ in range(3))])
     key = r.choice(["password", "token", "secret", "api_key", "passwd", "access_key"])
-    return r.choice([f"{key}={value}", f'{key} = "{value}"', f"{key}: {value}", f"{key}='{value}'", *["AKIA" + "".join(r.choice(string.ascii_uppercase + string.digits) for _ in range(15)) + r.choice(string.digits)] * 2, "ghp_" + "".join(r.choice(string.ascii_letters + string.digits) for _ in range(30)) + "1", "AKIA" + some(string.ascii_uppercase, 16), "ghp_" + some(string.ascii_letters, 36)])
+    form = r.choice(["assigned"] * 4 + ["named"] * 3 + ["prefix", "prefix", "opaque", "pem"])
+    if form == "assigned":
+        return r.choice([f"{key}={value}", f'{key} = "{value}"', f"{key}: {value}", f"{key}='{value}'"])
+    if form == "prefix":
+        return r.choice(["AKIA" + some(string.ascii_uppercase + string.digits, 16), "ghp_" + some(alnum, 36), "AKIA" + some(string.ascii_uppercase, 16), "ghp_" + some(string.ascii_letters, 36), "sk_live_" + mixed(24), "xoxb-" + _digits(r, 11) + "-" + mixed(24)])
+    if form == "pem":
+        kind = r.choice(["", "RSA ", "EC "])
+        return f"-----BEGIN {kind}PRIVATE KEY-----" + r.choice(["", "\n" + "\n".join(some(alnum + "+/", 40) for _ in range(r.randint(1, 3))) + f"\n-----END {kind}PRIVATE KEY-----"])
+    if form == "opaque":
+        return mixed(r.randint(24, 60))
+    return NAMED + r.choice([mixed(r.choice([10, 16, 40, 150])), _ascii(r) + _digits(r, r.randint(1, 4)) + r.choice(["", _ascii(r)]), _ascii(r) + _digits(r, 3) + _ascii(r), ".".join(some(alnum + "_-", r.randint(5, 40)) for _ in range(3)) + "x"]).rjust(6, "q")
+
+
+NAMED = "\0"  # a value that one of these comes before
+_CALLED = ("token ", "Bearer ", "password ", "secret is ", "the password is ", "auth ")
 
 
 def _ascii(r: random.Random) -> str:
@@ -251,6 +364,8 @@ def _decoy(r: random.Random) -> str:
         f"{n(0, 23)}:{int(n(0, 59)):02d}", f"{n(1, 999)},{_digits(r, 3)}", f"${n(1, 999)}.{_digits(r, 2)}", f"{n(1, 99)}%", n(0, 99999), f"@{_ascii(r)}", f"x{n(0, 9)} = {n(0, 99)}", f"{n(1, 20)}-{n(20, 40)}",
         f"{n(1, 99)} {_ascii(r)}", f"{_ascii(r)}{n(0, 99)}", f"({n(1900, 2030)})", f"[{n(1, 30)}]", f"{n(10, 99)} {n(100, 999)} {n(100, 999)}", f"pp. {n(10, 99)}-{n(100, 999)}", f"BY-NC {n(1, 4)}.0", f"{_digits(r, 7)}", f"{n(1, 9)}/{n(1, 9)}",
         f"{n(256, 999)}.{n(256, 999)}.{n(0, 99)}.{n(0, 99)}", f"1.{n(0, 9)}.{n(0, 9)}.", f"{n(1, 9)} {n(1, 9)} {n(1, 9)} {n(1, 9)} {n(1, 9)}", f"width={n(1, 999)}", f"id: {n(1, 9999)}",
+        f"{n(0, 23)}:{int(n(0, 59)):02d}:{int(n(0, 59)):02d}", f"std::{_ascii(r)}", f"the password {_word(r)}", f"a token {_word(r)} {_word(r)}", f"secret {_word(r)}", f"secret of {_word(r)}", _ascii(r) + "".join(_word(r) for _ in range(6)), f"{_ascii(r)}-{_ascii(r)}-{_ascii(r)}-{_ascii(r)}-{_ascii(r)}",
+        "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))), "-".join("".join(r.choice("0123456789abcdef") for _ in range(k)) for k in (8, 4, 4, 4, 12)), f"http://{_ascii(r)}.org/{_ascii(r)}/{_ascii(r)}-{_ascii(r)}.html", f"/{_ascii(r)}/{_ascii(r)}/{_ascii(r)}_{n(1, 99)}.txt", f"{_ascii(r)}_{_ascii(r)}_{_ascii(r)}_{_ascii(r)}_{_ascii(r)}",
     ])
 
 
@@ -266,10 +381,15 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
             if r.random() < 0.55:
                 kind = r.randrange(len(KINDS))
                 s = _entity(r, KINDS[kind])
+                if s[0] == NAMED:
+                    s = s[1:]
+                    text += r.choice(_CALLED)
                 gold.append((len(text), len(text) + len(s), kind + 1))
             else:
                 s = _decoy(r)
-            text += s + r.choice([" ", " ", " ", ", ", ". ", ".", "\n", "! "])
+            text += s + r.choice([" ", " ", " ", ", ", ". ", ".", "\n", "! ", ""])
+            if text.endswith(s):  # an end of the text
+                break
         out.append((text, gold))
     return out
 
@@ -329,9 +449,6 @@ def fit(data: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 2, rat
                     for x in f.tolist():
                         dw[x] = dw.get(x, 0) + p
             dm = sum(np.exp(alpha[a][:, None] + moves + out[a][None, :] - z) for a in range(n))
-            covered = {t for a, b in truth for t in range(a, b)}
-            p0 = sum(math.exp(into[a][0] + w[0, 0] + beta[a + 1][0] - z) for a in range(n)) - (n - len(covered))
-            dw[0] = dw.get(0, 0) + np.where(np.arange(k) == 0, p0, 0)
             kinds, t = [], 0
             jump = {a: (b, kind) for (a, b), kind in truth.items()}
             while t < n:
@@ -340,6 +457,7 @@ def fit(data: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 2, rat
                 t = b
             for x, y in zip([0, *kinds[:-1]], kinds, strict=True):
                 dm[x, y] -= 1
+            dm[0, 0] = 0  # with no weight of a token outside, an entity's length alone speaks neither for nor against it
             for x, g in dw.items():
                 g = g + decay * w[x]
                 gw[x] += g * g
@@ -360,47 +478,59 @@ def model(sentences_used: int = 500, seed: int = 7) -> SemiCrf:
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[[*range(48, 58), 64]] = True
+_SOLID = ~T.WHITE
+_SOLID[[28, 29, 30, 31]] = False
+_LONG_BYTES = re.compile(rb"[A-Za-z0-9+/_=.~-]{%d,}" % LONG)
 
 
 def windows(row: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges of a text that hold every possible entity and what its features see; they don't touch."""
+    """Byte ranges of a text around its marks, ``MAX_TOKENS`` words to either side; they don't touch."""
     at = np.flatnonzero(_DIGIT[row])
+    end = at + 1
     raw = row.tobytes()
-    secrets = [m.span(1) for m in _ASSIGNED_BYTES.finditer(raw)] if b"=" in raw or b":" in raw else []
-    secrets += [m.span() for m in _KEYED_BYTES.finditer(raw)]
-    end = at
-    if secrets:
-        a, b = np.array(secrets).T
-        order = np.argsort(np.concatenate([at, a]), kind="stable")
-        at, end = np.concatenate([at, a])[order], np.maximum.accumulate(np.concatenate([at, b - 1])[order])
+    low = T.LOWER[row].tobytes()
+    first = np.flatnonzero(_SOLID[row] & np.concatenate([[True], ~_SOLID[row[:-1]]])) if len(row) else at
+    last = np.flatnonzero(_SOLID[row] & np.concatenate([~_SOLID[row[1:]], [True]])) + 1 if len(row) else at
+    long = len(first) and int((last - first).max()) >= LONG
+    if long or any(h in low for h in _HINTS) or raw.count(b":") >= 7:
+        text = raw.decode("utf-8", "replace")
+        spans = marked(text)[0]
+        if spans:
+            a, b = np.array(spans).T
+            if len(text) != len(raw):
+                byte = np.flatnonzero((row & 0xC0) != 0x80)
+                byte = np.concatenate([byte, [len(row)]])
+                a, b = byte[a], byte[b]
+            order = np.argsort(np.concatenate([at, a]), kind="stable")
+            at, end = np.concatenate([at, a])[order], np.maximum.accumulate(np.concatenate([end, b])[order])
     if not len(at):
         return []
-    reach = 4 * MAX_BYTES + 8  # characters have up to four bytes
-    gap = np.flatnonzero(at[1:] - end[:-1] > 2 * reach)
-    lo, hi = at[np.concatenate([[0], gap + 1])] - reach, end[np.concatenate([gap, [len(at) - 1]])] + reach + 1
-    return list(zip(np.maximum(lo, 0).tolist(), np.minimum(hi, len(row)).tolist(), strict=True))
+    reach = MAX_TOKENS + 1
+    lo = np.maximum(np.searchsorted(first, at, "right") - 1 - reach, 0)
+    hi = np.minimum(np.searchsorted(last, end, "left") + reach, len(last) - 1)
+    gap = np.flatnonzero(lo[1:] > np.maximum.accumulate(hi)[:-1])
+    lo, hi = lo[np.concatenate([[0], gap + 1])], np.maximum.accumulate(hi)[np.concatenate([gap, [len(hi) - 1]])]
+    return list(zip(first[lo].tolist(), last[hi].tolist(), strict=True))
 
 
 def entities(crf: SemiCrf, row: np.ndarray) -> list[tuple[int, int, int, float]]:
     """(start, stop, kind, gain) in bytes, for one text's bytes."""
     out = []
-    continues = (row & 0xC0) == 0x80
-    for lo, hi in windows(row):
-        while lo > 0 and not (WORD_END[row[lo - 1]] and not continues[lo]):  # at a token's start
-            lo -= 1
-        while hi < len(row) and not (WORD_END[row[hi]] and not continues[hi]):
-            hi += 1
-        text = row[lo:hi].tobytes().decode("utf-8", "replace")
+    for lo, hi in windows(row) if crf.never_plain() else [(0, len(row))]:
+        # what features see beyond a span stays in view
+        a, b = max(0, lo - 1), min(len(row), hi + 2)
+        while a > 0 and row[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(row) and row[b] & 0xC0 == 0x80:
+            b += 1
+        text = row[a:b].tobytes().decode("utf-8", "replace")
         found = crf.segments(text)
         if found:
-            at = lo + np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
-            out += [(int(at[a]), int(at[b]), kind, gain) for a, b, kind, gain in found]
+            at = a + np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
+            out += [(int(at[i]), int(at[j]), kind, gain) for i, j, kind, gain in found]
     return out
 
 
-WORD_END = T.WHITE  # windows grow to white space, so that no token is cut
-
-
 def _find(crf):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = crf.value
