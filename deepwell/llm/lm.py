@@ -1,294 +1,254 @@
-"""Language-model scores by a weighted backoff automaton over folded bytes.
+"""Language-model scores by a weighted backoff automaton over words.
 
-``score(docs)`` trains an n-gram model on the whole table and returns one row per document:
+``score(docs)`` trains a model of the whole table and returns one row per document:
 
-    doc_id BIGINT, symbols BIGINT (scored, the end included), log_prob DOUBLE (natural), bits DOUBLE (per symbol),
-    perplexity DOUBLE (per symbol)
+    doc_id BIGINT, tokens BIGINT (words, the end included), log_prob DOUBLE (natural, mean per token),
+    total_log_prob DOUBLE, bits DOUBLE (per token), perplexity DOUBLE (per token)
 
-Text is folded to ``ALPHABET`` symbols: 0 a text's boundary, 1 white space, 2 digits, 3-28 letters of either case,
-29 full stop, 30 comma, 31 other ASCII, 32-63 bytes beyond ASCII by their low five bits. Every n-gram of ``ORDER``
-symbols of every text is counted; lower orders are marginals of those counts. Probabilities are interpolated with
-absolute discounting:
+A word is a run of bytes other than white space, ASCII letters in lower case; each text has two starts before its words and
+an end after them. All n-grams of one to three words of all texts are counted, none is dropped, and smoothed towards the
+next shorter one, a token's own occurrence left out of the counts by which it is scored (c counts, h' is h less its oldest
+word, N are all tokens):
 
-    p(w | h) = max(c(hw) - D, 0) / c(h) + b(h) p(w | h'),   b(h) = 1 - sum of the first terms
+    p(w | h) = (c(hw) - 1 + K p(w | h')) / (c(h) - 1 + K),    p(w) = (c(w) - 1 + K / OPEN) / (N - 1 + K)
 
-with h' the context less its oldest symbol. N-grams of two symbols or more are kept from a count of ``MIN_COUNT`` up,
-however many there are; what is pruned falls to b(h), and each state's distribution still sums to 1.
+So a state is a context of two words, one or none. It has an arc, of weight log p(w | h), to the longest context that ends
+hw for each n-gram that occurs again, c(hw) > 1, and a failure arc of weight log(K / (c(h) - 1 + K)) to h'. The state
+after a word is the pair of words that ends there, so a text's transitions are resolved side by side: each takes its
+state's arc or follows failure arcs to one, and their weights are added up from left to right.
 
-A context with a kept continuation is a state, a kept n-gram an arc to the longest state that ends the extended
-context, and each state has a failure arc of weight b(h) to its suffix. One pass from left to right carries the state
-and adds up log-probabilities; arcs are found by a 64-bit mask per state and a popcount. The state depends on the last
-``ORDER`` - 1 symbols alone, so long texts are cut into pieces that overlap by as many and run side by side.
+The automaton is as large as the corpus, so no machine holds it. Texts are stored in parts of about ``part_bytes``; a part
+sends its distinct n-grams with their counts, as sorted and compressed hashes, to buckets of hashes, where counts of all
+parts are added up, and gets back the totals of its own n-grams: those states and arcs that its texts can reach. A bucket
+holds an n-gram once for each part, however often it occurs, and about ``bucket_keys`` hashes. Hashes are cut to 20 bits
+more than it takes to number the corpus's n-grams, so that one in a million meets another, at every size.
 
-The automaton grows with the corpus, so it isn't sent to the workers: its arrays are files in the session's shared
-folder, which every worker maps into memory. The driver writes them a batch of n-grams at a time and holds one entry
-for each context that ``ORDER`` - 1 symbols can form (64 MB), whatever the corpus.
-
-Defined cases: a null text has null scores and 0 symbols; an empty one scores its end alone; repeated rows count and
-are scored each; other columns are ignored; an empty table gives no rows.
+Defined cases: a null text has null scores and 0 tokens; one that is empty or white space scores its end alone; repeated
+rows count and are scored each; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import os
-import uuid
-from collections.abc import Callable, Iterator
-from urllib.parse import unquote, urlparse
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
+import zstandard as zs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .store import shared_folder, written
-
-ORDER = 5
-ALPHABET = 64
-DISCOUNT = 0.7
-MIN_COUNT = 2
-BATCH = 1 << 20
-PIECE = 512
-
-_FOLD = np.full(256, 31, np.uint8)
-_FOLD[T.WHITE] = 1
-_FOLD[48:58] = 2
-_FOLD[97:123] = np.arange(3, 29)
-_FOLD[65:91] = np.arange(3, 29)
-_FOLD[46], _FOLD[44] = 29, 30
-_FOLD[128:] = 32 + (np.arange(128, 256) & 31)
-
-
-def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the rows, each after ORDER - 1 boundaries and before one; and where each row's first boundary is."""
-    n = np.diff(offsets)
-    at = np.concatenate([[0], np.cumsum(n + ORDER)])
-    out = np.zeros(at[-1], np.uint8)
-    out[T.ragged(at[:-1] + ORDER - 1, n)] = _FOLD[data]
-    return out, at
-
-
-def codes(symbols: np.ndarray) -> np.ndarray:
-    """The n-gram that starts at each place, six bits a symbol."""
-    out = np.zeros(max(0, len(symbols) - ORDER + 1), np.uint32)
-    for j in range(ORDER):
-        out <<= np.uint32(6)
-        out |= symbols[j : j + len(out)]
-    return out
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+from .store import written
+
+ORDER = 3
+STRENGTH = (1.0, 4.0, 1.0)  # K of contexts of no, one and two words
+OPEN = 1 << 20
+PART_BYTES = 8 << 20
+BUCKET_KEYS = 1 << 21
+SPARE_BITS = 20
+
+_START, _END, _ALL = (np.uint64(T.mix_int(x)) for x in (0x57A27, 0xE4D, 0xA11))
+
+
+# --- a part's n-grams -----------------------------------------------------------------------------
+
+
+def _types(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes, each place's, and how often they occur."""
+    order = np.argsort(code, kind="stable")
+    ordered = code[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(code) else np.zeros(0, bool)
+    at = np.empty(len(code), np.int64)
+    at[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return ordered[first], at, np.diff(np.concatenate([first, [len(code)]]))
+
+
+class Part:
+    """Of some texts, the tokens with their starts and the n-grams that end at each; ``keys`` are the distinct hashes, ascending."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, bits: int):
+        low = T.LOWER[data]
+        starts, ends, at = T.words(low, offsets)
+        n = np.diff(at) + 2
+        self.bounds = np.concatenate([[0], np.cumsum(n)])
+        words = np.empty(self.bounds[-1], np.uint64)
+        words[T.ragged(self.bounds[:-1] + 1, n - 2)] = T.span_hashes(T.prefix_hash(low), starts, ends)
+        self.first, last = self.bounds[:-1], self.bounds[1:] - 1
+        words[self.first], words[last] = _START, _END
+        name, self.word, count1 = _types(words)
+        before = np.concatenate([[0], self.word[:-1]])
+        before[self.first] = self.word[self.first]  # two starts
+        pair, self.pair, count2 = _types(before << 32 | self.word)
+        self.context = np.concatenate([[0], self.pair[:-1]])
+        inner = np.ones(len(words), bool)
+        inner[self.first] = False
+        self.scored = np.flatnonzero(inner)
+        triple, self.triple, count3 = _types((self.context << 32 | self.word)[self.scored])
+        a, b = name[pair >> 32], name[pair & 0xFFFFFFFF]
+        self.pair_head, self.pair_last = pair >> 32, pair & 0xFFFFFFFF
+        of = triple >> 32
+        with np.errstate(over="ignore"):
+            two = T.mix(T.mix(a) * np.uint64(3) + b)
+            three = T.mix(T.mix(two[of] + np.uint64(7)) * np.uint64(5) + name[triple & 0xFFFFFFFF])
+            key = np.concatenate([T.mix(name + np.uint64(1)), T.mix(two + np.uint64(2)), T.mix(three + np.uint64(3)), [_ALL]]) >> np.uint64(64 - bits)
+        self.sizes = np.cumsum([len(name), len(pair), len(triple)])
+        count = np.concatenate([count1, count2, count3, [len(self.scored)]])
+        self.keys, self.place, _ = _types(key)
+        self.counts = np.bincount(self.place, count, len(self.keys)).astype(np.int64)
+
+    def log_probs(self, totals: np.ndarray) -> np.ndarray:
+        """Of each row, the sum over its tokens; ``totals``: of the keys, in the corpus."""
+        c1, c2, c3, total = np.split(totals[self.place].astype(np.float64), self.sizes)
+        k0, k1, k2 = STRENGTH
+        one = (c1 - 1 + k0 / OPEN) / (total[0] - 1 + k0)
+        two = (c2 - 1 + k1 * one[self.pair_last]) / (c1[self.pair_head] - 1 + k1)
+        fail1, fail2 = np.log(k1 / (c1 - 1 + k1)), np.log(k2 / (c2 - 1 + k2))
+        place, word, pair, state = self.scored, self.word[self.scored], self.pair[self.scored], self.context[self.scored]
+        gain = fail2[state] + fail1[self.pair_last[state]] + np.log(one)[word]  # down to the root
+        again = c2[pair] > 1
+        gain[again] = fail2[state[again]] + np.log(two[pair[again]])
+        again = c3[self.triple] > 1
+        t, s = self.triple[again], state[again]
+        gain[again] = np.log((c3[t] - 1 + k2 * two[pair[again]]) / (c2[s] - 1 + k2))
+        sums = np.concatenate([[0.0], np.cumsum(gain)])
+        at = np.searchsorted(place, self.bounds)
+        return sums[at[1:]] - sums[at[:-1]]
+
+
+# --- the exchange ---------------------------------------------------------------------------------
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Integers by planes of their bytes, compressed."""
+    return zs.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zs.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view("<u8")
+
+
+def _store(part_bytes: int):
+    """(doc_id, text) -> parts: (part, doc_ids, sizes (-1: null), compressed texts)."""
+    names = ["part", "doc_ids", "sizes", "texts"]
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 32
+        ids, sizes, texts, held = [], [], [], 0
+
+        def close() -> pa.RecordBatch:
+            raw = zs.ZstdCompressor(level=1).compress(b"".join(texts))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([raw], pa.binary())], names)
+
+        for batch in batches:
+            for lo, hi, data, offsets in T.text_slices(batch.column(1), max(1, part_bytes // 4)):
+                own = batch.column(1).slice(lo, hi - lo)
+                size = np.where(np.asarray(own.is_null()), -1, np.diff(offsets))
+                ids += batch.column(0).slice(lo, hi - lo).to_pylist()
+                sizes += size.tolist()
+                texts.append(data.tobytes())
+                held += len(data)
+                if held >= part_bytes or len(ids) >= 1 << 18:
+                    yield close()
+                    part, ids, sizes, texts, held = part + 1, [], [], [], 0
+        if ids:
+            yield close()
+
+    return store
+
+
+def _load(sizes: list[int], raw: bytes, bits: int) -> Part:
+    data = np.frombuffer(zs.ZstdDecompressor().decompress(raw), np.uint8)
+    return Part(data, np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))]), bits)
+
+
+def _bounds(buckets: int, bits: int) -> np.ndarray:
+    """The first key of each bucket."""
+    return np.array([(i << bits) // buckets for i in range(buckets)], np.uint64)
+
+
+def _send(buckets: int, bits: int):
+    """Parts -> (bucket, part, keys, counts)."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = _bounds(buckets, bits)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = _load(batch.column(1)[r].as_py(), batch.column(2)[r].as_py(), bits)
+                at = [*np.searchsorted(own.keys, bounds).tolist(), len(own.keys)]
+                rows = [(i, _pack(np.diff(own.keys[a:b], prepend=np.uint64(0))), _pack(own.counts[a:b])) for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+                number, keys, counts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([batch.column(0)[r].as_py()] * len(rows), pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["bucket", "part", "keys", "counts"])
+
+    return send
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of bucket -> (part, bucket, totals of the part's keys in it)."""
+    bucket, held = None, []
+
+    def close() -> pa.RecordBatch:
+        parts, keys, counts = zip(*held, strict=True)
+        sizes = np.cumsum([len(k) for k in keys])[:-1]
+        keys_, place, _ = _types(np.concatenate(keys))
+        total = np.bincount(place, np.concatenate(counts), len(keys_)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([bucket] * len(parts), pa.int32()), pa.array([_pack(t) for t in np.split(total[place], sizes)], pa.binary())], ["part", "bucket", "totals"])
+
     for batch in batches:
-        column = batch.column(0).drop_null()
-        for _, _, data, offsets in T.text_slices(column):
-            symbols, at = padded(data, offsets)
-            code = codes(symbols)
-            inside = np.ones(len(code), bool)
-            inside[(at[1:-1, None] - np.arange(1, ORDER)).ravel()] = False  # grams across two rows
-            own, n = np.unique(code[inside], return_counts=True)
-            both, place = np.unique(np.concatenate([grams, own]), return_inverse=True)
-            total = np.zeros(len(both), np.int64)
-            np.add.at(total, place[: len(grams)], counts)
-            total[place[len(grams) :]] += n
-            grams, counts = both, total
-    for i in range(0, len(grams), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(grams[i : i + 100_000].astype(np.int64)), pa.array(counts[i : i + 100_000])], ["gram", "n"])
-
-
-#: An order's kept n-grams as batches of their codes, counts and contexts' counts, in any order; may be read again.
-Grams = Callable[[], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
-
-
-class Automaton:
-    """States in order of (length, context); root is state 0 and has an arc for every symbol. Arcs by (state, symbol)."""
-
-    FILES = ("mask", "fail", "back", "arc", "weight", "target", "start")
-
-    def __init__(self, folder: str):
-        """``folder``: where ``build`` wrote."""
-        self.folder = folder
-        for name in self.FILES:
-            setattr(self, name, np.asarray(np.load(f"{folder}/{name}.npy", mmap_mode="r")))
-        self.states = len(self.mask)
-
-    def __reduce__(self):
-        return Automaton, (self.folder,)  # workers map the files
-
-    @classmethod
-    def build(cls, folder: str, unigrams: tuple[np.ndarray, np.ndarray], orders: list[Grams], discount: float = DISCOUNT) -> Automaton:
-        """``unigrams``: codes and counts; ``orders``: from two symbols up."""
-        os.makedirs(folder)
-
-        def array(name: str, kind: type, n: int) -> np.ndarray:
-            return np.asarray(np.lib.format.open_memmap(f"{folder}/{name}.npy", "w+", kind, (n,)))
-
-        number = [np.zeros(1, np.int32)]  # by length: of each possible context its state, -1 where it is none
-        first = [0, 1]
-        for k, grams in enumerate(orders, 1):
-            seen = np.zeros(1 << 6 * k, bool)
-            for gram, _, _ in grams():
-                seen[gram >> 6] = True
-            own = np.full(len(seen), -1, np.int32)
-            own[seen] = np.arange(first[-1], first[-1] + np.count_nonzero(seen), dtype=np.int32)
-            number.append(own)
-            first.append(first[-1] + int(np.count_nonzero(seen)))
-
-        def longest(context: np.ndarray, length: int) -> np.ndarray:
-            out = number[length][context & ((1 << 6 * length) - 1)]
-            for k in range(length - 1, -1, -1):
-                todo = np.flatnonzero(out < 0)
-                out[todo] = number[k][context[todo] & ((1 << 6 * k) - 1)]
-            return out
-
-        mask, fail, back = array("mask", np.uint64, first[-1]), array("fail", np.int32, first[-1]), array("back", np.float64, first[-1])
-        mask[0] = 0xFFFFFFFFFFFFFFFF
-        for k, grams in enumerate(orders, 2):  # ``back`` has the sums of shares first
-            for gram, n, total in grams():
-                own = number[k - 1][gram >> 6]
-                np.bitwise_or.at(mask, own, np.uint64(1) << (gram & 63).astype(np.uint64))
-                np.add.at(back, own, np.maximum(n - discount, 0) / total)
-        arc = array("arc", np.int32, first[-1])
-        arc[1:] = np.cumsum(np.bitwise_count(mask[:-1]), dtype=np.int32)  # fewer than 2^31: there are 2^30 n-grams of ORDER
-        arcs = int(arc[-1]) + int(np.bitwise_count(mask[-1]))
-
-        def place(state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-            return arc[state] + np.bitwise_count(mask[state] & ((np.uint64(1) << symbol.astype(np.uint64)) - np.uint64(1)))
-
-        weight, target = array("weight", np.float32, arcs), array("target", np.int32, arcs)
-        root = np.arange(ALPHABET)
-        lower = np.zeros(ALPHABET)  # probabilities of the last order's arcs, of which the first is number ``base``
-        lower[unigrams[0]] = unigrams[1]
-        lower, base = (lower + 1) / (lower.sum() + ALPHABET), 0
-        weight[root], target[root] = np.log(lower), longest(root, 1)
-        for k, grams in enumerate(orders, 2):
-            if first[k] == first[k - 1]:
-                break
-            for at in range(first[k - 1], first[k], BATCH):
-                states = slice(at, min(at + BATCH, first[k]))
-                back[states] = 1 - back[states]
-            from_ = int(arc[first[k - 1]])
-            to = int(arc[first[k]]) if first[k] < len(arc) else arcs
-            own_probability = array("lower", np.float64, to - from_) if k < ORDER else None
-            for gram, n, total in grams():
-                own = number[k - 1][gram >> 6]
-                fail[own] = number[k - 2][(gram >> 6) & ((1 << 6 * (k - 2)) - 1)]  # a context's suffix is one: it's at least as frequent
-                suffix = gram & ((1 << 6 * (k - 1)) - 1)
-                # a kept n-gram's suffix is kept, likewise
-                probability = np.maximum(n - discount, 0) / total + back[own] * lower[place(number[k - 2][suffix >> 6], suffix & 63) - base]
-                at = place(own, gram & 63)
-                weight[at] = np.log(probability)
-                target[at] = longest(gram, min(k, ORDER - 1))
-                if own_probability is not None:
-                    own_probability[at - from_] = probability
-            if own_probability is not None:
-                os.unlink(f"{folder}/lower.npy")  # stays mapped while it's used
-                lower, base = own_probability, from_
-            for at in range(first[k - 1], first[k], BATCH):
-                states = slice(at, min(at + BATCH, first[k]))
-                back[states] = np.log(np.maximum(back[states], 1e-12))
-        array("start", np.int64, 1)[0] = longest(np.zeros(1, np.int64), ORDER - 1)[0]
-        return cls(folder)
-
-    def step(self, at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states and log-probabilities of a symbol in each of many states."""
-        at = at.copy()
-        gain = np.zeros(len(at))
-        bit = np.uint64(1) << symbol.astype(np.uint64)
-        todo = np.flatnonzero((self.mask[at] & bit) == 0)
-        while len(todo):
-            gain[todo] += self.back[at[todo]]
-            at[todo] = self.fail[at[todo]]
-            todo = todo[(self.mask[at[todo]] & bit[todo]) == 0]
-        arc = self.arc[at] + np.bitwise_count(self.mask[at] & (bit - np.uint64(1)))
-        return self.target[arc], gain + self.weight[arc]
-
-    def log_probs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability and number of symbols of each row, its end included."""
-        symbols, at = padded(data, offsets)
-        n = np.diff(at) - ORDER + 1
-        pieces = -(-n // PIECE)
-        row = np.repeat(np.arange(len(n)), pieces)
-        number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = at[:-1][row] + ORDER - 1 + number * PIECE
-        size = np.minimum(PIECE, n[row] - number * PIECE)
-        order = np.argsort(-size, kind="stable")  # those that end first leave from the end
-        begin, size, number = begin[order], size[order], number[order]
-        state = np.where(number == 0, self.start[0], 0).astype(np.int32)
-        inner = np.flatnonzero(number > 0)
-        for j in range(ORDER - 1, 0, -1):
-            state[inner], _ = self.step(state[inner], symbols[begin[inner] - j])
-        total = np.zeros(len(begin))
-        active = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), "left")
-        for j, m in enumerate(active.tolist()):
-            state[:m], gain = self.step(state[:m], symbols[begin[:m] + j])
-            total[:m] += gain
-        out = np.zeros(len(n))
-        np.add.at(out, row[order], total)
-        return out, n
-
-
-def _local(uri: str) -> str:
-    parts = urlparse(uri)
-    if parts.scheme not in ("", "file"):
-        raise ValueError(f"the automaton's files are mapped into memory: {uri} must be a folder that is mounted on every machine")
-    return unquote(parts.path)
-
-
-def _grams(table: DataFrame) -> Grams:
-    files = [_local(file) for file in table.inputFiles()]
-
-    def read() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for file in files:
-            for batch in pq.ParquetFile(file).iter_batches(BATCH):
-                yield tuple(batch[c].to_numpy() for c in ("gram", "n", "total"))
-
-    return read
-
-
-def _cut(by_order: list[DataFrame], min_count: int, max_arcs: int) -> int:
-    """The least count, from ``min_count`` up, that at most ``max_arcs`` n-grams of every order have."""
-    # counts go by their ten leading bits: some thousand rows at most
-    cut = min_count
-    for own in by_order[1:]:
-        low = F.expr("greatest(0, CAST(floor(log2(n)) AS INT) - 9)")
-        sizes = own.withColumn("low", low).groupBy(F.expr("shiftleft(shiftright(n, low), low)").alias("n")).count().toPandas().sort_values("n")
-        above, n = sizes["count"][::-1].cumsum()[::-1].to_numpy(), sizes["n"].to_numpy()
-        if len(n):
-            fits = n[above <= max_arcs]
-            cut = max(cut, int(fits[0]) if len(fits) else 2 * int(n.max()))
-    return cut
-
-
-def train(docs: DataFrame, discount: float = DISCOUNT, min_count: int = MIN_COUNT, max_arcs: int | None = None) -> Automaton:
-    """``max_arcs``: for callers that want a small model of a large table, a bound on each order's n-grams; none by default."""
-    folder = _local(shared_folder(docs.sparkSession))
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = written(texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    by_order = [counts.groupBy(F.expr(f"gram & {(1 << 6 * k) - 1}").alias("gram")).agg(F.sum("n").alias("n")) if k < ORDER else counts for k in range(1, ORDER + 1)]
-    cut = min_count if max_arcs is None else _cut(by_order, min_count, max_arcs)
-    orders = []
-    for own in by_order[1:]:
-        total = own.groupBy(F.shiftright("gram", 6).alias("context")).agg(F.sum("n").alias("total"))
-        kept = own.where(F.col("n") >= cut).join(total, F.shiftright("gram", 6) == F.col("context")).select("gram", "n", "total")
-        orders.append(_grams(written(kept, "kept-grams")))
-    one = by_order[0].toArrow()  # a row for each symbol
-    return Automaton.build(f"{folder}/automaton-{uuid.uuid4().hex}", (one["gram"].to_numpy(), one["n"].to_numpy()), orders, discount)
-
-
-def score(docs: DataFrame, model: Automaton | None = None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+        for b, part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if b != bucket and held:
+                yield close()
+                held = []
+            bucket = b
+            held.append((part, np.cumsum(_unpack(keys), dtype=np.uint64), _unpack(counts)))
+    if held:
+        yield close()
+
+
+def _judge(bits: int):
+    """Rows in order of part, its texts before its totals by bucket -> scores."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        held: list = []
+        totals: list = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            ids, sizes, raw = held
+            own = _load(sizes, raw, bits)
+            log = own.log_probs(np.concatenate(totals))
+            n = np.diff(own.bounds) - 1
+            none = np.array(sizes) < 0
+            bits_ = -log / n / math.log(2)
+            columns = [pa.array(ids, pa.int64()), pa.array(np.where(none, 0, n)), *(pa.array(x, mask=none) for x in (log / n, log, bits_, 2.0**bits_))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tokens", "log_prob", "total_log_prob", "bits", "perplexity"])
+
         for batch in batches:
-            for lo, hi, data, offsets in T.text_slices(batch.column(1)):
-                log, n = own.log_probs(data, offsets)
-                none = np.asarray(batch.column(1).slice(lo, hi - lo).is_null())
-                bits = -log / n / math.log(2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.where(none, 0, n)), *(pa.array(x, mask=none) for x in (log, bits, 2.0**bits))], ["doc_id", "symbols", "log_prob", "bits", "perplexity"])
+            for r in range(batch.num_rows):
+                if batch.column(1)[r].as_py() < 0:
+                    if held:
+                        yield from close()
+                    held, totals = [batch.column(i)[r].as_py() for i in (2, 3, 4)], []
+                else:
+                    totals.append(_unpack(batch.column(4)[r].as_py()))
+        if held:
+            yield from close()
+
+    return judge
+
 
+def score(docs: DataFrame, part_bytes: int = PART_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(judge, "doc_id long, symbols long, log_prob double, bits double, perplexity double")
+    parts = written(rows.mapInArrow(_store(part_bytes), "part long, doc_ids array<long>, sizes array<long>, texts binary"), "parts")
+    n = parts.select(F.aggregate("sizes", F.lit(0.0), lambda n, size: n + F.greatest(size, F.lit(0)) / 5 + 3).alias("n")).agg(F.sum("n")).first()[0] or 1.0
+    grams = ORDER * n  # a bound on the n-grams for words of four bytes and a blank; more of them only make the buckets fuller
+    bits = int(min(64, max(40, SPARE_BITS + math.ceil(math.log2(grams)))))
+    buckets = max(1, math.ceil(grams / bucket_keys))
+    sent = parts.select("part", "sizes", "texts").mapInArrow(_send(buckets, bits), "bucket int, part long, keys binary, counts binary")
+    totals = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_total, "part long, bucket int, totals binary")
+    back = totals.select("part", "bucket", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<long>").alias("sizes"), F.col("totals").alias("raw"))
+    texts = parts.select("part", F.lit(-1).alias("bucket"), "doc_ids", "sizes", F.col("texts").alias("raw"))
+    both = texts.union(back).repartition("part").sortWithinPartitions("part", "bucket")
+    return both.mapInArrow(_judge(bits), "doc_id long, tokens long, log_prob double, total_log_prob double, bits double, perplexity double")

@@ -1,93 +1,123 @@
-"""The automaton against n-gram probabilities computed by their formula."""
+"""Against the automaton of the whole corpus, built from dictionaries and walked a word at a time."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
-
-from deepwell.llm import lm as M
-
-
-def brute(texts, min_count=M.MIN_COUNT, discount=M.DISCOUNT):
-    """p(symbol | history) by recursion over dictionaries."""
-    rows = [[0] * (M.ORDER - 1) + M._FOLD[np.frombuffer(t.encode(), np.uint8)].tolist() + [0] for t in texts]
-    top = Counter(tuple(r[i : i + M.ORDER]) for r in rows for i in range(len(r) - M.ORDER + 1))
-    counts = {M.ORDER: top}
-    for k in range(M.ORDER - 1, 0, -1):
-        counts[k] = Counter()
-        for g, n in top.items():
-            counts[k][g[-k:]] += n
-    total = {k: Counter() for k in counts}
-    for k in counts:
-        for g, n in counts[k].items():
-            total[k][g[:-1]] += n
-    kept = {k: {g: n for g, n in counts[k].items() if n >= min_count} for k in counts if k > 1}
-    by = {k: {} for k in kept}
-    for k in kept:
-        for g, n in kept[k].items():
-            by[k].setdefault(g[:-1], {})[g[-1]] = max(n - discount, 0) / total[k][g[:-1]]
-    size = sum(counts[1].values())
-
-    def p(history, symbol):
-        if not history:
-            return (counts[1][(symbol,)] + 1) / (size + M.ALPHABET)
-        shares = by[len(history) + 1].get(history, {})
-        return shares.get(symbol, 0.0) + (1 - sum(shares.values())) * p(history[1:], symbol)
-
-    return p, rows
-
-
-def test_scores_are_those_of_the_formula(docs, corpus):
-    texts = [t for _, t, *_ in corpus if t is not None and len(t) < 3000]
-    small = docs.where("text IS NULL OR length(text) < 3000")
-    p, rows = brute(texts)
-    want = {}
-    for (i, *_), r in zip([c for c in corpus if c[1] is not None and len(c[1]) < 3000], rows):
-        want[i] = sum(math.log(p(tuple(r[j - M.ORDER + 1 : j]), r[j])) for j in range(M.ORDER - 1, len(r)))
-    got = {r.doc_id: r for r in M.score(small).collect()}
-    for i, w in want.items():
-        assert math.isclose(got[i].log_prob, w, rel_tol=1e-4), i
-    assert got[300].log_prob is None and got[300].symbols == 0 and got[301].symbols == 1
-
-
-def test_distributions_sum_to_one_and_cuts_do_not_matter(docs, monkeypatch):
-    model = M.train(docs)
-    states = np.arange(model.states)[:: max(1, model.states // 200)]
-    total = sum(np.exp(model.step(states, np.full(len(states), s))[1]) for s in range(M.ALPHABET))
-    assert np.allclose(total, 1, atol=1e-4)
-    whole = {r.doc_id: r.log_prob for r in M.score(docs, model).collect()}
-    monkeypatch.setattr(M, "PIECE", 1 << 30)
-    text = docs.where("doc_id = 304").first().text.encode()
-    one, _ = model.log_probs(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    assert math.isclose(one[0], whole[304], rel_tol=1e-9)
-
-
-def test_pruning_keeps_within_the_bound(docs):
-    model = M.train(docs, max_arcs=500)
-    assert len(model.weight) <= M.ALPHABET + 500 * (M.ORDER - 1)
-
-
-def test_every_repeated_ngram_is_an_arc_on_a_large_diverse_corpus(spark):
-    text = np.random.default_rng(5).integers(97, 123, 2_000_000).astype(np.uint8).tobytes().decode()
-    rows = [(i, text[i * 10_000 : (i + 1) * 10_000]) for i in range(200)] * 2
-    model = M.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
-    arcs = M.ALPHABET
-    symbols = np.concatenate([np.pad(M._FOLD[np.frombuffer(t.encode(), np.uint8)], (M.ORDER - 1, 1)) for _, t in rows[:200]]).reshape(200, -1).astype(np.int64)
-    top = sum(symbols[:, j : symbols.shape[1] - M.ORDER + 1 + j] << 6 * (M.ORDER - 1 - j) for j in range(M.ORDER))
-    assert len(np.unique(top)) > 1_500_000
-    for k in range(2, M.ORDER + 1):  # each text occurs twice, so every n-gram does
-        arcs += len(np.unique(top & ((1 << 6 * k) - 1)))
-    assert len(model.weight) == arcs
-
-
-def test_a_model_is_sent_by_the_name_of_its_files(docs):
-    import pickle
-
-    model = M.train(docs)
-    sent = pickle.dumps(model)
-    assert len(sent) < 1000 and np.array_equal(pickle.loads(sent).weight, model.weight)
-
-
-def test_defined_cases(none, crowded):
-    assert M.score(none).collect() == []
-    assert M.score(crowded).columns == ["doc_id", "symbols", "log_prob", "bits", "perplexity"]
+import pytest
+
+from deepwell.llm import lm as L
+
+
+class Whole:
+    def __init__(self, texts):
+        self.c = Counter()
+        self.n = 0
+        for t in texts:
+            words = self.words(t)
+            self.c.update((w,) for w in ["<s>", *words])
+            self.c["<s>", "<s>"] += 1
+            self.n += len(words)
+            for i, w in enumerate(words):
+                h = ("<s>", "<s>", *words)[i : i + 2]
+                self.c[h[1], w] += 1
+                self.c[(*h, w)] += 1
+
+    @staticmethod
+    def words(t):
+        out = [re.sub(rb"[A-Z]", lambda m: m.group().lower(), w) for w in t.encode().split()]
+        return [w.decode() for w in out] + ["</s>"]
+
+    def p(self, h, w):
+        k = L.STRENGTH[len(h)]
+        if not h:
+            return (self.c[w,] - 1 + k / L.OPEN) / (self.n - 1 + k)
+        return (self.c[(*h, w)] - 1 + k * self.p(h[1:], w)) / (self.c[h] - 1 + k)
+
+    def walk(self, t):
+        """State by state: the sum of the weights of arcs and failure arcs."""
+        state, total = ("<s>", "<s>"), 0.0
+        for w in self.words(t):
+            at = state
+            while at and self.c[(*at, w)] < 2:
+                total += math.log(L.STRENGTH[len(at)] / (self.c[at] - 1 + L.STRENGTH[len(at)]))
+                at = at[1:]
+            total += math.log(self.p(at, w))
+            state = (state[1], w)
+        return total
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+TEXTS = ["a rose is a rose is a rose", "A rose is red", "the end", "the end", "", "  ", "x", "ñandú ß a rose\tis\na", "z " * 500, "a rose is a rose is a rose"]
+
+
+@pytest.mark.parametrize("sizes", [(L.PART_BYTES, L.BUCKET_KEYS), (20, 7)])
+def test_scores_are_those_of_the_whole_automaton(spark, sizes):
+    whole = Whole(TEXTS)
+    got = {r.doc_id: r for r in L.score(frame(spark, TEXTS).repartition(3), *sizes).collect()}
+    assert got.keys() == set(range(len(TEXTS)))
+    for i, t in enumerate(TEXTS):
+        assert got[i].tokens == len(whole.words(t))
+        assert math.isclose(got[i].total_log_prob, whole.walk(t), rel_tol=1e-9)
+        assert math.isclose(got[i].total_log_prob, sum(math.log(whole.p(("<s>", "<s>", *whole.words(t))[j : j + 2], w)) for j, w in enumerate(whole.words(t))), rel_tol=1e-9)
+        assert math.isclose(got[i].log_prob * got[i].tokens, got[i].total_log_prob) and math.isclose(got[i].perplexity, math.exp(-got[i].log_prob))
+
+
+def test_a_token_left_out_leaves_a_distribution():
+    """Of the words that may stand where a token was taken away, probabilities sum to 1, what no text holds included."""
+    whole = Whole(TEXTS)
+    for t in TEXTS[:4]:
+        words = ["<s>", "<s>", *whole.words(t)]
+        for i in range(2, len(words)):
+            less = Whole(TEXTS)
+            h = tuple(words[i - 2 : i])
+            for k in range(3):
+                less.c[(*h[2 - k :], words[i])] -= 1
+            less.n -= 1
+
+            def p(h, w, down):
+                k = L.STRENGTH[len(h)]
+                if not h:
+                    return (less.c[w,] + k / L.OPEN) / (less.n + k)
+                return (less.c[(*h, w)] + k * p(h[1:], w, down)) / (less.c[h] - 1 + k)
+
+            names = {w for g in less.c if len(g) == 1 for w in g} - {"<s>"}
+            known = sum(p(h, w, None) for w in names)
+            unknown = (L.OPEN - len(names)) * p(h, "never", None)
+            assert math.isclose(known + unknown, 1, rel_tol=1e-9)
+            assert math.isclose(p(h, words[i], None), whole.p(h, words[i]), rel_tol=1e-9)
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    r = np.random.default_rng(0)
+    words = ["w%d" % i for i in range(400)]
+    p = 1 / np.arange(1, 401)
+    texts = [" ".join(r.choice(words, size=80, p=p / p.sum())) for _ in range(300)]
+    rows = texts + texts[:30]
+    got = {x.doc_id: x.log_prob for x in L.score(frame(spark, rows), 4000, 5000).collect()}
+    twice = sorted([got[i] for i in range(30)])
+    once = sorted([got[i] for i in range(30, 300)])
+    assert twice[0] > once[-1]
+
+
+def test_a_larger_corpus_keeps_every_count(spark):
+    """The counts behind a text's score are those of the corpus, however large that is."""
+    base = ["one two three four", "one two three five"]
+    for times in (1, 50):
+        rows = base + ["one two three four"] * times + ["other words here"] * times
+        whole = Whole(rows)
+        got = {r.doc_id: r.total_log_prob for r in L.score(frame(spark, rows).repartition(5), 64, 16).collect()}
+        assert all(math.isclose(got[i], whole.walk(t), rel_tol=1e-9) for i, t in enumerate(rows))
+
+
+def test_defined_cases(spark, none):
+    assert L.score(none).collect() == []
+    df = spark.createDataFrame([(1, None), (None, "a b"), (2, ""), (2, "")], "doc_id long, text string").withColumns({c: L.F.lit("x") for c in ("part", "tokens", "bucket", "sizes", "log_prob")})
+    rows = L.score(df).collect()
+    assert sorted((r.doc_id or 0, r.tokens, r.log_prob is None) for r in rows) == [(0, 3, False), (1, 0, True), (2, 1, False), (2, 1, False)]
+    long = "word " * 300_000
+    assert L.score(frame(spark, [long, "a"])).count() == 2
