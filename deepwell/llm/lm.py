@@ -45,8 +45,8 @@ from .store import written
 ORDER = 3
 STRENGTH = (1.0, 4.0, 1.0)  # K of contexts of no, one and two words
 OPEN = 1 << 20
-PART_BYTES = 8 << 20
-BUCKET_KEYS = 1 << 21
+PART_BYTES = 3 << 20
+BUCKET_KEYS = 1 << 20
 SPARE_BITS = 20
 
 _START, _END, _ALL = (np.uint64(T.mix_int(x)) for x in (0x57A27, 0xE4D, 0xA11))
@@ -56,14 +56,15 @@ _START, _END, _ALL = (np.uint64(T.mix_int(x)) for x in (0x57A27, 0xE4D, 0xA11))
 
 
 def _types(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct codes, each place's, and how often they occur."""
-    order = np.argsort(code, kind="stable")
-    ordered = code[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(code) else np.zeros(0, bool)
-    at = np.empty(len(code), np.int64)
-    at[order] = np.cumsum(new) - 1
+    """Distinct codes, ascending, each place's, and how often they occur."""
+    order = np.argsort(code)
+    code = code[order]
+    new = np.ones(len(code), bool)
+    np.not_equal(code[1:], code[:-1], out=new[1:])
+    at = np.empty(len(code), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
     first = np.flatnonzero(new)
-    return ordered[first], at, np.diff(np.concatenate([first, [len(code)]]))
+    return code[first], at, np.diff(first, append=len(code))
 
 
 class Part:
@@ -79,14 +80,16 @@ class Part:
         self.first, last = self.bounds[:-1], self.bounds[1:] - 1
         words[self.first], words[last] = _START, _END
         name, self.word, count1 = _types(words)
-        before = np.concatenate([[0], self.word[:-1]])
+        del low, starts, ends, words
+        before = np.concatenate([[0], self.word[:-1]]).astype(np.int64)
         before[self.first] = self.word[self.first]  # two starts
         pair, self.pair, count2 = _types(before << 32 | self.word)
-        self.context = np.concatenate([[0], self.pair[:-1]])
-        inner = np.ones(len(words), bool)
+        del before
+        self.context = np.concatenate([[0], self.pair[:-1]]).astype(np.int32)
+        inner = np.ones(len(self.word), bool)
         inner[self.first] = False
         self.scored = np.flatnonzero(inner)
-        triple, self.triple, count3 = _types((self.context << 32 | self.word)[self.scored])
+        triple, self.triple, count3 = _types(self.context[self.scored].astype(np.int64) << 32 | self.word[self.scored])
         a, b = name[pair >> 32], name[pair & 0xFFFFFFFF]
         self.pair_head, self.pair_last = pair >> 32, pair & 0xFFFFFFFF
         of = triple >> 32
