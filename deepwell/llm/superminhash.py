@@ -17,8 +17,9 @@ shingle is one shingle; rows that share a doc_id are one document; rows without
 out; other columns are ignored; an empty table gives an empty result.
 
 Candidates: a bucket of at most ``ALL_PAIRS`` documents gives all its pairs. A larger one gives the
-pairs with its smallest member first; then all pairs of members that are not in one verified group
-yet. Skipped pairs join members of one group, so the groups are those of all pairs.
+pairs with its smallest member first; then, if its members are not in one verified group yet, its members are split into
+blocks of about ``BLOCK``, each two blocks meet in one task, and members of different groups are compared there. No pair is
+emitted but a link that joins groups. Pairs within a group are skipped, so the groups are those of all pairs.
 """
 
 from __future__ import annotations
@@ -31,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .store import written
+from .store import broadcast_if_small, written
 
 SHINGLE = 3
 COMPONENTS = 160
 ROWS = 4
 THRESHOLD = 0.5
 ALL_PAIRS = 8
-BROADCAST_ROWS = 1_000_000
-ONE_TASK_EDGES = 2_000_000
+BLOCK = 256
+BROADCAST_BYTES = 16 << 20
+ONE_TASK_EDGES = 500_000
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -72,6 +74,10 @@ def _later_ranks(sig: np.ndarray, seed: np.ndarray, first: np.ndarray, bounds: n
     flat = sig.reshape(-1)
     at = T.ragged(bounds[rows], bounds[rows + 1] - bounds[rows])
     row = np.repeat(rows, bounds[rows + 1] - bounds[rows])
+    order = np.lexsort((seed[at], row))  # each element of a row once
+    at, row = at[order], row[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (seed[at[1:]] != seed[at[:-1]])])
+    at, row = at[new], row[new]
     state, k = seed[at], first[at]
     order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(at), 1))
     line = np.arange(len(at))
@@ -144,17 +150,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, doc_id, set): a document's sorted 32-bit shingle set, once for each hub that asks for it."""
+    """(hub, doc_id, set): a document's sorted shingle set, once for each hub that asks for it."""
     for batch in batches:
         ids, hubs = batch.column(0), batch.column(2)
         for lo, hi, data, offsets in T.text_slices(batch.column(1)):
             element, bounds, _ = shingles(data, offsets)
-            small = (element >> np.uint64(32)).astype(np.uint32)
             out: tuple[list, list, list] = ([], [], [])
             for i in range(hi - lo):
                 if bounds[i] == bounds[i + 1]:
                     continue
-                own = np.unique(small[bounds[i] : bounds[i + 1]]).tobytes()
+                own = np.unique(element[bounds[i] : bounds[i + 1]]).tobytes()
                 for hub in hubs[lo + i].as_py():
                     for column, value in zip(out, (hub, ids[lo + i].as_py(), own), strict=True):
                         column.append(value)
@@ -187,7 +192,7 @@ def _compare(threshold: float):
             for i, (h, d) in enumerate(zip(a, b, strict=True)):
                 if h != hub:
                     hub, own = h, []
-                mine = np.frombuffer(sets[i].as_buffer(), np.uint32)
+                mine = np.frombuffer(sets[i].as_buffer(), np.uint64)
                 if d == h:
                     own.append(mine.copy())
                 elif any(min(len(x), len(mine)) >= threshold * max(len(x), len(mine)) and jaccard(x, mine) >= threshold for x in own):
@@ -203,30 +208,68 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of similarity ``threshold`` or more. Each text is read once and only its set travels."""
     wanted = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("hub")).union(pairs.select(F.col("a").alias("doc_id"), F.col("a").alias("hub")))
     wanted = written(wanted.groupBy("doc_id").agg(F.collect_set("hub").alias("hubs")), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "hubs").mapInArrow(_needed, "hub long, doc_id long, elements binary")
+    sets = docs.join(broadcast_if_small(wanted, BROADCAST_BYTES), "doc_id").select("doc_id", "text", "hubs").mapInArrow(_needed, "hub long, doc_id long, elements binary")
     sets = sets.repartition("hub").sortWithinPartitions("hub", "doc_id")  # a hub is its pairs' smallest
     return sets.mapInArrow(_compare(threshold), "a long, b long")
 
 
+def _blocked_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, meetings) -> (bucket, low, high, doc_id, group, set) for each two blocks that the document meets in."""
+    names = ["bucket", "low", "high", "doc_id", "root", "elements"]
+    for batch in batches:
+        meetings = batch.column(2)
+        for lo, hi, data, offsets in T.text_slices(batch.column(1)):
+            element, bounds, _ = shingles(data, offsets)
+            for i in range(hi - lo):
+                own = np.unique(element[bounds[i] : bounds[i + 1]]).tobytes()
+                rows = meetings[lo + i].as_py()
+                for a in range(0, len(rows), 512):
+                    some = rows[a : a + 512]
+                    columns = [pa.array([m[k] for m in some], t) for k, t in (("bucket", pa.int64()), ("low", pa.int32()), ("high", pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([*columns, batch.column(0).slice(lo + i, 1).take(pa.array([0] * len(some))), pa.array([m["root"] for m in some], pa.int64()), pa.array([own] * len(some), pa.binary())], names)
+
+
+def _compare_blocks(threshold: float):
+    """Rows in order of (bucket, low, high) -> the links that join groups of the documents that meet."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meeting, held = None, []
+        for batch in batches:
+            sets = batch.column(5)
+            for i, (*now, doc, root) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
+                if now != meeting:
+                    meeting, held, parent = now, [], {}
+                mine = np.frombuffer(sets[i].as_buffer(), np.uint64).copy()
+                src = []
+                for other, x, group in held:
+                    a, b = _root(parent, group), _root(parent, root)
+                    if a != b and min(len(x), len(mine)) >= threshold * max(len(x), len(mine)) and jaccard(x, mine) >= threshold:
+                        parent[max(a, b)] = min(a, b)
+                        src.append(other)
+                held.append((doc, mine, root))
+                if src:
+                    yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array([doc] * len(src), pa.int64())], ["a", "b"])
+
+    return compare
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while (p := parent.setdefault(x, x)) != x:
+        parent[x] = x = parent.setdefault(p, p)
+    return x
+
+
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, smallest node of its component) of the edges in the partition."""
     parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(p, p)
-        return x
-
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
+            a, b = _root(parent, a), _root(parent, b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
     nodes = list(parent)
     if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([_root(parent, x) for x in nodes], pa.int64())], ["node", "root"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,21 +314,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = components(edges)
     if (large := buckets.where(~small).withColumn("bucket", F.monotonically_increasing_id())).head(1):
         groups = written(groups, "groups")
-        member = large.select("bucket", F.col("ids")[0].alias("hub"), F.explode("ids").alias("node")).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = written(member, "members")
-        mixed = split.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        split = split.join(mixed, "bucket")
-        x, y = split.select("bucket", "hub", F.col("node").alias("a"), F.col("root").alias("ra")), split.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"))
-        rest = written(x.join(y, "bucket").where("a < b AND ra <> rb AND a <> hub").select("a", "b").distinct(), "rest")
-        if rest.head(1):
-            more = written(verified(rest, docs, threshold).union(edges), "edges")
-            groups = components(more)
+        member = written(large.select("bucket", F.explode("ids").alias("node")).join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "members")
+        mixed = member.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi")
+        meets = member.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        meets = meets.select("node", "root", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        meets = meets.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(F.struct("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "root")).alias("meetings"))
+        meets = written(meets, "meetings")
+        if meets.head(1):
+            sets = docs.join(broadcast_if_small(meets, BROADCAST_BYTES), "doc_id").select("doc_id", "text", "meetings")
+            sets = sets.mapInArrow(_blocked_sets, "bucket long, low int, high int, doc_id long, root long, elements binary")
+            sets = sets.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "doc_id")
+            groups = components(written(sets.mapInArrow(_compare_blocks(threshold), "a long, b long").union(edges), "edges"))
     return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, less all but the smallest doc_id of each group. Columns are unchanged."""
     gone = written(near_duplicates(docs, threshold).where("NOT keep").select(F.col("doc_id").alias("_gone")), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
+    gone = broadcast_if_small(gone, BROADCAST_BYTES)
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -1,6 +1,8 @@
 """SuperMinHash near-dedup against all pairs."""
 
 import itertools
+import random
+import time
 
 import numpy as np
 
@@ -42,6 +44,57 @@ def test_groups_are_those_of_all_pairs(docs, corpus):
     assert sorted(map(tuple, S.near_duplicates(docs).collect())) == brute(corpus)
 
 
+def test_every_branch_gives_the_same_groups(spark, corpus, docs, monkeypatch):
+    """Hubs and blocks from two documents a bucket on, star rounds, and joins that shuffle."""
+    r = random.Random(8)
+    words = [f"v{i}" for i in range(40)]
+    chain = [" ".join(words)]
+    for i in range(14):  # neighbours are near, the ends aren't
+        own = chain[-1].split()
+        for _ in range(3):
+            own[r.randrange(40)] = f"y{i}_{r.randrange(99)}"
+        chain.append(" ".join(own))
+    rows = [(1000 + i, t, "aa", "s0", len(t)) for i, t in enumerate(chain)]
+    both = docs.union(spark.createDataFrame(rows, docs.schema))
+    want = brute([*corpus, *((i, t) for i, t, *_ in rows)])
+    usual = sorted(map(tuple, S.near_duplicates(both).collect()))
+    for name, value in (("ALL_PAIRS", 1), ("BLOCK", 2), ("ONE_TASK_EDGES", 0), ("BROADCAST_BYTES", -1)):
+        monkeypatch.setattr(S, name, value)
+    got = sorted(map(tuple, S.near_duplicates(both).collect()))
+    assert got == usual and {x for x in usual if x[0] < 1000} == {x for x in want if x[0] < 1000}
+
+
+def test_unlike_documents_of_one_bucket_meet_in_blocks(spark, monkeypatch):
+    """All documents in one bucket: the pairs compared are those of all, whatever the hub is like."""
+    monkeypatch.setattr(S, "BLOCK", 3)
+    monkeypatch.setattr(S, "bands", lambda sig, rows=4: np.ones((len(sig), 1), np.uint64))
+    monkeypatch.setattr(S, "_sign", _one_bucket)
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("abcdefghijklmnopqrst") for _ in range(30))) for i in range(40)]
+    rows += [(100 + i, t + " z") for i, t in rows[5:12]]
+    got = sorted(map(tuple, S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows) and len(got) == 14
+
+
+def _one_bucket(batches):
+    for batch in batches:
+        for lo, hi, data, offsets in S.T.text_slices(batch.column(1)):
+            element, bounds, word = S.shingles(data, offsets)
+            a, b = S._digests(word, element, bounds)
+            yield S.pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), S.pa.array(a.view(np.int64)), S.pa.array(b.view(np.int64)), S.pa.array([[1]] * (hi - lo), S.pa.list_(S.pa.int64()))], ["doc_id", "h1", "h2", "bands"])
+
+
+def test_a_repetitive_text_costs_its_distinct_shingles():
+    """Two megabytes of a line, over and over: under 2 s (20 s when each repetition was an element)."""
+    data = np.frombuffer(b"the same old line again\n" * 87_000, np.uint8)
+    began = time.perf_counter()
+    element, bounds, _ = S.shingles(data, np.array([0, len(data)]))
+    sig = S.signatures(element, bounds)
+    assert time.perf_counter() - began < 2
+    few = np.unique(element)
+    assert (sig == S.signatures(few, np.array([0, len(few)]))).all()
+
+
 def test_one_of_each_group_stays_and_columns_are_unchanged(crowded, corpus):
     kept = S.without_near_duplicates(crowded)
     assert kept.columns == crowded.columns
