@@ -10,20 +10,27 @@ for byte, whatever white space separates them. The union of a document's repeate
 into maximal runs; every occurrence is reported, the first one too.
 
 How it scales. Winnowing picks in each window the smallest hash of its ``ANCHOR``-word grams, so equal
-windows pick the same gram. Grams are counted over the whole corpus, and only windows whose gram occurs
-twice go on: each occurrence ships the words of the windows that chose it, to the partition of its gram.
-There, equal stretches of text are one string with a count; the suffixes that start in strings of one
-gram are sorted by multikey quicksort to ``SHALLOW`` bytes, and groups that still tie are ordered by a
-blind trie on their remaining bytes. Suffixes are repeated when a neighbour in suffix order shares
+windows pick the same gram. Grams are counted over the whole corpus, and a Bloom filter of those that occur twice, of
+``FILTER_BITS`` at most, goes to every task: each occurrence of such a gram ships the words of the windows that chose it to
+the partition of its gram, with their place in the text. (A gram that passes the filter by chance meets no other and is
+dropped; a fuller filter ships more and loses nothing.) There, equal stretches of text are one string with a count; the
+suffixes that start in strings of one gram are sorted by multikey quicksort to ``SHALLOW`` bytes, and groups that still tie are
+ordered by a blind trie on their remaining bytes. Suffixes are repeated when a neighbour in suffix order shares
 ``WINDOW`` words. Nothing is sampled or capped: the anchors are complete for windows of ``WINDOW`` words.
 
+A gram of more than ``CROWD`` occurrences (a license line in every document) is split: parts of about as many are sorted each
+by itself, and each part sends every different window of its own once to a second sort, by ranges of the windows' hashes,
+which finds those of two parts. A window thus comes there once for each part, however often it occurs.
+
 Defined cases: null, empty or shorter texts have no window; rows without a doc_id are left out; a row
 that stands twice in the table is found at two places; rows that share a doc_id but not a text are
-told apart by a hash of the text; other columns are ignored; an empty table gives no rows.
+told apart by an MD5 of both; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .store import written
+from .store import broadcast_if_small, written
 
 WINDOW = 50
 ANCHOR = 10
 SHALLOW = 32
-BROADCAST_ROWS = 500_000
+CROWD = 2048
+FILTER_BITS = 1 << 27
+FILTER_HASHES = 3
+
+
+_SPACE = re.compile(b" ")
 
 
 # --- deep-shallow sorting -------------------------------------------------------------------------
@@ -206,38 +218,81 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], gram[chosen[new]], first, last, starts, ends, at
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, key of the row) of each anchor."""
+def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, times) of the anchors of some texts."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for lo, _, data, offsets in T.text_slices(batch.column(1)):
-            row, gram, first, *_ = anchors(data, offsets)
-            if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids[lo + row])], ["gram", "key"])
+        for _, _, data, offsets in T.text_slices(batch.column(0)):
+            gram, n = np.unique(anchors(data, offsets)[1], return_counts=True)
+            if len(gram):
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+
+def _positions(gram: np.ndarray, bits: int) -> np.ndarray:
+    """The filter's bits of each gram."""
+    salts = np.arange(1, FILTER_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (T.mix(gram[:, None] ^ salts) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _filter_words(bits: int):
+    """Grams -> (number of a filter's 64-bit word, the word)."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _positions(batch.column(0).to_numpy().view(np.uint64), bits).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["at", "word"])
 
+    return words
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, key, text) of the windows of each anchor whose gram is one of the document's repeated ones.
+
+def _filter(grams: DataFrame) -> np.ndarray:
+    """A Bloom filter of a written table's grams: at most FILTER_BITS, so many bytes / 8 at the driver and in each worker."""
+    bits = 1 << 10
+    n = grams.count()
+    while bits < min(FILTER_BITS, 16 * n):
+        bits *= 2
+    rows = grams.select("gram").mapInArrow(_filter_words(bits), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out = np.zeros(bits >> 6, np.uint64)
+    out[rows["at"].to_numpy()] = rows["word"].to_numpy().view(np.uint64)
+    return out
+
+
+def passes(table: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    at = _positions(gram, len(table) << 6)
+    return ((table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
+
+
+def _chunks(shared):
+    """(key, doc_id, text) -> the windows of each anchor whose gram passes the filter.
 
     ``chunk`` is the words from the first window's start to the last window's end, one space between
-    them; ``word`` is the first window's number in the document, ``windows`` how many there are.
+    them; ``word`` is the first window's number in the document, ``windows`` how many there are, ``start`` the byte at which
+    the first begins, and ``starts`` those of all words where they aren't one space apart.
     """
-    for batch in batches:
-        ids, grams = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
-        for lo, hi, data, offsets in T.text_slices(batch.column(1)):
-            row, gram, first, last, starts, ends, at = anchors(data, offsets)
-            if not len(row):
-                continue
-            lists = grams.slice(lo, hi - lo)
-            of = np.repeat(np.arange(hi - lo), np.asarray(lists.value_lengths().fill_null(0)))
-            known = T.mix(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) ^ T.mix(of.astype(np.uint64)))
-            keep = np.flatnonzero(np.isin(T.mix(gram ^ T.mix(row.astype(np.uint64))), known))
-            if not len(keep):
-                continue
-            row, gram, first, last = row[keep], gram[keep], first[keep], last[keep]
-            raw = data.tobytes()
-            text = [b" ".join(raw[s:e].split()) for s, e in zip(starts[first].tolist(), ends[last + WINDOW - 1].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(ids[lo + row]), pa.array(first - at[row]), pa.array((last - first + 1).astype(np.int32)), pa.array(text, pa.binary())], ["gram", "key", "word", "windows", "chunk"])
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            keys, ids = batch.column(0), batch.column(1)
+            for lo, _, data, offsets in T.text_slices(batch.column(2)):
+                row, gram, first, last, starts, ends, at = anchors(data, offsets)
+                keep = np.flatnonzero(passes(table, gram)) if len(row) else row
+                if not len(keep):
+                    continue
+                row, gram, first, last = row[keep], gram[keep], first[keep], last[keep]
+                begin, until = starts[first] - offsets[row], last + WINDOW
+                wide = np.concatenate([[0], np.cumsum(np.concatenate([starts[1:] - ends[:-1] != 1, [False]]))])
+                even = wide[until - 1] == wide[first]
+                odd = np.concatenate([[0], np.cumsum(T.WHITE[data] & (data != 32))])
+                raw = data.tobytes()
+                text, places = [], []
+                for a, b, o, plain in zip(first.tolist(), until.tolist(), offsets[row].tolist(), even.tolist(), strict=True):
+                    s, e = int(starts[a]), int(ends[b - 1])
+                    text.append(raw[s:e] if plain and odd[s] == odd[e] else b" ".join(raw[s:e].split()))
+                    places.append(b"" if plain else (starts[a:b] - o).astype("<i8").tobytes())
+                take = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), keys.take(take), ids.take(take), pa.array(first - at[row]), pa.array((last - first + 1).astype(np.int32)), pa.array(begin), pa.array(places, pa.binary()), pa.array(text, pa.binary())], ["gram", "key", "doc_id", "word", "windows", "start", "starts", "chunk"])
+
+    return chunks
 
 
 # --- the sorted groups ----------------------------------------------------------------------------
@@ -254,22 +309,21 @@ def repeated_windows(chunks: list[bytes], windows: list[int]) -> list[list[bool]
         distinct.setdefault(c, []).append(i)
     out = [[False] * w for w in windows]
     single = [(c, own) for c, own in distinct.items()]
-    if len(single) > 1 or windows[single[0][1][0]] > 1:
+    if len(single) > 1:
         suffixes, where, need = [], [], []
         for n, (c, own) in enumerate(single):
-            spaces = [-1, *(m for m, b in enumerate(c) if b == 32), len(c)]
+            spaces = [-1, *(m.start() for m in _SPACE.finditer(c)), len(c)]
             for j in range(windows[own[0]]):
                 suffixes.append(c[spaces[j] + 1 :])
                 where.append((n, j))
                 need.append(spaces[j + WINDOW] - spaces[j] - 1)
         found = [False] * len(suffixes)
-        if len(single) > 1:
-            order, common = deep_shallow(suffixes)
-            for k in range(1, len(order)):
-                a, b, shared = order[k - 1], order[k], common[k]
-                # WINDOW words are shared when the window's bytes are and the word ends there in both
-                if shared >= need[a] and _ends(suffixes[b], need[a]) or shared >= need[b] and _ends(suffixes[a], need[b]):
-                    found[a] = found[b] = True
+        order, common = deep_shallow(suffixes)
+        for k in range(1, len(order)):
+            a, b, shared = order[k - 1], order[k], common[k]
+            # WINDOW words are shared when the window's bytes are and the word ends there in both
+            if shared >= need[a] and _ends(suffixes[b], need[a]) or shared >= need[b] and _ends(suffixes[a], need[b]):
+                found[a] = found[b] = True
         for s, (n, j) in enumerate(where):
             if found[s]:
                 for i in single[n][1]:
@@ -285,81 +339,143 @@ def _ends(text: bytes, at: int) -> bool:
     return len(text) == at or len(text) > at and text[at] == 32
 
 
+FOUND = "key binary, doc_id long, word long, until long, start long, stop long, gram long, sub int, window binary"
+
+
+class _Found:
+    """Runs of windows, and windows of split grams, as they go on."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def ready(self) -> pa.RecordBatch:
+        kinds = (pa.binary(), *[pa.int64()] * 6, pa.int32(), pa.binary())
+        columns = zip(*self.rows, strict=True)
+        names = [part.split()[0] for part in FOUND.split(", ")]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        self.rows = []
+        return batch
+
+
+def _place(row: tuple, spaces: list[int], j: int, k: int) -> tuple[int, int]:
+    """Bytes of the text from the start of the chunk's word j to the end of its word k."""
+    _, _, _, _, start, starts, chunk = row
+    size = spaces[k + 1] - spaces[k] - 1
+    if not starts:
+        return start + spaces[j] + 1, start + spaces[k + 1]
+    at = np.frombuffer(starts, "<i8")
+    return int(at[j]), int(at[k]) + size
+
+
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks sorted by gram -> (key, word, until): runs of repeated windows, by number of word."""
-    held: list = []
-    gram = None
-    out: tuple[list, list, list] = ([], [], [])
+    """Chunks in order of (gram, part) -> runs of repeated windows; of a split gram's part, its different windows too."""
+    out = _Found()
+    held: list[tuple] = []
+    gram, part, parts = None, None, 1
 
     def close() -> None:
-        if len(held) < 2:
+        if len(held) < 2 and parts == 1:
             return
-        flags = repeated_windows([h[3] for h in held], [h[2] for h in held])
-        for (doc, word, _, _), flag in zip(held, flags, strict=True):
+        flags = repeated_windows([h[6] for h in held], [h[3] for h in held])
+        seen: set[bytes] = set()
+        for row, flag in zip(held, flags, strict=True):
+            key, doc, word, _, _, _, chunk = row
+            if not any(flag) and parts == 1:
+                continue
+            spaces = [-1, *(m.start() for m in _SPACE.finditer(chunk)), len(chunk)]
             j = 0
             while j < len(flag):
                 if flag[j]:
                     k = j
                     while k + 1 < len(flag) and flag[k + 1]:
                         k += 1
-                    out[0].append(doc)
-                    out[1].append(word + j)
-                    out[2].append(word + k + WINDOW)
+                    out.rows.append((key, doc, word + j, word + k + WINDOW, *_place(row, spaces, j, k + WINDOW - 1), None, None, None))
                     j = k
                 j += 1
+            if parts > 1:
+                for j, repeated in enumerate(flag):
+                    window = chunk[spaces[j] + 1 : spaces[j + WINDOW]]
+                    if repeated and window in seen:
+                        continue
+                    seen.add(window)
+                    place = (None,) * 6 if repeated else (key, doc, word + j, word + j + WINDOW, *_place(row, spaces, j, j + WINDOW - 1))
+                    out.rows.append((*place, gram, zlib.crc32(window) % parts, window))
 
-    def ready() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["key", "word", "until"])
+    for batch in batches:
+        for g, p, n, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (g, p) != (gram, part):
+                if held:
+                    close()
+                held, gram, part, parts = [], g, p, n
+            held.append(tuple(row))
+            if len(out.rows) > 10000:
+                yield out.ready()
+    if held:
+        close()
+    if out.rows:
+        yield out.ready()
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of split grams in order of (gram, range) -> those that two parts have, as runs."""
+    out = _Found()
+    held: list[tuple] = []
+    group = None
+
+    def close() -> None:
+        texts = [row[-1] for row in held]
+        order, common = deep_shallow(texts)
+        twice = [False] * len(texts)
+        for k in range(1, len(order)):
+            a, b = order[k - 1], order[k]
+            if common[k] == len(texts[a]) == len(texts[b]):
+                twice[a] = twice[b] = True
+        out.rows.extend((*row[:6], None, None, None) for row, found in zip(held, twice, strict=True) if found and row[0] is not None)
 
     for batch in batches:
-        for g, doc, word, n, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if g != gram:
-                close()
-                held, gram = [], g
-            held.append((doc, word, n, chunk))
-        if len(out[0]) > 10000:
-            yield ready()
-            out = ([], [], [])
-    close()
-    if out[0]:
-        yield ready()
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[6:8] != group:
+                if held:
+                    close()
+                held, group = [], row[6:8]
+            held.append(row)
+            if len(out.rows) > 10000:
+                yield out.ready()
+    if held:
+        close()
+    if out.rows:
+        yield out.ready()
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, runs) -> byte spans of the union of each row's runs of words."""
+    """(doc_id, runs) -> byte spans of the union of each row's runs of words."""
     for batch in batches:
-        ids, runs = batch.column(0).to_pylist(), batch.column(2)
-        for lo, hi, data, offsets in T.text_slices(batch.column(1)):
-            starts, ends, at = T.words(data, offsets)
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for i in range(hi - lo):
-                merged: list[list[int]] = []
-                for r in sorted((r["word"], r["until"]) for r in runs[lo + i].as_py()):
-                    if merged and r[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r[1])
-                    else:
-                        merged.append(list(r))
-                for a, b in merged:
-                    for column, value in zip(out, (ids[lo + i], int(starts[at[i] + a] - offsets[i]), int(ends[at[i] + b - 1] - offsets[i]), b - a), strict=True):
-                        column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "stop", "words"])
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, broadcast while it is small; joins shuffle beyond that."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+        out: list[tuple] = []
+        for doc, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            merged: list[list[int]] = []
+            for word, until, start, stop in sorted((r["word"], r["until"], r["start"], r["stop"]) for r in runs):
+                if merged and word <= merged[-1][1]:
+                    if until > merged[-1][1]:
+                        merged[-1][1], merged[-1][3] = until, stop
+                else:
+                    merged.append([word, until, start, stop])
+            out += [(doc, start, stop, until - word) for word, until, start, stop in merged]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["doc_id", "start", "stop", "words"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text", "doc_id")
-    found = docs.mapInArrow(_anchor_rows, "gram long, key long")
-    # per gram, the documents that hold it and how often: hot grams are combined before the shuffle
-    found = found.groupBy("gram", "key").count()
-    twice = found.groupBy("gram").agg(F.sum("count").alias("n"), F.collect_list("key").alias("keys")).where("n > 1")
-    wanted = written(twice.select("gram", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_set("gram").alias("grams")), "grams")
-    chunks = docs.join(_small(wanted), "key").select("key", "text", "grams").mapInArrow(_chunks, "gram long, key long, word long, windows int, chunk binary")
-    runs = chunks.repartition("gram").sortWithinPartitions("gram", "key", "word").mapInArrow(_group, "key long, word long, until long")
-    runs = written(runs.groupBy("key").agg(F.collect_set(F.struct("word", "until")).alias("runs")), "runs")
-    return docs.join(_small(runs), "key").select("doc_id", "text", "runs").mapInArrow(_spans, "doc_id long, start long, stop long, words long").distinct()
+    counts = docs.select("text").mapInArrow(_anchor_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = written(counts, "grams")
+    table = docs.sparkSession.sparkContext.broadcast(_filter(counts))
+    key = F.unhex(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text").cast("binary"))).alias("key")
+    chunks = docs.select(key, "doc_id", "text").mapInArrow(_chunks(table), "gram long, key binary, doc_id long, word long, windows int, start long, starts binary, chunk binary")
+    crowds = counts.where(F.col("n") > CROWD).select(F.col("gram").alias("_gram"), F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+    chunks = chunks.join(broadcast_if_small(written(crowds, "crowds")), F.col("gram") == F.col("_gram"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    chunks = chunks.withColumn("part", F.pmod(F.xxhash64("key", "word"), F.col("parts")).cast("int"))
+    chunks = chunks.repartition("gram", "part").sortWithinPartitions("gram", "part", "key", "word")
+    found = written(chunks.select("gram", "part", "parts", "key", "doc_id", "word", "windows", "start", "starts", "chunk").mapInArrow(_group, FOUND), "found")
+    across = found.where("window IS NOT NULL").repartition("gram", "sub").sortWithinPartitions("gram", "sub").mapInArrow(_across, FOUND)
+    runs = found.where("window IS NULL").union(across).groupBy("key", "doc_id").agg(F.collect_set(F.struct("word", "until", "start", "stop")).alias("runs"))
+    return runs.select("doc_id", "runs").mapInArrow(_spans, "doc_id long, start long, stop long, words long").distinct()

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -54,6 +56,29 @@ def test_spans_are_those_of_all_windows(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("bits", [P.FILTER_BITS, 64])
+def test_a_line_in_every_document(spark, monkeypatch, bits):
+    """Split grams, some copies of which are in one part and some in two, under a filter with room and a full one."""
+    monkeypatch.setattr(P, "CROWD", 4)
+    monkeypatch.setattr(P, "FILTER_BITS", bits)
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(2, 6)))
+    line = " ".join(word() for _ in range(70))
+    rows = [(i, " ".join(word() for _ in range(r.randint(0, 60))) + r.choice([" ", "\t", "\x0b", "\n\n "]) + line.replace(" ", r.choice([" ", "\x0c", "  "]), 3) + " " + " ".join(word() for _ in range(r.randint(0, 60)))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] if i % 2 else rows[i][1] + " end") for i in range(9)]
+    want = brute(rows)
+    assert sorted(map(tuple, P.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())) == want
+    assert {i for i, *_ in want} >= set(range(60))
+
+
+def test_the_filter_misses_no_gram(spark):
+    grams = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000)
+    table = P._filter(spark.createDataFrame([(int(g),) for g in grams], "gram long"))
+    assert P.passes(table, grams.view(np.uint64)).all()
+    others = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000)
+    assert P.passes(table, others.view(np.uint64)).mean() < 0.02
+
+
 def test_corpus_and_empty_table(docs, corpus, none, crowded):
     want = brute([(i, t) for i, t, *_ in corpus])
     assert want and sorted(map(tuple, P.repeated_passages(crowded).collect())) == want
