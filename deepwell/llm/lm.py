@@ -45,7 +45,7 @@ from .store import written
 ORDER = 3
 STRENGTH = (1.0, 4.0, 1.0)  # K of contexts of no, one and two words
 OPEN = 1 << 20
-PART_BYTES = 3 << 20
+PART_BYTES = 2 << 20
 BUCKET_KEYS = 1 << 20
 SPARE_BITS = 20
 
@@ -143,7 +143,7 @@ def _store(part_bytes: int):
         ids, sizes, texts, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            raw = zs.ZstdCompressor(level=1).compress(b"".join(texts))
+            raw = zs.ZstdCompressor(level=5).compress(b"".join(texts))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([raw], pa.binary())], names)
 
         for batch in batches:
