@@ -12,8 +12,11 @@ whose normalised residual has the largest weighted dot product with the piece's
 the one whose residual after the piece has the smallest weighted norm; ties go to the oldest bin. A
 document longer than a bin may hold is cut into the fewest pieces first.
 
-Documents are packed in independent groups of about ``GROUP`` by hash of doc_id, each in one task: the
-bins lost at a group's end are a fraction of a percent, and the job has no global step.
+Documents are packed in independent groups of about ``GROUP`` by hash of doc_id and text, each in one task, so best fit is
+over a group's bins, not all: a group's last bins are less full (README has the measured fill), and the job has no global
+step. A group that reaches twice ``GROUP`` documents or ``GROUP_BYTES`` of tokens (identical rows, long texts) is closed and
+goes on as another, so a task holds no more. ``starts`` counts from the start of the row's text; in the pipeline that is a
+stretch of a document.
 
 Defined cases: a text that is null or has no tokens is in no bin; a null doc_id is packed like another
 (the id stays null); repeated rows are packed each; other columns are ignored; an empty table gives no bins.
@@ -37,6 +40,7 @@ MAX_DOCS = 24
 MAX_ATTENTION = MAX_TOKENS * MAX_TOKENS // 2
 WEIGHTS = (0.6, 0.1, 0.3)
 GROUP = 4096
+GROUP_BYTES = 64 << 20
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SCHEMA = "bin string, doc_ids array<long>, starts array<int>, lengths array<int>, tokens binary, n_tokens long, n_docs long, attention long"
 
@@ -93,7 +97,7 @@ def _tokenise(vocab: str, folder: str | None):
 
 
 def _fill(capacity: tuple[int, int, int], weights: tuple[float, float, float], rule: str, width: int):
-    def close(group: int, rows: list[tuple]) -> pa.RecordBatch:
+    def close(group: str, rows: list[tuple]) -> pa.RecordBatch:
         pieces = []
         for r, (doc, n, _) in enumerate(rows):
             start = 0
@@ -113,16 +117,18 @@ def _fill(capacity: tuple[int, int, int], weights: tuple[float, float, float], r
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["bin", "doc_ids", "starts", "lengths", "tokens", "n_tokens", "n_docs", "attention"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
+        group, part, rows, held = None, 0, [], 0
         for batch in batches:
             for g, doc, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if g != group and rows:
-                    yield close(group, rows)
-                    rows = []
-                group = g
+                if rows and (g != group or len(rows) >= 2 * GROUP or held >= GROUP_BYTES):
+                    yield close(f"{group}.{part}" if part else f"{group}", rows)
+                    rows, held, part = [], 0, part + 1
+                if g != group:
+                    group, part = g, 0
                 rows.append((doc, n, raw))
+                held += len(raw)
         if rows:
-            yield close(group, rows)
+            yield close(f"{group}.{part}" if part else f"{group}", rows)
 
     return fill
 
@@ -132,9 +138,9 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int = MAX_DOCS
         raise ValueError("rule is dot or norm")
     if min(max_tokens, max_docs, max_attention) < 1:
         raise ValueError("capacities are 1 at least")
-    groups = max(1, -(-docs.count() // GROUP))  # from the Parquet footers
+    groups = max(1, -(-docs.count() // GROUP))  # of a table that was read, from the Parquet footers
     width = 2 if vocabulary(vocab, folder).n <= 1 << 16 else 4
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    grouped = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("grp"), "doc_id", "text")
+    grouped = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("grp"), "doc_id", "text")
     rows = grouped.mapInArrow(_tokenise(vocab, folder), "grp long, doc_id long, n int, tokens binary")
     return rows.repartition("grp").sortWithinPartitions("grp", "doc_id", "n", "tokens").mapInArrow(_fill((max_tokens, max_docs, max_attention), weights, rule, width), SCHEMA)

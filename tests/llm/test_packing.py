@@ -61,3 +61,26 @@ def test_defined_cases(spark, none):
     assert [r.doc_ids for r in got] == [[None, None]]
     with pytest.raises(ValueError):
         P.pack(rows, rule="first")
+
+
+def test_groups_of_identical_rows_and_long_texts_are_bounded(spark, monkeypatch):
+    """A third of all rows are one row, or tokens are many: groups close and go on, no token is lost, bins have names of their own."""
+    monkeypatch.setattr(P, "GROUP", 8)
+    monkeypatch.setattr(P, "GROUP_BYTES", 4000)
+    rows = [(None, "one two three")] * 100 + [(i, f"text {i} " * (1 + i % 300)) for i in range(200)]
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string"), max_tokens=256, rule="norm").collect()
+    v = vocabulary(P.VOCABULARY)
+    assert len({r.bin for r in got}) == len(got)
+    assert sum(d is None for r in got for d in r.doc_ids) == 100
+    assert sum(r.n_tokens for r in got) == sum(len(v._encode(t)) for _, t in rows)
+
+
+def test_documents_longer_than_a_bin_with_ties_under_norm(spark):
+    v = vocabulary(P.VOCABULARY)
+    rows = [(i, "word " * 150) for i in range(6)]
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string"), max_tokens=64, max_docs=3, rule="norm").collect()
+    n = len(v._encode(rows[0][1]))
+    pieces = sorted((-m, i, start) for i in range(6) for start, m in zip(range(0, n, 64), P.piece_lengths(n, 64, P.MAX_ATTENTION)))
+    bins = P.best_fit(np.array([-p[0] for p in pieces]), (64, 3, P.MAX_ATTENTION), rule="norm")
+    want = sorted([(pieces[i][1], pieces[i][2], -pieces[i][0]) for i in b] for b in bins)
+    assert sorted(list(zip(r.doc_ids, r.starts, r.lengths)) for r in got) == want

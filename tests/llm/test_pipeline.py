@@ -30,10 +30,43 @@ def test_stages(spark, folder):
     assert after.keys() == before.keys() and "[EMAIL]" in after[500].text and after[500].n_chars == len(after[500].text)
     four = C.written(stages["source_mix"](spark, three, folder), "t")
     assert set(four.columns) == set(columns)
-    assert all(r.text in after[r.doc_id].text for r in four.collect())
+    assert all(r.text in after[r.doc_id].text and len(r.text) == r.n_chars for r in four.collect())
     five = stages["packing"](spark, four, folder)
     assert sum(len(r.doc_ids) for r in five.collect()) >= four.where("text <> ''").count()
 
 
 def test_run_gives_bins(spark, folder):
     assert C.run(spark, folder).count() > 0
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, group_id string, score double, key string, tags array<string>, meta map<string, int>"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, corpus, tmp_path_factory):
+    """Null ids and texts, repeated rows, a long text, and columns named like the operators' own."""
+    path = tmp_path_factory.mktemp("odd")
+    rows = [(i, t, l, s, 0, "g", 0.5, None, ["a", None], {"m": i}) for i, t, l, s in corpus if i < 200 or i >= 300]
+    rows += [(None, rows[3][1], "aa", "s1", 0, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None), rows[10], rows[10]]
+    spark.createDataFrame(rows, EXTRA).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_stages_keep_columns_and_defined_cases(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    schema = [(f.name, f.dataType) for f in docs.schema]
+    for name, stage in C.STAGES[:-1]:
+        docs = C.written(stage(spark, docs, odd), name)
+        assert [(f.name, f.dataType) for f in docs.schema] == schema, name
+        rows = docs.collect()
+        assert rows and all(r.text for r in rows if name in ("language_id", "near_dedup")), name
+        assert any(r.doc_id is None for r in rows), name  # a row without an id has no copies: it stays
+        if name != "source_mix":
+            assert sum(r.doc_id == 10 for r in rows) == 3  # rows of one id are one document
+    assert {tuple(r.tags) for r in rows if r.tags} == {("a", None)} and any(r.meta == {"m": r.doc_id} for r in rows)
+    assert C.STAGES[-1][1](spark, docs, odd).count() > 0
+
+
+def test_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], EXTRA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert C.run(spark, str(tmp_path)).collect() == []
