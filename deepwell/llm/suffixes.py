@@ -44,6 +44,8 @@ from .store import broadcast_if_small, written
 WINDOW = 50
 ANCHOR = 10
 SHALLOW = 32
+STEP = 4
+FEW = 12
 CROWD = 2048
 FILTER_BITS = 1 << 27
 FILTER_HASHES = 3
@@ -58,44 +60,39 @@ _SPACE = re.compile(b" ")
 def deep_shallow(texts: list[bytes], shallow: int = SHALLOW) -> tuple[list[int], list[int]]:
     """Indices of ``texts`` in byte order (ties by index), and the common prefix with the one before.
 
-    Multikey quicksort partitions on one byte at a time, down to depth ``shallow``; each group that is
-    equal so far goes to a blind trie.
+    Multikey quicksort partitions on ``STEP`` bytes at a time, down to depth ``shallow``; each group that is
+    equal so far goes to a blind trie. Groups of at most ``FEW`` are put in order at once, as quicksorts do.
     """
     order: list[int] = []
-    common: list[int] = []
-    stack: list[tuple[list[int], int, int]] = [(list(range(len(texts))), 0, 0)]  # group, depth, prefix shared with what is already out
+    stack: list[tuple[list[int], int]] = [(list(range(len(texts))), 0)]
     while stack:
-        group, depth, before = stack.pop()
-        if len(group) == 1:
-            order.append(group[0])
-            common.append(before)
-            continue
-        if depth >= shallow:
+        group, depth = stack.pop()
+        if len(group) <= FEW:
+            group.sort(key=texts.__getitem__)
+            order += group
+        elif depth >= shallow:
             trie = BlindTrie(texts)
             for i in group:
                 trie.insert(i)
-            for i, shared in trie.walk():
-                order.append(i)
-                common.append(before if shared < 0 else shared)
-            continue
-        keys = [texts[i][depth] if depth < len(texts[i]) else -1 for i in group]
-        pivot = sorted((keys[0], keys[len(keys) // 2], keys[-1]))[1]
-        less = [i for i, k in zip(group, keys, strict=True) if k < pivot]
-        same = [i for i, k in zip(group, keys, strict=True) if k == pivot]
-        more = [i for i, k in zip(group, keys, strict=True) if k > pivot]
-        parts = [(less, depth), (same, depth + 1), (more, depth)]
-        parts = [p for p in parts if p[0]]
-        if pivot < 0 and same:  # ended: equal strings, in index order
-            parts = [(g, d) for g, d in parts if g is not same]
-            for n, (g, d) in reversed(list(enumerate(parts))):
-                stack.append((g, d, depth))
-            for n, i in enumerate(same):
-                order.append(i)
-                common.append(before if n == 0 else depth)
-            continue
-        for n, (g, d) in reversed(list(enumerate(parts))):
-            stack.append((g, d, before if n == 0 else depth))
-    return order, common
+            order += [i for i, _ in trie.walk()]
+        else:
+            end = depth + STEP
+            keys = [texts[i][depth:end] for i in group]
+            pivot = sorted((keys[0], keys[len(keys) // 2], keys[-1]))[1]
+            less = [i for i, k in zip(group, keys, strict=True) if k < pivot]
+            same = [i for i, k in zip(group, keys, strict=True) if k == pivot]
+            more = [i for i, k in zip(group, keys, strict=True) if k > pivot] if len(less) + len(same) < len(group) else []
+            if len(pivot) < STEP:  # ended: equal strings, in index order
+                if less:
+                    stack += [(more, depth)] * bool(more)
+                    stack += [(same[i : i + FEW], depth) for i in reversed(range(0, len(same), FEW))]
+                    stack.append((less, depth))
+                else:
+                    order += same
+                    stack += [(more, depth)] * bool(more)
+            else:
+                stack += [(g, d) for g, d in ((more, depth), (same, end), (less, depth)) if g]
+    return order, [0, *(shared_prefix(texts[a], texts[b]) for a, b in zip(order, order[1:]))][: len(order)]
 
 
 class BlindTrie:
@@ -167,9 +164,10 @@ def shared_prefix(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
         return n
-    lo, step = 0, 64
+    lo, step = 0, 16
     while a[lo : lo + step] == b[lo : lo + step]:
         lo += step
+        step *= 2
     while step > 1:
         step //= 2
         if a[lo : lo + step] == b[lo : lo + step]:
