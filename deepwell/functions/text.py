@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 UNSPACED = "\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\uAC00-\\uD7AF\\u0E00-\\u0EFF\\u1000-\\u109F\\u1780-\\u17FF"
 _RUN = f"[{UNSPACED}]+|[\\p{{IsAlphabetic}}\\p{{N}}&&[^{UNSPACED}]]+"
 _SPACED_RUN = "[\\p{IsAlphabetic}\\p{N}]+"
+_GAP = "[^\\p{IsAlphabetic}\\p{N}]+"
 _WORD = "(?U)[^\\s\\x1c-\\x1f]+"
 _SPACE = "(?U)[\\s\\x1c-\\x1f]+"
 
@@ -32,6 +33,9 @@ def tokenize(text: Column, lowercase: bool = True) -> Column:
 
     mixed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), parts))
     spaced = F.transform(F.regexp_extract_all(text, F.lit(_SPACED_RUN), F.lit(0)), fold)
+    if lowercase:  # without the letters whose lower case depends on neighbours or is two characters, all in compiled code
+        plain = F.array_remove(F.split(F.lower(text), _GAP), "")
+        spaced = F.when(text.rlike("[Σİ]"), spaced).otherwise(plain)
     return F.when(text.rlike(f"[{UNSPACED}]"), mixed).otherwise(spaced)
 
 

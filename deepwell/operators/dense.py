@@ -55,25 +55,78 @@ def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(at), np.concatenate(of)
 
 
+Best = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # query numbers, keys, scores, rows
+
+
+def keys_of(column: pa.Array) -> np.ndarray:
+    """Integers, or strings of a fixed width: both sort as Spark sorts them."""
+    return column.to_numpy() if pa.types.is_integer(column.type) else np.array(column.to_pylist(), str)
+
+
+def no_best(width: int = 0) -> Best:
+    return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, width), np.float32)
+
+
+def better(have: Best, s: np.ndarray, ids: np.ndarray, k: int, rows: np.ndarray | None = None) -> Best:
+    """The k best of each query among ``have`` and the scores (queries, keys)."""
+    at, of = _best(s, ids, k)
+    new = (at, ids[of], s[at, of], rows[of] if rows is not None else np.zeros((len(of), have[3].shape[1]), np.float32))
+    at, ids, value, rows = new if not len(have[0]) else (np.concatenate(p) for p in zip(have, new, strict=True))
+    order = np.lexsort((ids, -np.round(value, 9), at))
+    at = at[order]
+    keep = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+    at = at[np.arange(len(at)) - np.searchsorted(at, at) < k]
+    return at, ids[keep], value[keep], rows[keep]
+
+
 def _scan(shared, k: int, dim: int, metric: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, raw = shared.value
         q = np.frombuffer(raw, np.float64).reshape(-1, dim)
-        have = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        have, kind = no_best(), None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            step = max(1, TILE // max(1, len(q)))
+            for lo in range(0, batch.num_rows, step):
+                rows = batch.slice(lo, step)
+                x = matrix(rows.column(1), dim)
+                have = better(have, scores(q, unit(x) if metric == "cosine" else x, metric), keys_of(rows.column(0)), k)
+        if len(have[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(qids[have[0]]), pa.array(have[1].tolist(), kind), pa.array(have[2])], ["qid", "key", "score"])
+
+    return scan
+
+
+def codes_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """int8 codes of rows, and their scales; halves go away from zero."""
+    scale = np.abs(x).max(1, initial=0) / 127
+    y = x / np.where(scale > 0, scale, 1)[:, None]
+    return np.clip(np.sign(y) * np.floor(np.abs(y) + 0.5), -127, 127), scale
+
+
+def _scan_codes(shared, k: int, dim: int, metric: str, stored: bool):
+    """As ``_scan``, by the products of codes; a hit brings its vector along."""
+    kind = np.float32 if dim <= 1024 else np.float64  # exact: 127 * 127 * dim < 2^24
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, raw = shared.value
+        q, q_scale = codes_of(np.frombuffer(raw, np.float64).reshape(-1, dim))
+        q = q.astype(kind)
+        have, key_type = no_best(dim), None
         for batch in batches:
+            key_type = batch.schema.field(0).type
             step = max(1, TILE // max(1, len(q)))
             for lo in range(0, batch.num_rows, step):
                 rows = batch.slice(lo, step)
-                x, ids = matrix(rows.column(1), dim), rows.column(0).to_numpy()
-                s = scores(q, unit(x) if metric == "cosine" else x, metric)
-                at, of = _best(s, ids, k)
-                at, ids, value = (np.concatenate(p) for p in zip(have, (at, ids[of], s[at, of]), strict=True))
-                order = np.lexsort((ids, -np.round(value, 9), at))
-                at, ids, value = at[order], ids[order], value[order]
-                first = np.searchsorted(at, np.arange(len(q)))
-                keep = np.arange(len(at)) - first[at] < k
-                have = (at[keep], ids[keep], value[keep])
-        yield pa.RecordBatch.from_arrays([pa.array(qids[have[0]]), pa.array(have[1]), pa.array(have[2])], ["qid", "key", "score"])
+                v = matrix(rows.column(1), dim)
+                if stored:
+                    code, scale = matrix(rows.column(2), dim), rows.column(3).to_numpy()
+                else:
+                    code, scale = codes_of(unit(v) if metric == "cosine" else v)
+                value = (q @ code.astype(kind).T).astype(np.float64) * q_scale[:, None] * scale[None, :]
+                have = better(have, value, keys_of(rows.column(0)), k, v.astype(np.float32))
+        if len(have[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(qids[have[0]]), pa.array(have[1].tolist(), key_type), pa.array(have[2]), pa.array(list(have[3]), pa.list_(pa.float32()))], ["qid", "key", "score", "v"])
 
     return scan
 
@@ -100,20 +153,30 @@ def query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.
         yield np.array(qids, np.int64), np.array(rows, np.float64)
 
 
+def key_type(df: DataFrame, key: str) -> str:
+    return "string" if df.schema[key].dataType.simpleString() == "string" else "long"
+
+
+def usable(vectors: DataFrame, dim: int, key: str, embedding: str, *more: str) -> DataFrame:
+    """(key, v, more..) of the rows with a key and a finite vector of ``dim``."""
+    rows = vectors.where(F.size(embedding) == dim).select(F.col(key).cast(key_type(vectors, key)).alias("key"), F.col(embedding).cast("array<float>").alias("v"), *more)
+    return rows.where("key IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x))")
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "cosine", key: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
     """(qid, key, score, rank), exact. Vectors that are null or of another length are left out; filter ``vectors`` beforehand."""
     check_metric(metric)
     spark = vectors.sparkSession
-    rows = vectors.where(F.size(embedding) == dim).select(F.col(key).cast("long").alias("key"), F.col(embedding).cast("array<float>").alias("v")).where("key IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x))")
+    rows, kind = usable(vectors, dim, key, embedding), key_type(vectors, key)
     out = None
     for qids, q in query_blocks(queries, dim):
         if metric == "cosine":
             q = unit(q)
         shared = spark.sparkContext.broadcast((qids, q.tobytes()))
-        hits = rows.mapInArrow(_scan(shared, k, dim, metric), "qid long, key long, score double")
+        hits = rows.mapInArrow(_scan(shared, k, dim, metric), f"qid long, key {kind}, score double")
         out = hits if out is None else out.unionByName(hits)
     if out is None:
-        out = spark.createDataFrame([], "qid long, key long, score double")
+        out = spark.createDataFrame([], f"qid long, key {kind}, score double")
     return top_k(out.withColumnRenamed("key", key), k, key)
 
 
@@ -132,17 +195,25 @@ def int8_top_k(vectors: DataFrame, queries: DataFrame, k: int, pool: int | None
 
     ``vectors`` may carry stored columns ``codes`` and ``scale``; otherwise they are computed.
     """
-    from ..functions.vectors import int8_codes, int8_scale, int_dot, normalize
+    from ..functions.vectors import cosine, dot
 
+    check_metric(metric)
     if metric == "l2":
         raise InvalidInputError("int8 codes don't order l2 distances")
     pool = pool or k
     wide = max(4 * pool, pool + 16)
-    base = vectors
-    if "codes" not in vectors.columns:
-        prepared = normalize(F.col(embedding)) if metric == "cosine" else F.col(embedding)
-        base = vectors.withColumn("_v", prepared).withColumn("codes", int8_codes(F.col("_v"))).withColumn("scale", int8_scale(F.col("_v")))
-    q = queries.withColumn("_q", normalize(F.col("vector")) if metric == "cosine" else F.col("vector")).select("qid", int8_codes(F.col("_q")).alias("q_codes"), int8_scale(F.col("_q")).alias("q_scale"))
-    rough = base.select(key, "codes", "scale").crossJoin(q)
-    value = int_dot(F.col("q_codes"), F.col("codes")).cast("double") * F.col("q_scale") * F.col("scale")
-    return rescore(top_k(rough.select("qid", key, value.alias("score")), wide, key), vectors, queries, k, metric, key, embedding)
+    first = queries.select(F.size("vector")).first()
+    dim = first[0] if first else 1
+    stored = "codes" in vectors.columns
+    rows, kind = usable(vectors, dim, key, embedding, *(["codes", "scale"] if stored else [])), key_type(vectors, key)
+    schema = f"qid long, key {kind}, score double, v array<float>"
+    out = None
+    for qids, q in query_blocks(queries, dim):
+        shared = vectors.sparkSession.sparkContext.broadcast((qids, (unit(q) if metric == "cosine" else q).tobytes()))
+        hits = rows.mapInArrow(_scan_codes(shared, wide, dim, metric, stored), schema)
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], schema)
+    near = top_k(out.withColumnRenamed("key", key), wide, key).drop("score", "rank").join(queries.select("qid", "vector"), "qid")
+    value = (cosine if metric == "cosine" else dot)(F.col("vector"), F.col("v"))
+    return top_k(near.select("qid", key, value.alias("score")), k, key)

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dense import matrix, query_blocks, rescore, unit
+from .dense import better, key_type, keys_of, matrix, no_best, scores, unit, usable
 from .rank import top_k
 
 SAMPLE = 20_000
@@ -70,25 +70,110 @@ def assign(vectors: DataFrame, centroids: np.ndarray, embedding: str = "embeddin
     return vectors.where(F.size(embedding) == dim).mapInArrow(nearest, f"{fields}, list_id int")
 
 
-def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int, metric: str = "cosine") -> DataFrame:
-    """(qid, list_id): the ``nprobe`` nearest lists of each query."""
-    spark = queries.sparkSession
-    rows = []
-    for qids, q in query_blocks(queries, centroids.shape[1]):
-        q = unit(q) if metric == "cosine" else q
-        near = np.argsort((centroids * centroids).sum(1) - 2 * q @ centroids.T, axis=1, kind="stable")[:, :nprobe]
-        rows += [(int(i), int(c)) for i, line in zip(qids, near, strict=True) for c in line]
-    return spark.createDataFrame(rows, "qid long, list_id int")
+def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int, metric: str = "cosine", always: int | None = None) -> DataFrame:
+    """(list_id, qid, q): each query, as bytes of float64, with its ``nprobe`` nearest lists; ``always``: one more list for all."""
+    shared = queries.sparkSession.sparkContext.broadcast(centroids)
+    dim = centroids.shape[1]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            for rows in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                q = matrix(rows.column(1), dim)
+                q = unit(q) if metric == "cosine" else q
+                near = np.argsort((c * c).sum(1) - 2 * q @ c.T, axis=1, kind="stable")[:, :nprobe]
+                if always is not None:
+                    near = np.concatenate([near, np.full((len(q), 1), always)], 1)
+                raw = [v.tobytes() for v in q]
+                yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), rows.column(0).take(pa.array(np.repeat(np.arange(len(q)), near.shape[1]))), pa.array([r for r in raw for _ in range(near.shape[1])], pa.binary())], ["list_id", "qid", "q"])
+
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") == dim)
+    return asked.mapInArrow(ask, "list_id int, qid long, q binary")
+
+
+def _in_lists(k: int, dim: int, metric: str, value=None):
+    """Rows (list_id, part, kind, qid, q, key, v, ..) in order of list and part, queries first -> k best per query and part.
+
+    ``value``: (queries, batch) -> scores, by default those of the vectors.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, qids, q, have, kind = None, [], [], None, no_best(dim), None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([qids[i] for i in have[0]], pa.int64()), pa.array(have[1].tolist(), kind), pa.array(have[2]), pa.array(list(have[3]), pa.list_(pa.float32()))], ["qid", "key", "score", "v"])
+
+        for batch in batches:
+            kind = batch.schema.field(5).type
+            spot = np.stack([batch.column(i).to_numpy() for i in range(3)]) if batch.num_rows else np.zeros((3, 0))
+            edges = np.flatnonzero(np.concatenate([[True], (spot[:, 1:] != spot[:, :-1]).any(0)])) if batch.num_rows else []
+            for lo, hi in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+                now = tuple(spot[:2, lo].tolist())
+                if now != at:
+                    if len(have[0]):
+                        yield done()
+                    at, asked, qids, q, have = now, [], [], None, no_best(dim)
+                rows = batch.slice(lo, hi - lo)
+                if spot[2, lo] == 0:
+                    qids += rows.column(3).to_pylist()
+                    asked += rows.column(4).to_pylist()
+                    continue
+                if not qids:
+                    continue
+                if q is None:
+                    q, asked = np.frombuffer(b"".join(asked), np.float64).reshape(-1, dim), []
+                step = max(1, (1 << 22) // len(q))
+                for i in range(0, rows.num_rows, step):
+                    some = rows.slice(i, step)
+                    x = matrix(some.column(6), dim)
+                    s = value(q, some) if value else scores(q, unit(x) if metric == "cosine" else x, metric)
+                    have = better(have, s, keys_of(some.column(5)), k, x.astype(np.float32))
+        if len(have[0]):
+            yield done()
+
+    return scan
+
+
+def _met(members: DataFrame, asked: DataFrame, per_list: int, dim: int) -> DataFrame:
+    """Members and the queries that probe their list, in one order. Queries of a list beyond 16 MB are split into parts, to each
+    of which its members go."""
+    parts = max(1, -(-per_list * dim * 8 // (16 << 20)))
+    more = [c for c in members.columns if c not in ("list_id", "key", "v")]
+    left = asked.select("list_id", F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "qid", "q", F.lit(None).cast(members.schema["key"].dataType).alias("key"), F.lit(None).cast("array<float>").alias("v"), *[F.lit(None).cast(members.schema[c].dataType).alias(c) for c in more])
+    right = members.select("list_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("qid"), F.lit(None).cast("binary").alias("q"), "key", "v", *more)
+    return left.union(right).repartition("list_id", "part").sortWithinPartitions("list_id", "part", "kind")
 
 
 def list_top_k(assigned: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int, nprobe: int, metric: str = "cosine", key: str = "chunk_id", embedding: str = "embedding", fresh: DataFrame | None = None) -> DataFrame:
-    """Exact scores within the probed lists, and of all ``fresh`` vectors that no list has yet."""
-    candidates = assigned.select(key, "list_id").join(probes(queries, centroids, nprobe, metric), "list_id").select("qid", key)
-    vectors = assigned.select(key, embedding)
+    """Exact scores within the probed lists, and of all ``fresh`` vectors that no list has yet.
+
+    Vectors and queries meet once, by list; a task holds a list's queries, streams its vectors through a matrix product and
+    returns its k best for each.
+    """
+    dim = centroids.shape[1]
+    members = usable(assigned, dim, key, embedding, "list_id").select(F.col("list_id").cast("int").alias("list_id"), "key", "v")
     if fresh is not None:
-        candidates = candidates.unionByName(fresh.select(key).crossJoin(queries.select("qid")).select("qid", key))
-        vectors = vectors.unionByName(fresh.select(key, embedding))
-    return rescore(candidates, vectors, queries, k, metric, key, embedding)
+        members = members.unionByName(usable(fresh, dim, key, embedding).withColumn("list_id", F.lit(-1)))
+    per_list = queries.count() * (1 if fresh is not None else min(1.0, nprobe / len(centroids)))
+    met = _met(members, probes(queries, centroids, nprobe, metric, -1 if fresh is not None else None), int(per_list), dim)
+    hits = met.mapInArrow(_in_lists(k, dim, metric), f"qid long, key {key_type(assigned, key)}, score double, v array<float>").drop("v")
+    return top_k(hits.withColumnRenamed("key", key), k, key)
+
+
+def enough_probes(assigned: DataFrame, centroids: np.ndarray, k: int, recall: float = 0.9, queries: int = 200, metric: str = "cosine", key: str = "chunk_id", embedding: str = "embedding") -> int:
+    """The fewest probes at which ``queries`` of the vectors (smallest hashes) find a share ``recall`` of their k nearest among all vectors."""
+    from .dense import dense_top_k
+
+    dim = centroids.shape[1]
+    asked = assigned.where(F.size(embedding) == dim).orderBy(F.xxhash64(key), key).limit(queries).select(F.xxhash64(key).alias("qid"), F.col(embedding).cast("array<double>").alias("vector"))
+    near = dense_top_k(assigned, asked, k, dim, metric, key, embedding).join(assigned.select(key, "list_id"), key).select("qid", "list_id").toPandas()
+    vectors = asked.toPandas()
+    q = np.array(vectors["vector"].tolist(), float).reshape(-1, dim)
+    q = unit(q) if metric == "cosine" else q
+    order = np.argsort((centroids * centroids).sum(1) - 2 * q @ centroids.T, axis=1, kind="stable")
+    place = {qid: np.argsort(line, kind="stable") for qid, line in zip(vectors["qid"].tolist(), order, strict=True)}
+    seen = np.sort([place[a][b] for a, b in zip(near["qid"], near["list_id"], strict=True)])
+    return int(seen[min(len(seen) - 1, math.ceil(recall * len(seen)) - 1)]) + 1 if len(seen) else len(centroids)
 
 
 def subspaces(dim: int) -> int:
@@ -126,26 +211,27 @@ def encode(assigned: DataFrame, books: np.ndarray, embedding: str = "embedding",
 def code_top_k(encoded: DataFrame, queries: DataFrame, centroids: np.ndarray, books: np.ndarray, k: int, nprobe: int, metric: str = "cosine", key: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
     """Distances by table look-up within the probed lists, then exact scores of the ``max(8 k, k + 32)`` best."""
     m, _, width = books.shape
-    wide = max(8 * k, k + 32)
-    rough = encoded.select(key, "list_id", "codes").join(probes(queries, centroids, nprobe, metric), "list_id").select("qid", key, "codes")
-    rough = rough.join(queries.select("qid", F.col("vector").cast("array<double>").alias("vector")), "qid")
+    dim, wide = m * width, max(8 * k, k + 32)
     shared = encoded.sparkSession.sparkContext.broadcast(books)
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        tables: dict[int, np.ndarray] = {}
-        for batch in batches:
-            qids = batch.column(0).to_numpy()
-            own = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, m)
-            value = np.zeros(len(qids))
-            for q in np.unique(qids):
-                lines = np.flatnonzero(qids == q)
-                if q not in tables:
-                    v = np.array(batch.column(3)[int(lines[0])].as_py()).reshape(1, -1)
-                    v = (unit(v) if metric == "cosine" else v).reshape(m, 1, width)
-                    tables[q] = -((c - v) ** 2).sum(2) if metric == "l2" else (c * v).sum(2)
-                value[lines] = tables[q][np.arange(m)[None, :], own[lines]].sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], ["qid", key, "score"])
-
-    near = rough.select(F.col("qid").cast("long").alias("qid"), F.col(key).cast("long").alias(key), "codes", "vector").mapInArrow(look_up, f"qid long, `{key}` long, score double")
-    return rescore(top_k(near, wide, key), encoded, queries, k, metric, key, embedding)
+    def by_table(q: np.ndarray, rows: pa.RecordBatch) -> np.ndarray:
+        c, parts = shared.value, q.reshape(len(q), m, width)
+        code = np.frombuffer(b"".join(rows.column(7).to_pylist()), np.uint8).reshape(-1, m)
+        out = np.zeros((len(q), len(code)))
+        for i in range(m):
+            table = parts[:, i] @ c[i].T if metric != "l2" else -((parts[:, i, None] - c[i][None]) ** 2).sum(2)
+            out += table[:, code[:, i]]
+        return out
+
+    members = usable(encoded, dim, key, embedding, "list_id", "codes").select(F.col("list_id").cast("int").alias("list_id"), "key", "v", "codes")
+    met = _met(members, probes(queries, centroids, nprobe, metric), int(queries.count() * min(1.0, nprobe / len(centroids))), dim)
+    rough = met.mapInArrow(_in_lists(wide, dim, metric, by_table), f"qid long, key {key_type(encoded, key)}, score double, v array<float>")
+    near = top_k(rough.withColumnRenamed("key", key), wide, key).drop("score", "rank").join(queries.select("qid", "vector"), "qid")
+    return top_k(near.select("qid", key, exact(metric).alias("score")), k, key)
+
+
+def exact(metric: str) -> Column:
+    from ..functions.vectors import cosine, dot, l2_squared
+
+    a, b = F.col("vector"), F.col("v")
+    return {"cosine": lambda: cosine(a, b), "dot": lambda: dot(a, b), "l2": lambda: -l2_squared(a, b)}[metric]()

@@ -1,7 +1,7 @@
 """BM25 over a postings table.
 
-``postings(chunks)`` is written once per generation, clustered by term, and read per batch of queries; corpus statistics
-always cover all live chunks, a filter narrows only what may be returned.
+Corpus statistics always cover all live chunks, a filter narrows only what may be returned. ``plans.indexes`` stores postings
+clustered by term; without it ``bm25_top_k`` makes those of the asked terms from the texts.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.scratch import small, written
 from .rank import top_k
 
 K1, B = 1.2, 0.75
@@ -51,7 +52,7 @@ def bm25_scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, accep
     Only postings of asked terms pass the semi join; their frequencies are one window-free aggregation over them.
     """
     terms = query_terms(queries)
-    asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    asked = postings.join(small(written(terms.select("term").distinct(), "asked")), "term", "left_semi")
     df = document_frequency(asked)
     weights = terms.join(df, "term").crossJoin(F.broadcast(stats.select("n", "avg_len"))).select("qid", "term", "avg_len", idf(F.col("n"), F.col("df")).alias("idf"))
     if accept is not None:
@@ -61,5 +62,8 @@ def bm25_scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, accep
 
 
 def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, accept: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
-    """(qid, key, score, rank) straight from texts, without a stored index."""
-    return top_k(bm25_scores(postings(chunks, key), corpus_stats(chunks, key), queries, accept, key), k, key)
+    """(qid, key, score, rank) straight from texts, without a stored index: postings of asked terms alone leave a task, and are written once."""
+    asked = small(written(query_terms(queries).select("term").distinct(), "asked"))
+    tokens = chunks.select(key, tokenize(F.col("text")).alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    found = written(tokens.join(asked, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf")), "postings")
+    return top_k(bm25_scores(found, corpus_stats(chunks, key), queries, accept, key), k, key)
