@@ -43,3 +43,7 @@ class VerificationError(DeepwellError):
 
 class MissingDependencyError(DeepwellError, ImportError):
     pass
+
+
+class CorruptStoreError(DeepwellError):
+    pass

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidInputError
 from ..operators import dense, filters, lexical, rank, sparse
 from .config import Config
+from .indexes import Index
 
 MODES = ("dense", "keyword", "sparse", "hybrid", "auto")
 
@@ -26,36 +27,54 @@ def resolve_mode(mode: str, columns: list[str]) -> str:
     raise InvalidInputError("a query needs a text, a vector or a sparse vector")
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int, config: Config = Config(), mode: str | None = None, spec: dict | str | None = None, dim: int | None = None) -> DataFrame:
-    """(qid, chunk_id, score, rank). ``chunks``: chunk_id, text, embedding, sparse and metadata; ``queries``: qid and any of text, vector, sparse.
-
-    The filter applies to every signal before scores, statistics stay those of all chunks. A sparse query joins the
-    fusion in every mode. chunk_id may be of any type: vectors are searched under a number that is joined back.
-    """
+def signals(chunks: DataFrame, queries: DataFrame, pool: int, config: Config = Config(), mode: str | None = None, spec: dict | str | None = None, dim: int | None = None, index: Index | None = None, allowed: DataFrame | None = None) -> dict[str, tuple[DataFrame, float]]:
+    """By name (dense, keyword, sparse): (qid, chunk_id, score, rank) to ``pool``, and its weight."""
     mode = resolve_mode(mode or config.mode, queries.columns)
-    pool = max(4 * k, 50)
-    allowed = filters.filtered(chunks, spec)
-    signals: list[tuple[DataFrame, float]] = []
+    kept = filters.filtered(chunks, spec) if allowed is None else allowed
+    narrowed = kept.select("chunk_id") if spec or allowed is not None else None
+    out: dict[str, tuple[DataFrame, float]] = {}
     if mode in ("dense", "hybrid") and "vector" in queries.columns:
-        q = queries.where("vector IS NOT NULL")
+        q = queries.where("vector IS NOT NULL").select("qid", "vector")
         width = dim or (first[0] if (first := chunks.where("embedding IS NOT NULL").select(F.size("embedding")).first()) else 0)
         if width:
-            keyed = allowed.where("embedding IS NOT NULL").select("chunk_id", "embedding", F.xxhash64(F.col("chunk_id").cast("string")).alias("_n"))
-            search_in = keyed.select(F.col("_n").alias("n"), "embedding")
-            if config.quantization == "sq8":
-                hits = dense.int8_top_k(search_in, q, pool, pool, "n", metric=config.metric)
+            if config.index != "flat" and index is not None and index.centroids is not None and index.dim == width and index.metric == config.metric:
+                hits = index.dense(chunks, q, pool, config.nprobe, narrowed)
+            elif config.quantization == "sq8":
+                hits = dense.int8_top_k(kept, q, pool, pool, metric=config.metric)
             else:
-                hits = dense.dense_top_k(search_in, q, pool, width, config.metric, "n")
-            hits = hits.join(keyed.select("_n", "chunk_id"), hits["n"] == F.col("_n")).select("qid", "chunk_id", "score")
-            signals.append((rank.top_k(hits, pool), config.dense_weight))
+                hits = dense.dense_top_k(kept, q, pool, width, config.metric)
+            out["dense"] = (hits, config.dense_weight)
     if mode in ("keyword", "hybrid") and "text" in queries.columns:
-        accept = allowed.select("chunk_id") if spec else None
-        signals.append((lexical.bm25_top_k(chunks, queries.where("text IS NOT NULL").select("qid", "text"), pool, accept), config.bm25_weight))
+        asked = queries.where("text IS NOT NULL").select("qid", "text")
+        by = lexical.bm25_top_k if index is None else index.bm25
+        out["keyword"] = (by(chunks, asked, pool, narrowed), config.bm25_weight)
     if "sparse" in queries.columns and "sparse" in chunks.columns:
         asked = sparse.sparse_postings(queries.where("sparse IS NOT NULL"), "qid")
-        signals.append((sparse.sparse_top_k(sparse.sparse_postings(allowed.where("sparse IS NOT NULL")), asked, pool), config.sparse_weight))
-    if not signals:
+        out["sparse"] = (sparse.sparse_top_k(sparse.sparse_postings(kept.where("sparse IS NOT NULL")), asked, pool), config.sparse_weight)
+    if not out:
         raise InvalidInputError(f"mode {mode!r} has nothing to search with")
-    if len(signals) == 1:
-        return signals[0][0].where(F.col("rank") <= k)
-    return rank.top_k(rank.fuse(signals), k)
+    return out
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int, config: Config = Config(), mode: str | None = None, spec: dict | str | None = None, dim: int | None = None, index: Index | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_id, score, rank). ``chunks``: chunk_id, text, embedding, sparse and metadata; ``queries``: qid and any of text, vector, sparse.
+
+    The filter (``spec`` over the chunks' columns, or ``allowed``, the chunks that may be returned) applies to every signal
+    before scores, statistics stay those of all chunks. A sparse query joins the fusion in every mode. With an ``index``,
+    postings come from it, and vectors from ``config.nprobe`` of its lists unless ``config.index`` is ``flat``.
+    """
+    found = list(signals(chunks, queries, max(4 * k, 50), config, mode, spec, dim, index, allowed).values())
+    if len(found) == 1:
+        return found[0][0].where(F.col("rank") <= k)
+    return rank.top_k(rank.fuse(found), k)
+
+
+def explained(chunks: DataFrame, queries: DataFrame, k: int, config: Config = Config(), **options: object) -> DataFrame:
+    """The hits of ``search`` with where each signal ranked and scored them, and what it added: (qid, chunk_id, score, rank, signals)."""
+    found = signals(chunks, queries, max(4 * k, 50), config, **options)  # type: ignore[arg-type]
+    parts = [hits.select("qid", "chunk_id", F.struct(F.lit(name).alias("signal"), F.col("rank").alias("rank"), F.col("score").alias("score"), (F.lit(float(w)) / (rank.RRF_K + F.col("rank"))).alias("part")).alias("s")) for name, (hits, w) in found.items()]
+    rows = parts[0]
+    for other in parts[1:]:
+        rows = rows.unionByName(other)
+    fused = rows.groupBy("qid", "chunk_id").agg(F.sum("s.part").alias("score"), F.array_sort(F.collect_list("s")).alias("signals"))
+    return rank.top_k(fused, k)

@@ -1,26 +1,28 @@
 """A versioned store of documents and chunks on plain Parquet folders.
 
-A commit writes data folders first and then replaces the pointer file ``_CURRENT`` by a rename, so readers see one
-generation or the next. Each write is a delta; readers take the latest entry of each document. Compaction rewrites
-live rows as a new base. One writer at a time, held by a lock file.
+A commit writes data folders first, validates what was written, and then replaces the pointer file ``_CURRENT`` by a rename, so
+readers see one generation or the next, and what isn't published (a writer that died) is never read. Each write is a delta;
+readers take the latest entry of each document. Compaction rewrites live rows as a new base; the folders it replaces stay until
+the next compaction, for readers that planned before. The pointer holds each folder's files and bytes, which ``verify``
+checks; blocks have the file system's own checksums. One writer at a time, held by a lock file.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DimensionMismatchError, InvalidInputError, LockedError, NotFoundError
+from ..errors import CorruptStoreError, DimensionMismatchError, InvalidInputError, LockedError, NotFoundError
 from ..functions.vectors import is_sparse, is_valid
 
 DELTAS = 16
-ENTRY = "document_id string, version long, content_hash string, title string, uri string, source_id string, metadata map<string,string>, created_at timestamp, deleted boolean, seq long"
+ENTRY = "document_id string, version long, content_hash string, title string, uri string, source_id string, metadata map<string,string>, attributes string, created_at timestamp, deleted boolean, seq long"
 CHUNK = "document_id string, document_version long, chunk_index int, chunk_id string, text string, token_count int, section_path array<string>, page_number int, char_start int, char_end int, embedding array<float>, sparse struct<indices:array<int>,values:array<float>>, seq long"
 
 
@@ -118,17 +120,33 @@ class Store:
 
     # --- writing
 
-    def _check(self, chunks: DataFrame, state: dict) -> None:
-        if "embedding" in chunks.columns:
-            dim = state["dim"]
-            if dim is None:
-                first = chunks.where("embedding IS NOT NULL").select(F.size("embedding")).first()
-                dim = state["dim"] = first[0] if first else None
-            if dim is not None and chunks.where(F.col("embedding").isNotNull() & ~is_valid(F.col("embedding"), dim)).head(1):
-                raise DimensionMismatchError(f"an embedding isn't {dim} finite numbers")
-        if "sparse" in chunks.columns and chunks.where(F.col("sparse").isNotNull() & ~is_sparse(F.col("sparse.indices"), F.col("sparse.values"))).head(1):
+    def _check(self, documents: DataFrame, chunks: DataFrame, state: dict) -> None:
+        """Of written tables."""
+        if documents.groupBy("document_id").count().where("count > 1 OR document_id IS NULL").head(1):
+            raise InvalidInputError("document_id must be given and unique within a write")
+        dim = state["dim"]
+        if dim is None:
+            first = chunks.where("embedding IS NOT NULL").select(F.size("embedding")).first()
+            dim = state["dim"] = first[0] if first else None
+        bad = F.col("sparse").isNotNull() & ~is_sparse(F.col("sparse.indices"), F.col("sparse.values"))
+        if dim is not None and chunks.where(F.col("embedding").isNotNull() & ~is_valid(F.col("embedding"), dim)).head(1):
+            raise DimensionMismatchError(f"an embedding isn't {dim} finite numbers")
+        if chunks.where(bad).head(1):
             raise InvalidInputError("a sparse vector's indices must ascend and match its values")
 
+    def _manifest(self, name: str) -> list[int]:
+        """Files and bytes under a folder."""
+        total = self._fs.getContentSummary(self._p(name))
+        return [total.getFileCount(), total.getLength()]
+
+    def verify(self) -> None:
+        """Raises CorruptStoreError if a published folder isn't as it was written."""
+        state = self.state() or {}
+        for name, want in state.get("manifests", {}).items():
+            have = self._manifest(name) if self._fs.exists(self._p(name)) else None
+            if have != want:
+                raise CorruptStoreError(f"{self.path}/{name} has {have} files and bytes, not {want}")
+
     @staticmethod
     def _shape(df: DataFrame, ddl: str, **values: Any) -> DataFrame:
         out = []
@@ -138,22 +156,25 @@ class Store:
         return df.select(*out)
 
     def upsert(self, documents: DataFrame, chunks: DataFrame) -> int:
-        """Replaces whole documents: (document_id, ..), and their chunks (document_id, chunk_index, text, ..). Versions go up by one; all is checked before anything is written. The commit's number."""
+        """Replaces whole documents: (document_id, ..), and their chunks (document_id, chunk_index, text, ..). Versions go up by one; what was written is checked before it is published. The commit's number."""
         with self._writer() as state:
-            self._check(chunks, state)
-            if documents.groupBy("document_id").count().where("count > 1 OR document_id IS NULL").head(1):
-                raise InvalidInputError("document_id must be given and unique within a write")
             seq, name = state["seq"] + 1, f"delta-{state['seq'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-            have = self.documents().select("document_id", F.col("version").alias("_have"))
-            asked = F.col("version") if "version" in documents.columns else F.lit(1)
-            rows = documents.join(have, "document_id", "left").withColumn("version", F.greatest(F.coalesce("_have", F.lit(0)) + 1, F.coalesce(asked, F.lit(1)).cast("long"))).drop("_have")
-            self._shape(rows, ENTRY, deleted=F.lit(False), seq=F.lit(seq), created_at=F.current_timestamp()).write.parquet(f"{self.path}/{name}/documents")
-            numbers = self.spark.read.schema(ENTRY).parquet(f"{self.path}/{name}/documents").select("document_id", F.col("version").alias("document_version"))
-            own = chunks.drop("document_version").join(numbers, "document_id")
-            if "chunk_id" not in own.columns:
-                own = own.withColumn("chunk_id", F.concat_ws("#", "document_id", "chunk_index"))
-            self._shape(own, CHUNK, seq=F.lit(seq)).write.parquet(f"{self.path}/{name}/chunks")
-            self._publish(state | {"seq": seq, "deltas": [*state["deltas"], name]})
+            try:
+                have = self.documents().select("document_id", F.col("version").alias("_have"))
+                asked = F.col("version") if "version" in documents.columns else F.lit(1)
+                rows = documents.join(have, "document_id", "left").withColumn("version", F.greatest(F.coalesce("_have", F.lit(0)) + 1, F.coalesce(asked, F.lit(1)).cast("long"))).drop("_have")
+                self._shape(rows, ENTRY, deleted=F.lit(False), seq=F.lit(seq), created_at=F.current_timestamp()).write.parquet(f"{self.path}/{name}/documents")
+                put = self.spark.read.schema(ENTRY).parquet(f"{self.path}/{name}/documents")
+                own = chunks.drop("document_version").join(put.select("document_id", F.col("version").alias("document_version")), "document_id")
+                if "chunk_id" not in own.columns:
+                    own = own.withColumn("chunk_id", F.concat_ws("#", "document_id", "chunk_index"))
+                self._shape(own, CHUNK, seq=F.lit(seq)).write.parquet(f"{self.path}/{name}/chunks")
+                self._check(put, self.spark.read.schema(CHUNK).parquet(f"{self.path}/{name}/chunks"), state)
+            except Exception:
+                self._fs.delete(self._p(name), True)
+                raise
+            manifests = state.get("manifests", {}) | {name: self._manifest(name)}
+            self._publish(state | {"seq": seq, "deltas": [*state["deltas"], name], "manifests": manifests})
         if len(state["deltas"]) + 1 >= DELTAS:
             self.compact()
         return seq
@@ -166,21 +187,32 @@ class Store:
             if n:
                 seq, name = state["seq"] + 1, f"delta-{state['seq'] + 1:08d}-{uuid.uuid4().hex[:8]}"
                 self._shape(gone.select("document_id"), ENTRY, deleted=F.lit(True), seq=F.lit(seq), created_at=F.current_timestamp(), version=F.lit(0)).write.parquet(f"{self.path}/{name}/documents")
-                self._publish(state | {"seq": seq, "deltas": [*state["deltas"], name]})
+                manifests = state.get("manifests", {}) | {name: self._manifest(name)}
+                self._publish(state | {"seq": seq, "deltas": [*state["deltas"], name], "manifests": manifests})
         return n
 
     def compact(self) -> None:
-        """Live rows only, as one base; the old folders go after the pointer has moved."""
+        """Live rows only, as one base. The folders it replaces go with the next compaction."""
+        self.rebuild()
+
+    def rebuild(self, change: Callable[[DataFrame], DataFrame] | None = None, **settings: Any) -> None:
+        """Compaction, with the chunks changed on the way and other ``settings`` (dim, model) published with them."""
         with self._writer() as state:
             name = f"base-{state['generation'] + 1:06d}-{uuid.uuid4().hex[:8]}"
             live = self.documents()
             live.write.parquet(f"{self.path}/{name}/documents")
             kept = self._read("chunks", CHUNK).join(live.select("document_id", F.col("version").alias("document_version"), "seq"), ["document_id", "document_version", "seq"], "left_semi")
-            kept.repartition("document_id").sortWithinPartitions("document_id", "chunk_index").write.parquet(f"{self.path}/{name}/chunks")
-            self._publish(state | {"generation": state["generation"] + 1, "base": name, "deltas": []})
-            for old in [state["base"], *state["deltas"]]:
-                if old:
-                    self._fs.delete(self._p(old), True)
+            kept = kept if change is None else change(kept)
+            self._shape(kept, CHUNK).repartition("document_id").sortWithinPartitions("document_id", "chunk_index").write.parquet(f"{self.path}/{name}/chunks")
+            old = [d for d in [state["base"], *state["deltas"]] if d]
+            self._publish(state | {"generation": state["generation"] + 1, "base": name, "deltas": [], "retired": old, "manifests": {name: self._manifest(name)}} | settings)
+            for gone in state.get("retired", []):
+                self._fs.delete(self._p(gone), True)
+
+    def note(self, **settings: Any) -> None:
+        """Publishes settings beside the data."""
+        with self._writer() as state:
+            self._publish(state | settings)
 
     def export_dense(self) -> DataFrame:
         return self.chunks().where("embedding IS NOT NULL").select("chunk_id", "embedding")
