@@ -66,6 +66,20 @@ def capped(rows: list[dict], per_document: int) -> tuple[list[dict], int]:
     return out, doubles
 
 
+def cap_hits(hits: DataFrame, per_document: int) -> DataFrame:
+    """(qid, chunk_id, duplicates): ``capped`` over each query's few hits (qid, document_id, chunk_id, text, rank)."""
+    kind = hits.schema["qid"].dataType.simpleString()
+    schema = f"qid {kind}, chunk_id string, duplicates int"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def one(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["rank"])
+        kept, doubles = capped(rows, per_document)
+        return pa.Table.from_pylist([{"qid": r["qid"], "chunk_id": r["chunk_id"], "duplicates": doubles} for r in kept], schema=arrow)
+
+    return hits.groupBy("qid").applyInArrow(one, schema)
+
+
 def diverse(rows: list[dict], weight: float) -> list[dict]:
     """Greedy maximal marginal relevance over all candidates; the first of equals goes first."""
     words = [set(terms(r["text"])) for r in rows]

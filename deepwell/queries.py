@@ -5,6 +5,7 @@ Each runs over its whole tables. Scores are rounded at the end only, as floats a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,12 @@ from .functions import text as X
 from .functions import vectors as V
 from .functions.embedding import HashedNgrams, embed
 from .operators import chunking, context, dense, evaluation, filters, inverted, lexical, multiquery, rank, sparse, verification, versions
+from .plans import indexes
+from .plans.config import Config
+from .plans.search import search
 from .sources import files, parsers
-from .sources.scratch import written
+from .sources.scratch import folder, written
+from .sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -239,9 +244,32 @@ def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_HYBRID}, {_hybrid_sql(1, 1)} {_sql_top('both_', 10, 'id')}")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages against texts and vectors, fused by reciprocal rank."""
-    near, words = _signals(spark, sf_dir)
-    return _rounded(rank.top_k(rank.fuse([(near, 1.0), (words, 1.0)]), 10), "score")
+    """Benchmark passages against texts and vectors, fused by reciprocal rank: the library's search plan."""
+    chunks, asked = _both(spark, sf_dir)
+    return _rounded(search(chunks, asked, 10, dim=DIM), "score")
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with the vectors of their numbers as chunks, and benchmark passages as queries with text and vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    chunks = _documents(spark, sf_dir).select("chunk_id", "text", "lang", "n_chars").join(vectors, "chunk_id", "left")
+    asked = _benchmark_queries(spark, sf_dir).join(vectors.select(F.col("chunk_id").alias("qid"), F.col("embedding").cast("array<double>").alias("vector")), "qid", "left")
+    return chunks, asked
+
+
+@query(f"WITH {_HYBRID}, {_hybrid_sql(1, 1)} {_sql_top('both_', 10, 'id')}")
+def hybrid_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from stored postings and inverted lists, all of which are probed."""
+    chunks, asked = _both(spark, sf_dir)
+    index = indexes.build(chunks, f"{folder(spark)}/index-{uuid.uuid4().hex}", DIM)
+    return _rounded(search(chunks, asked, 10, Config(index="ivf", nprobe=len(index.centroids)), index=index), "score")
+
+
+@query(f"WITH {_HYBRID.replace('embeddings e),', 'embeddings e JOIN documents o ON o.doc_id = e.vec_id WHERE o.lang = ' + chr(39) + 'en' + chr(39) + '),')}, {_hybrid_sql(1, 1, 'mixed').replace('FROM lex', 'FROM elex')} {_sql_top('mixed', 10, 'id')}".replace(", mixed AS", ", elex AS (SELECT s.qid, s.doc_id AS id, row_number() OVER (PARTITION BY s.qid ORDER BY round(score, 9) DESC, s.doc_id) AS r FROM scored s JOIN documents o USING (doc_id) WHERE o.lang = 'en'), mixed AS", 1))
+def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under a filter, which narrows both signals before they are ranked."""
+    chunks, asked = _both(spark, sf_dir)
+    return _rounded(search(chunks, asked, 10, spec={"lang": "en"}, dim=DIM), "score")
 
 
 @query(f"WITH {_HYBRID}, {_hybrid_sql(0.3, 0.7)} {_sql_top('both_', 10, 'id')}")
@@ -336,6 +364,131 @@ def tenant_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- documents
 
 
+@query("SELECT 'status' AS field, CASE WHEN n_chars % 3 = 0 THEN 'vague' ELSE 'odd' END AS value FROM documents WHERE n_chars % 3 < 2 GROUP BY ALL UNION ALL SELECT DISTINCT 'date', 'soon ' || (n_chars % 5) FROM documents WHERE n_chars % 2 = 0")
+def version_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of neither class, and dates that can't be ordered."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.when(F.col("n_chars") % 3 == 0, "vague").when(F.col("n_chars") % 3 == 1, "odd").otherwise("active").alias("status"),
+        F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("soon "), (F.col("n_chars") % 5).cast("string"))).otherwise("2020-05").alias("effective_date"),
+    )
+    return versions.unrecognized_statuses(docs).select(F.lit("status").alias("field"), F.col("status").alias("value")).union(versions.unparseable_dates(docs).select(F.lit("date"), "date"))
+
+
+@query(
+    "SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key, substring(sha256(text), 1, 16) AS id, (1 + doc_id % 3)::INT AS level, lang || ' title' AS title, "
+    "'It ' || lang || ' holds.' AS hypothesis, 'See [1].' AS sanitized FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL"
+)
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query keys, content ids, headings, hypotheses and sanitised citations."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
+    block = F.concat(F.repeat(F.lit("#"), (1 + F.col("doc_id") % 3).cast("int")), F.lit(" "), "lang", F.lit(" title\n\nand a body"))
+    claim = F.concat(F.lit("It [3] "), "lang", F.lit(" holds [12] ."))
+    return docs.select("doc_id", X.query_key(F.col("text")).alias("key"), X.content_id(F.col("text")).alias("id"), X.heading(block)["level"].alias("level"), X.heading(block)["title"].alias("title"), F.regexp_replace(X.without_markers(claim), " +", " ").alias("hypothesis"), X.sanitize_citations(F.lit("See [1] [7]."), F.lit(3)).alias("sanitized"))
+
+
+@query(f"WITH {_MEANS} SELECT vec_id, qid, round(list_dot_product(v, vector), 6) AS dot, round(list_dot_product(v, v) + list_dot_product(vector, vector) - 2 * list_dot_product(v, vector), 6) AS l2_squared, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(list_dot_product(v, vector) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(vector, vector))), 6) AS cosine, len(v) = 64 AS valid FROM means JOIN (SELECT vec_id, label::BIGINT AS qid, embedding::DOUBLE[] AS v FROM embeddings) USING (qid)")
+def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector against the mean of its label."""
+    vectors = _vectors(spark, sf_dir)
+    rows = vectors.withColumn("qid", F.col("label").cast("long")).join(F.broadcast(_class_means(vectors)), "qid")  # ten means
+    a, b = F.col("embedding").cast("array<double>"), F.col("vector")
+    return _rounded(rows.select("vec_id", "qid", V.dot(a, b).alias("dot"), V.l2_squared(a, b).alias("l2_squared"), V.norm(a).alias("norm"), V.cosine(a, b).alias("cosine"), V.is_valid(F.col("embedding"), DIM).alias("valid")), "dot", "l2_squared", "norm", "cosine")
+
+
+_REGION_CSV = "'n_name: ' || n_name || '; n_regionkey: ' || n_regionkey"
+
+
+@query(
+    f"SELECT 'r' || n_regionkey || '.csv' AS path, 'csv' AS format, 'r' || n_regionkey AS title, string_agg({_REGION_CSV}, chr(10) || chr(10) ORDER BY n_name) AS text FROM nation GROUP BY n_regionkey "
+    "UNION ALL SELECT 'r' || r_regionkey || '.jsonl', 'jsonl', 'r' || r_regionkey, r_name || chr(10) || chr(10) || '{\"n\": ' || r_regionkey || '}' FROM region "
+    "UNION ALL SELECT 'r' || r_regionkey || '.json', 'json', 'r' || r_regionkey, '{' || chr(10) || '  \"name\": \"' || r_name || '\"' || chr(10) || '}' FROM region "
+    "UNION ALL SELECT 'r' || r_regionkey || '.md', 'markdown', r_name, '## ' || r_name || chr(10) || 'text' FROM region "
+    "UNION ALL SELECT 'r' || r_regionkey || '.py', 'code', 'r' || r_regionkey, 'x = ' || r_regionkey FROM region "
+    "UNION ALL SELECT 'r' || r_regionkey || '.txt', 'text', 'r' || r_regionkey, r_name FROM region "
+    "UNION ALL SELECT 'r' || r_regionkey || '.html', 'html', r_name, 'one' || chr(10) || r_name FROM region"
+)
+def parsed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser registry over the bytes of files of seven formats."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    line = F.concat_ws(",", "n_name", F.col("n_regionkey").cast("string"))
+    csv = nation.groupBy("n_regionkey").agg(F.concat(F.lit("n_name,n_regionkey\n"), F.concat_ws("\n", F.array_sort(F.collect_list(line)))).alias("raw")).select(F.concat(F.lit("r"), "n_regionkey", F.lit(".csv")).alias("path"), "raw")
+    key, name = F.col("r_regionkey").cast("string"), F.col("r_name")
+    made = {
+        "jsonl": F.concat(F.lit('{"text": "'), name, F.lit('"}\n\n{"n": '), key, F.lit("}")),
+        "json": F.concat(F.lit('{"name": "'), name, F.lit('"}')),
+        "md": F.concat(F.lit("## "), name, F.lit("\ntext")),
+        "py": F.concat(F.lit("x = "), key),
+        "txt": name,
+        "html": F.concat(F.lit("<html><head><title>"), name, F.lit("</title><script>no()</script></head><body><p>one</p><p>"), name, F.lit("</p></body></html>")),
+    }
+    rows = csv
+    for suffix, raw in made.items():
+        rows = rows.union(region.select(F.concat(F.lit("r"), key, F.lit(f".{suffix}")), raw))
+    return parsers.parsed(rows.select("path", F.col("raw").cast("binary").alias("content"))).where("error IS NULL").select("path", "format", "title", "text")
+
+
+_TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+
+
+@query("SELECT unnest([" + ", ".join(f"'{t}.parquet'" for t in _TABLES if t not in ("part", "labels")) + "]) AS name")
+def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = files.discover(spark, sf_dir, include=("*.parquet",), exclude=("*part.parquet", "*labels.parquet"), content=False)
+    return found.select(F.regexp_replace("relative", "^/", "").alias("name"))
+
+
+# ---- the store
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Store:
+    """Conversations as documents: all written, every third written again, every fifth deleted."""
+    store = Store(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}")
+    turns = written(_turns(spark, sf_dir).drop("document_version", "chunk_id"), "turns")
+    for some in (turns, turns.where("document_id % 3 = 0")):
+        store.upsert(some.select("document_id").distinct(), some)
+    store.delete(turns.where("document_id % 5 = 0").select("document_id"))
+    return store
+
+
+@query("SELECT conv_id::VARCHAR || '#' || turn AS chunk_id, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS document_version, text FROM conversations WHERE conv_id % 5 <> 0")
+def store_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live chunks after two writes, a deletion and a compaction."""
+    store = _stored(spark, sf_dir)
+    store.compact()
+    store.verify()
+    return store.chunks().select("chunk_id", "document_version", "text")
+
+
+@query("SELECT conv_id::VARCHAR AS document_id, max(CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS versions FROM conversations GROUP BY conv_id")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document was written."""
+    return _stored(spark, sf_dir).entries().where("NOT deleted").groupBy("document_id").agg(F.count("*").alias("versions"))
+
+
+# ---- contexts
+
+_HITS = f"{_BM25}, lex AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored), t AS (SELECT qid, doc_id, source, rank, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS key FROM lex JOIN documents USING (doc_id) WHERE rank <= 50)"
+
+
+def _hits(spark: SparkSession, sf_dir: str, document: str) -> DataFrame:
+    """Fifty documents for each benchmark passage."""
+    docs = _documents(spark, sf_dir)
+    hits = lexical.bm25_top_k(docs, _benchmark_queries(spark, sf_dir), 50)
+    return hits.join(docs.select("chunk_id", "text", F.col(document).cast("string").alias("document_id")), "chunk_id").withColumn("chunk_id", F.col("chunk_id").cast("string"))
+
+
+@query(f"WITH {_HITS} SELECT qid, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY rank) AS copy FROM t) WHERE copy = 1")
+def context_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of equal texts among a query's hits, white space aside."""
+    return context.cap_hits(_hits(spark, sf_dir, "doc_id"), 1).select("qid", F.col("chunk_id").cast("long").alias("doc_id"))
+
+
+@query(f"WITH {_HITS}, u AS (SELECT *, count(*) OVER (PARTITION BY qid, key) AS n FROM t) SELECT qid, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY rank) AS r FROM u WHERE n = 1) WHERE r <= 3")
+def context_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most three hits of a document, here of a source, among texts that a query finds once."""
+    hits = _hits(spark, sf_dir, "source").withColumn("_n", F.count("*").over(W.partitionBy("qid", F.sha2(X.collapse(F.col("text")), 256)))).where("_n = 1")
+    return context.cap_hits(hits, 3).select("qid", F.col("chunk_id").cast("long").alias("doc_id"))
+
+
 @query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, floor(0.6::DOUBLE * len(regexp_extract_all(text, '[^\\s]+')) + 0.4::DOUBLE * (length(text) / 4.0::DOUBLE))::INT) END AS tokens FROM documents")
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
@@ -361,9 +514,9 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH d AS (SELECT doc_id, source || '/' || lang AS doc_group, CASE quality WHEN 1 THEN 'active' WHEN 0 THEN 'retired' END AS status, n_chars AS version FROM " + _LABELLED + "), "
+    "WITH d AS (SELECT doc_id, source || '/' || lang AS doc_group, CASE quality WHEN 1 THEN 'active' WHEN 0 THEN 'retired' END AS status, CASE WHEN n_chars % 11 = 0 THEN NULL ELSE printf('%04d-%02d', 2000 + n_chars % 20, 1 + n_chars % 12) END AS day, n_chars AS version FROM " + _LABELLED + "), "
     "r AS (SELECT *, CASE status WHEN 'active' THEN 0 WHEN 'retired' THEN 2 ELSE 1 END AS status_rank FROM d), "
-    "p AS (SELECT *, rank() OVER (PARTITION BY doc_group ORDER BY status_rank, version DESC) AS place FROM r), "
+    "p AS (SELECT *, rank() OVER (PARTITION BY doc_group ORDER BY status_rank, day DESC NULLS LAST, version DESC) AS place FROM r), "
     "t AS (SELECT *, sum((place = 1)::INT) OVER (PARTITION BY doc_group) AS firsts, count(*) OVER (PARTITION BY doc_group) AS n FROM p) "
     "SELECT doc_id, doc_group, status_rank, place, place = 1 AND firsts > 1 AND n > 1 AS tied, NOT (status_rank = 2 OR place > 1) AS keep FROM t"
 )
@@ -372,7 +525,7 @@ def version_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.concat_ws("/", "source", "lang").alias("doc_group"),
         F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "retired").alias("status"),
-        F.lit(None).cast("string").alias("effective_date"),
+        F.when(F.col("n_chars") % 11 == 0, F.when(F.col("n_chars") % 2 == 0, "soon")).otherwise(F.format_string("%04d-%02d", (2000 + F.col("n_chars") % 20).cast("int"), (1 + F.col("n_chars") % 12).cast("int"))).alias("effective_date"),
         F.col("n_chars").alias("version"),
     )
     return versions.precedence(docs).select("doc_id", "doc_group", "status_rank", F.col("place").cast("long").alias("place"), "tied", "keep")
@@ -458,9 +611,11 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.select("n_nationkey", parsers.csv_rows(nation).alias("row"))
 
 
-@query("SELECT count(DISTINCT conv_id) AS documents, count(*) AS live_chunks, sum(length(text))::BIGINT AS chars FROM conversations")
+@query("WITH t AS (SELECT conv_id % 5 <> 0 AS live, conv_id % 3 = 0 AS twice, conv_id FROM conversations) SELECT count(DISTINCT conv_id) FILTER (live) AS documents, count(*) FILTER (live) AS live_chunks, (count(*) + count(*) FILTER (twice))::BIGINT AS total_rows, (count(*) + count(*) FILTER (twice) - count(*) FILTER (live))::BIGINT AS tombstones, 3::BIGINT AS deltas FROM t")
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turns(spark, sf_dir).agg(F.countDistinct("document_id").alias("documents"), F.count("*").alias("live_chunks"), F.sum(F.length("text")).alias("chars"))
+    got = _stored(spark, sf_dir).stats()
+    names = ("documents", "live_chunks", "total_rows", "tombstones", "deltas")
+    return spark.createDataFrame([tuple(got[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 @query("SELECT o_orderkey, list_distinct([o_custkey % 7, o_custkey % 3]) AS markers FROM orders".replace("list_distinct([o_custkey % 7, o_custkey % 3])", "CASE WHEN o_custkey % 7 = o_custkey % 3 THEN [(o_custkey % 7)::INT] ELSE [(o_custkey % 7)::INT, (o_custkey % 3)::INT] END"))
@@ -469,9 +624,44 @@ def citations_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", X.citation_markers(answer).alias("markers"))
 
 
+# ---- multi-part questions
+
+_PARTS = f"{_BM25}, lex AS (SELECT qid // 4 AS qid, qid % 4 AS sub_idx, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS r FROM scored), f AS (SELECT qid, doc_id, sum(1.0::DOUBLE / (60 + r)) AS score, max(score) AS best_score FROM lex WHERE r <= 20 GROUP BY qid, doc_id)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four benchmark passages as the parts of one question, fused."""
+    hits = lexical.bm25_top_k(_documents(spark, sf_dir), _benchmark_queries(spark, sf_dir), 20)
+    return rank.fuse_queries(hits.select((F.col("qid") - F.col("qid") % 4).alias("q4"), (F.col("qid") % 4).cast("int").alias("sub_idx"), F.lit(1.0).alias("weight"), "chunk_id", "score", "rank").withColumn("qid", (F.col("q4") / 4).cast("long")).drop("q4"))
+
+
+@query(f"WITH {_PARTS} SELECT qid, doc_id AS chunk_id, round(score, 6) AS score, round(best_score, 6) AS best_score FROM f")
+def cross_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_parts(spark, sf_dir).select("qid", "chunk_id", "score", "best_score"), "score", "best_score")
+
+
+@query(f"WITH {_PARTS}, b AS (SELECT qid, doc_id, score * CASE WHEN lang = 'en' THEN 1.5 ELSE 1 END * CASE WHEN n_chars >= 2000 THEN 0.5 ELSE 1 END AS score FROM f JOIN documents USING (doc_id)) SELECT qid, doc_id AS chunk_id, round(score, 6) AS score FROM b")
+def boosted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _parts(spark, sf_dir).join(_documents(spark, sf_dir).select("chunk_id", "lang", "n_chars"), "chunk_id")
+    return _rounded(multiquery.boosted(rows, [{"filter": {"lang": "en"}, "weight": 1.5}, {"filter": {"n_chars": {"gte": 2000}}, "weight": 0.5}]).select("qid", "chunk_id", "score"), "score")
+
+
 # ---- evaluation
 
 
+@query(
+    f"WITH {_ALL}, hits AS (SELECT qid, chunk_id FROM ({_dense_sql('cosine', 10, queries=_ALL, name='everyone')}) WHERE qid % 50 = 0), "
+    "need AS (SELECT vec_id AS qid, unnest([vec_id, vec_id // 2]) AS id FROM embeddings WHERE vec_id % 50 = 0), "
+    "per AS (SELECT n.qid, count(*) = count(h.chunk_id) AS ok FROM (SELECT DISTINCT * FROM need) n LEFT JOIN hits h ON h.qid = n.qid AND h.chunk_id = n.id GROUP BY n.qid) SELECT count(*) AS questions, round(avg(ok::INT), 6) AS full_recall FROM per"
+)
+def full_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector needs itself and another."""
+    vectors = _vectors(spark, sf_dir)
+    hits = dense.dense_top_k(vectors, _asking(vectors), 10, DIM).withColumn("document_id", F.col("chunk_id"))
+    need = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.array(F.col("vec_id").cast("string"), F.expr("vec_id div 2").cast("string")).alias("relevant_ids"))
+    return _rounded(evaluation.full_recall(hits, need), "full_recall")
+
+
 @query(
     f"WITH {_ALL}, hits AS (SELECT qid, vec_id, rank FROM ({_dense_sql('cosine', 10, queries=_ALL, name='everyone').replace('AS chunk_id', 'AS vec_id')})), "
     "f AS (SELECT h.qid, h.rank, q.label = e.label AS ok FROM hits h JOIN embeddings q ON q.vec_id = h.qid JOIN embeddings e ON e.vec_id = h.vec_id), "
