@@ -6,14 +6,22 @@ clustered by term; without it ``bm25_top_k`` makes those of the asked terms from
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..sources.scratch import small, written
+from ..sources.scratch import small, stored_bytes, written
+from .dense import better, key_type, keys_of, no_best
 from .rank import top_k
 
 K1, B = 1.2, 0.75
+MOST_TERMS, MOST_QUERIES = 8192, 512
+FEW_BYTES = 4 << 20
 
 
 def lengths(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -61,9 +69,96 @@ def bm25_scores(postings: DataFrame, stats: DataFrame, queries: DataFrame, accep
     return asked.join(weights, "term").select("qid", key, part.alias("part")).groupBy("qid", key).agg(F.sum("part").alias("score"))
 
 
+def bm25_best(found: DataFrame, stats: DataFrame, queries: DataFrame, k: int, accept: DataFrame | None = None, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
+    """(qid, key, score, rank): the k best of ``bm25_scores``, by matrix products of chunks x terms and terms x queries.
+
+    ``found``: a written table of the asked terms' postings. Common terms join nearly all chunks with nearly all queries, so
+    that join is never made: postings are shuffled once, by chunk, and a task keeps its k best for each query. Queries
+    come in blocks of at most ``MOST_TERMS`` different terms (one query's may be more).
+    """
+    spark = found.sparkSession
+    terms = written(query_terms(queries).join(small(written(document_frequency(found), "df")), "term"), "terms")
+    n, avg_len = stats.select("n", "avg_len").first()
+    rows = found if accept is None else found.join(accept.select(key), key, "left_semi")
+    kind = key_type(found, key)
+    out = spark.createDataFrame([], f"qid long, `{key}` {kind}, score double")
+    for names, qids, table in _query_blocks(terms, n):
+        asked = spark.createDataFrame(list(enumerate(names)), "t int, term string")
+        own = rows.join(F.broadcast(asked), "term").select(F.col(key).cast(kind).alias("key"), "dl", "t", "tf")  # MOST_TERMS rows
+        shared = spark.sparkContext.broadcast((qids, table))
+        hits = own.repartition("key").sortWithinPartitions("key").mapInArrow(_products(shared, k, k1, b, max(avg_len, 1e-6)), f"qid long, key {kind}, score double")
+        out = out.unionByName(hits.withColumnRenamed("key", key))
+    return top_k(out, k, key)
+
+
+def _query_blocks(terms: DataFrame, n: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(terms, qids, terms x qids matrix of idf) of the queries in order, a block after the other."""
+    names: dict[str, int] = {}
+    block: dict[int, list[tuple[int, float]]] = {}
+
+    def matrix() -> tuple[list[str], np.ndarray, np.ndarray]:
+        table = np.zeros((len(names), len(block)))
+        for j, pairs in enumerate(block.values()):
+            for t, weight in pairs:
+                table[t, j] = weight
+        return list(names), np.array(list(block), np.int64), table
+
+    rows = terms.select("qid", "term", "df")
+    few = stored_bytes(terms) <= FEW_BYTES  # else a partition after the other
+    for r in sorted(rows.collect()) if few else rows.orderBy("qid", "term").toLocalIterator(prefetchPartitions=True):
+        if r["qid"] not in block and block and (len(names) >= MOST_TERMS or len(block) >= MOST_QUERIES):
+            yield matrix()
+            names, block = {}, {}
+        t = names.setdefault(r["term"], len(names))
+        block.setdefault(r["qid"], []).append((t, math.log((n - r["df"] + 0.5) / (r["df"] + 0.5) + 1.0)))
+    if block:
+        yield matrix()
+
+
+def _products(shared, k: int, k1: float, b: float, avg_len: float):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, table = shared.value
+        step = max(1, (1 << 22) // max(1, max(table.shape)))
+        have, rest, kind = no_best(), None, None
+
+        def scored(keys: np.ndarray, dl: np.ndarray, t: np.ndarray, tf: np.ndarray) -> None:
+            nonlocal have
+            names, row = np.unique(keys, return_inverse=True)
+            at = np.searchsorted(row, np.arange(len(names) + 1))
+            weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg_len))
+            for lo in range(0, len(names), step):
+                hi = min(len(names), lo + step)
+                some = slice(at[lo], at[hi])
+                m = np.zeros((hi - lo, len(table)))
+                m[row[some] - lo, t[some]] = weight[some]
+                s = (m @ table).T
+                have = better(have, np.where(s > 0, s, -np.inf), names[lo:hi], k)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field(0).type
+            now = (keys_of(batch.column(0)), *(batch.column(i).to_numpy() for i in (1, 2, 3)))
+            if rest is not None:
+                now = tuple(np.concatenate(p) for p in zip(rest, now, strict=True))
+            last = int(np.searchsorted(now[0], now[0][-1]))  # a chunk's postings may go on in the next batch
+            rest = tuple(x[last:] for x in now)
+            if last:
+                scored(*(x[:last] for x in now))
+        if rest is not None:
+            scored(*rest)
+            ok = np.isfinite(have[2])
+            yield pa.RecordBatch.from_arrays([pa.array(qids[have[0][ok]]), pa.array(have[1][ok].tolist(), kind), pa.array(have[2][ok])], ["qid", "key", "score"])
+
+    return scan
+
+
 def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int, accept: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
     """(qid, key, score, rank) straight from texts, without a stored index: postings of asked terms alone leave a task, and are written once."""
-    asked = small(written(query_terms(queries).select("term").distinct(), "asked"))
-    tokens = chunks.select(key, tokenize(F.col("text")).alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    every = chunks.sparkSession.createDataFrame([("",)], "term string")  # no token: a row for each chunk, for the statistics
+    asked = small(written(query_terms(queries).select("term").distinct().union(every), "asked"))
+    tokens = chunks.select(key, tokenize(F.col("text")).alias("tokens")).select(key, F.greatest(F.size("tokens"), F.lit(0)).alias("dl"), F.explode(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit("")))).alias("term"))
     found = written(tokens.join(asked, "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf")), "postings")
-    return top_k(bm25_scores(found, corpus_stats(chunks, key), queries, accept, key), k, key)
+    stats = found.where("term = ''").agg(F.sum("tf").alias("n"), F.coalesce(F.sum(F.col("dl") * F.col("tf")), F.lit(0)).alias("total_len"))
+    stats = stats.withColumn("avg_len", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(F.lit(0.0)))
+    return bm25_best(found.where("term <> ''"), stats.withColumn("n", F.coalesce("n", F.lit(0))), queries, k, accept, key)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import inverted, lexical, rank
+from ..operators import inverted, lexical
 from ..sources.scratch import small, written
 
 
@@ -68,7 +68,7 @@ class Index:
         stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
         stats = stats.withColumn("avg_len", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(0.0))
         found = written(old.unionByName(new.select(*old.columns)), "postings")
-        return rank.top_k(lexical.bm25_scores(found, stats, queries, accept), k)
+        return lexical.bm25_best(found, stats, queries, k, accept)
 
     def dense(self, chunks: DataFrame, queries: DataFrame, k: int, nprobe: int, accept: DataFrame | None = None) -> DataFrame:
         """(qid, chunk_id, score, rank) within the probed lists and all that no list has yet. A query that a filter starves of k
