@@ -129,9 +129,8 @@ def chunk_text(text: str | None, cfg: Chunking = Chunking(), fmt: str | None = "
     """A null or blank text has no chunks."""
     if not text or not text.strip():
         return []
-    strategy = cfg.strategy
-    if strategy == "auto":
-        strategy = "markdown" if fmt in ("markdown", "md") else "recursive"
+    by_format = "markdown" if fmt in {"md", "markdown"} else "recursive"
+    strategy = by_format if cfg.strategy == "auto" else cfg.strategy
     if strategy == "fixed":
         cfg = Chunking("fixed", cfg.target_tokens, cfg.target_tokens, cfg.overlap_tokens, cfg.tokenizer)
     units = []

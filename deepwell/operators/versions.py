@@ -54,7 +54,7 @@ def effective_seconds(value: str | None, pattern: str | None = None) -> float |
             t = datetime.strptime(text, pattern)
         else:
             try:
-                t = datetime.fromisoformat(text[:-1] + "+00:00" if text.endswith("Z") else text)
+                t = datetime.fromisoformat(text)
             except ValueError:
                 if not (m := _PARTIAL.fullmatch(text)):
                     return None
