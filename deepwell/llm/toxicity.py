@@ -29,7 +29,6 @@ are judged each; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,14 +143,23 @@ def lacking(bad: list[np.ndarray], learn: list[np.ndarray]) -> set:
     """Words, and pairs of words that follow each other, of toxic documents that ordinary ones lack; pairs without such a word."""
     out: set = set()
     for n, sure in ((1, SURE), (2, SURE_PHRASE)):
-        often, usual = Counter(), Counter()
-        for rows, count in ((bad, often), (learn, usual)):
-            for row in rows:
-                words = _WORD.findall(row.tobytes())
-                count.update(set(words if n == 1 else zip(words, words[1:])))
+
+        def terms(row: np.ndarray, n: int = n) -> set:
+            words = _WORD.findall(row.tobytes())
+            return set(words if n == 1 else zip(words, words[1:]))
+
+        # by 64-bit hashes, since pairs are many; only those of enough toxic documents are counted in the others
+        code, often = np.unique(np.concatenate([np.fromiter(map(hash, terms(row)), np.int64) for row in bad]), return_counts=True)
         least = max(3, 0.006 * len(bad))
+        code, often = code[often >= least], often[often >= least]
+        usual = np.zeros(len(code), np.int64)
+        for row in learn:
+            own = np.fromiter(map(hash, terms(row)), np.int64)
+            usual[np.isin(code, own, assume_unique=True)] += 1
         share = len(bad) / (len(bad) + len(learn))
-        new = {w for w, k in often.items() if k >= least and k / len(bad) >= LIFT * (usual[w] + 1) / len(learn) and 2 * k * np.log(k / (share * (k + usual[w]))) >= sure}
+        apart = (often / len(bad) >= LIFT * (usual + 1) / len(learn)) & (2 * often * np.log(often / (share * (often + usual))) >= sure)
+        hot = set(code[apart].tolist())
+        new = {w for row in bad for w in terms(row) if hash(w) in hot} if hot else set()
         out |= new if n == 1 else {p for p in new if out.isdisjoint(p)}
     return out
 
