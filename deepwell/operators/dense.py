@@ -7,7 +7,7 @@ shuffled is tasks x queries x k rows whatever the number of vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -217,3 +217,23 @@ def int8_top_k(vectors: DataFrame, queries: DataFrame, k: int, pool: int | None
     near = top_k(out.withColumnRenamed("key", key), wide, key).drop("score", "rank").join(queries.select("qid", "vector"), "qid")
     value = (cosine if metric == "cosine" else dot)(F.col("vector"), F.col("v"))
     return top_k(near.select("qid", key, value.alias("score")), k, key)
+
+
+def max_sim_top_k(hits: DataFrame, queries: DataFrame, encode: Callable[[list[str]], list[np.ndarray]], k: int, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(qid, key, score, rank): hits (qid, key, text) ordered anew by late interaction.
+
+    ``encode`` gives each text's token vectors (tokens x dimension); a score is the sum over the query's tokens of the largest
+    product with a token of the hit. A text without tokens scores 0. Texts are encoded once for each batch.
+    """
+    kind = key_type(hits, key)
+    rows = hits.select("qid", F.col(key).cast(kind).alias("key"), F.col(text).alias("_hit")).join(queries.select("qid", F.col("text").alias("_asked")), "qid").select(F.col("qid").cast("long").alias("qid"), "key", "_hit", "_asked")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, asked = ([t or "" for t in batch.column(i).to_pylist()] for i in (2, 3))
+            names = list(dict.fromkeys(found + asked))
+            of = dict(zip(names, encode(names), strict=True))
+            value = [float((of[q] @ of[d].T).max(1).sum()) if len(of[q]) and len(of[d]) else 0.0 for q, d in zip(asked, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value, pa.float64())], ["qid", "key", "score"])
+
+    return top_k(rows.mapInArrow(score, f"qid long, key {kind}, score double").withColumnRenamed("key", key), k, key)

@@ -21,7 +21,7 @@ from ..sources.scratch import written
 from ..sources.store import Store
 from . import indexes
 from .config import Config
-from .search import explained, search
+from .search import Searcher, explained, search
 
 _HIT = ("qid", "rank", "score", "chunk_id", "document_id", "document_version", "chunk_index", "text", "token_count", "title", "uri", "section_path", "page_number")
 
@@ -29,15 +29,15 @@ _HIT = ("qid", "rank", "score", "chunk_id", "document_id", "document_version", "
 class KnowledgeBase:
     """Over one store. Queries come in batches; a single question is a batch of one."""
 
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, embedder: Embedder | None = None, tenant: str | None = None):
-        self.spark, self.config, self.tenant_id = spark, config or Config(), tenant
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, embedder: Embedder | None = None, tenant: str | None = None, searcher: Searcher | None = None):
+        self.spark, self.config, self.tenant_id, self.searcher = spark, config or Config(), tenant, searcher
         self.embedder = embedder or resolve_embedding(self.config.embedding)
         self.store = Store(spark, path, self.embedder.dimension, self.config.metric)
         self.path = path
 
     def tenant(self, tenant_id: str) -> KnowledgeBase:
         """A view that writes and sees one tenant's documents only."""
-        return KnowledgeBase(self.spark, self.path, self.config, self.embedder, tenant_id)
+        return KnowledgeBase(self.spark, self.path, self.config, self.embedder, tenant_id, self.searcher)
 
     @property
     def processing(self) -> str:
@@ -168,7 +168,7 @@ class KnowledgeBase:
 
     def search(self, questions: DataFrame, k: int = 8, mode: str | None = None, spec: dict | None = None) -> DataFrame:
         rows = self._all_chunks()
-        return search(rows, self.queries(questions), k, self.config, mode, None, self.embedder.dimension, self.index(), self._allowed(rows, spec))
+        return search(rows, self.queries(questions), k, self.config, mode, None, self.embedder.dimension, self.index(), self._allowed(rows, spec), self.searcher)
 
     def explain(self, questions: DataFrame, k: int = 8, mode: str | None = None, spec: dict | None = None) -> DataFrame:
         """The hits with each signal's rank, score and part."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..operators import dense, filters, lexical, rank, sparse
 from .config import Config
 from .indexes import Index
 
+Searcher = Callable[[DataFrame, DataFrame, int], DataFrame]
 MODES = ("dense", "keyword", "sparse", "hybrid", "auto")
 
 
@@ -27,7 +30,7 @@ def resolve_mode(mode: str, columns: list[str]) -> str:
     raise InvalidInputError("a query needs a text, a vector or a sparse vector")
 
 
-def signals(chunks: DataFrame, queries: DataFrame, pool: int, config: Config = Config(), mode: str | None = None, spec: dict | str | None = None, dim: int | None = None, index: Index | None = None, allowed: DataFrame | None = None) -> dict[str, tuple[DataFrame, float]]:
+def signals(chunks: DataFrame, queries: DataFrame, pool: int, config: Config = Config(), mode: str | None = None, spec: dict | str | None = None, dim: int | None = None, index: Index | None = None, allowed: DataFrame | None = None, searcher: Searcher | None = None) -> dict[str, tuple[DataFrame, float]]:
     """By name (dense, keyword, sparse): (qid, chunk_id, score, rank) to ``pool``, and its weight."""
     mode = resolve_mode(mode or config.mode, queries.columns)
     kept = filters.filtered(chunks, spec) if allowed is None else allowed
@@ -37,7 +40,9 @@ def signals(chunks: DataFrame, queries: DataFrame, pool: int, config: Config = C
         q = queries.where("vector IS NOT NULL").select("qid", "vector")
         width = dim or (first[0] if (first := chunks.where("embedding IS NOT NULL").select(F.size("embedding")).first()) else 0)
         if width:
-            if config.index != "flat" and index is not None and index.centroids is not None and index.dim == width and index.metric == config.metric:
+            if searcher is not None:
+                hits = rank.top_k(searcher(kept, q, pool).select("qid", "chunk_id", "score"), pool)
+            elif config.index != "flat" and index is not None and index.centroids is not None and index.dim == width and index.metric == config.metric:
                 hits = index.dense(chunks, q, pool, config.nprobe, narrowed)
             elif config.quantization == "sq8":
                 hits = dense.int8_top_k(kept, q, pool, pool, metric=config.metric)
@@ -56,14 +61,15 @@ def signals(chunks: DataFrame, queries: DataFrame, pool: int, config: Config = C
     return out
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int, config: Config = Config(), mode: str | None = None, spec: dict | str | None = None, dim: int | None = None, index: Index | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, k: int, config: Config = Config(), mode: str | None = None, spec: dict | str | None = None, dim: int | None = None, index: Index | None = None, allowed: DataFrame | None = None, searcher: Searcher | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank). ``chunks``: chunk_id, text, embedding, sparse and metadata; ``queries``: qid and any of text, vector, sparse.
 
     The filter (``spec`` over the chunks' columns, or ``allowed``, the chunks that may be returned) applies to every signal
     before scores, statistics stay those of all chunks. A sparse query joins the fusion in every mode. With an ``index``,
-    postings come from it, and vectors from ``config.nprobe`` of its lists unless ``config.index`` is ``flat``.
+    postings come from it, and vectors from ``config.nprobe`` of its lists unless ``config.index`` is ``flat``. A ``searcher`` of the caller's takes the dense part:
+    (chunks that may be returned, queries (qid, vector), k) -> (qid, chunk_id, score).
     """
-    found = list(signals(chunks, queries, max(4 * k, 50), config, mode, spec, dim, index, allowed).values())
+    found = list(signals(chunks, queries, max(4 * k, 50), config, mode, spec, dim, index, allowed, searcher).values())
     if len(found) == 1:
         return found[0][0].where(F.col("rank") <= k)
     return rank.top_k(rank.fuse(found), k)

@@ -92,3 +92,43 @@ def test_modes_and_batch_equals_single(spark, vectors):
 def test_top_k_drops_nan(spark):
     s = spark.createDataFrame([(0, 1, float("nan")), (0, 2, 1.0), (0, 3, 1.0), (0, 4, 2.0)], "qid long, chunk_id long, score double")
     assert [r.chunk_id for r in rank.top_k(s, 2).orderBy("rank").collect()] == [4, 2]
+
+
+def test_a_searcher_and_a_token_encoder_of_the_callers(spark):
+    from deepwell.operators.dense import dense_top_k, max_sim_top_k
+    from deepwell.plans.search import search
+
+    chunks = spark.createDataFrame([("a", "red apple", [1.0, 0.0]), ("b", "green pear", [0.0, 1.0]), ("c", None, None)], "chunk_id string, text string, embedding array<float>")
+    queries = spark.createDataFrame([(1, "pear", [1.0, 0.2])], "qid long, text string, vector array<double>")
+    asked = []
+
+    def searcher(rows, q, k):
+        asked.append(k)
+        return dense_top_k(rows, q, k, 2)
+
+    assert [tuple(r) for r in search(chunks, queries, 2, mode="dense", searcher=searcher).select("qid", "chunk_id", "rank").orderBy("rank").collect()] == [(1, "a", 1), (1, "b", 2)] and asked == [50]
+
+    def encode(texts):
+        import numpy as np
+
+        return [np.array([[w == x for x in ("red", "apple", "green", "pear")] for w in t.split()], float).reshape(-1, 4) for t in texts]
+
+    hits = chunks.select("chunk_id", "text").crossJoin(queries.select("qid"))
+    assert [(r.chunk_id, r.score) for r in max_sim_top_k(hits, queries, encode, 2).orderBy("rank").collect()] == [("b", 1.0), ("a", 0.0)]
+
+
+def test_registered_list_searches_reach_their_recall(spark, tmp_path):
+    """Of ``ivf_topk`` and ``ivf_pq_topk`` as registered, against every vector."""
+    import numpy as np
+
+    from deepwell import queries as Q
+
+    r = np.random.default_rng(3)
+    label = r.integers(0, 10, 1500)
+    x = (r.normal(size=(10, 64))[label] * 0.4 + r.normal(size=(1500, 64))).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for name, k in (("ivf_topk", 5), ("ivf_pq_topk", 10)):
+        got = {(row.qid, row.chunk_id) for row in Q.QUERIES[name](spark, str(tmp_path)).collect()}
+        want = {(i, int(j)) for i in range(0, 1500, 50) for j in np.argsort(-(u[i] @ u.T), kind="stable")[:k]}
+        assert len(got & want) >= 0.9 * len(want), name
