@@ -7,6 +7,7 @@ short and long texts costs a fixed number of vector operations. Null texts arriv
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +69,21 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    if len(data) >= SLICE_BYTES:
+        release()
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # of glibc
+except (AttributeError, OSError):
+    _trim = None
+
+
+def release() -> None:
+    """Gives free memory back to the system: a worker lives on between jobs, and allocators keep what the largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
