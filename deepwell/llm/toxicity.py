@@ -10,7 +10,7 @@ most ``SAMPLE_BYTES`` of text, drops near copies among them, and holds ``HELD_OU
 trained on windows of ordinary text. The other is trained on the stretches of toxic text that ordinary text lacks: words, and
 phrases of two words, whose document frequency is ``LIFT`` times the ordinary one, with a log-likelihood ratio of ``SURE``
 (``SURE_PHRASE``) at least. That is a departure from dictionaries of whole toxic texts: a toxic document is ordinary words but
-for a few, whole texts give a dictionary of ordinary words, and on the same held-out documents that caught 0.43 to 0.75 where
+for a few, whole texts give a dictionary of ordinary words, and on the same held-out documents that caught 0.75 at most where
 this catches 0.98 (see the README). Both compressors start from the ordinary dictionary; the toxic one has the toxic
 dictionary after it and the ordinary one as many filler bytes, so lengths differ only by what toxic text explains.
 
