@@ -33,10 +33,11 @@ def tokenize(text: Column, lowercase: bool = True) -> Column:
 
     mixed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), parts))
     spaced = F.transform(F.regexp_extract_all(text, F.lit(_SPACED_RUN), F.lit(0)), fold)
-    if lowercase:  # without the letters whose lower case depends on neighbours or is two characters, all in compiled code
-        plain = F.array_remove(F.split(F.lower(text), _GAP), "")
-        spaced = F.when(text.rlike("[Σİ]"), spaced).otherwise(plain)
-    return F.when(text.rlike(f"[{UNSPACED}]"), mixed).otherwise(spaced)
+    careful = F.when(text.rlike(f"[{UNSPACED}]"), mixed).otherwise(spaced)
+    if not lowercase:
+        return careful
+    # without the letters whose lower case depends on neighbours or is two characters, all in compiled code
+    return F.when(text.rlike(f"[{UNSPACED}Σİ]"), careful).otherwise(F.array_remove(F.split(F.lower(text), _GAP), ""))
 
 
 def count_words(text: Column) -> Column:

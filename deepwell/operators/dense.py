@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from .rank import top_k
 METRICS = ("cosine", "dot", "l2")
 BLOCK_BYTES = 16 << 20
 TILE = 1 << 22
+ROWS = 4096
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -40,59 +42,134 @@ def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return s if metric != "l2" else 2 * s - (q * q).sum(1)[:, None] - (x * x).sum(1)[None, :]
 
 
-def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Query numbers and columns of each row's k best by (score to 9 digits, id)."""
-    at, of = [], []
-    digits = np.round(s, 9)
-    for i, line in enumerate(digits):
-        some = np.arange(len(line))
-        if len(line) > k:
-            cut = np.partition(line, -k)[-k]
-            some = np.flatnonzero(line >= cut)
-        some = some[np.lexsort((ids[some], -line[some]))][:k]
-        at.append(np.full(len(some), i))
-        of.append(some)
-    return np.concatenate(at), np.concatenate(of)
-
-
-Best = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # query numbers, keys, scores, rows
-
-
 def keys_of(column: pa.Array) -> np.ndarray:
     """Integers, or strings of a fixed width: both sort as Spark sorts them."""
     return column.to_numpy() if pa.types.is_integer(column.type) else np.array(column.to_pylist(), str)
 
 
-def no_best(width: int = 0) -> Best:
-    return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, width), np.float32)
+def keys_from(keys: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array(keys).cast(kind) if keys.dtype.kind in "iu" else pa.array(keys.tolist(), kind)
 
 
-def better(have: Best, s: np.ndarray, ids: np.ndarray, k: int, rows: np.ndarray | None = None) -> Best:
-    """The k best of each query among ``have`` and the scores (queries, keys)."""
-    at, of = _best(s, ids, k)
-    new = (at, ids[of], s[at, of], rows[of] if rows is not None else np.zeros((len(of), have[3].shape[1]), np.float32))
-    at, ids, value, rows = new if not len(have[0]) else (np.concatenate(p) for p in zip(have, new, strict=True))
-    order = np.lexsort((ids, -np.round(value, 9), at))
-    at = at[order]
-    keep = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
-    at = at[np.arange(len(at)) - np.searchsorted(at, at) < k]
-    return at, ids[keep], value[keep], rows[keep]
+class Top:
+    """The k best keys of each of n queries, by (score to 9 digits, key), with ``more`` other numbers for each.
+
+    Tiles of scores are compared with each query's k-th best so far; what passes waits until as much waits as is kept.
+    """
+
+    def __init__(self, n: int, k: int, more: int = 0):
+        self.n, self.k = n, k
+        self.bound = np.full(n, -np.inf)
+        self.kept: tuple = ()
+        self.waiting: list[tuple] = []
+        self.size = 0
+        self.none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, more)))
+
+    def add(self, s: np.ndarray, keys: np.ndarray, lo: int = 0, slack: np.ndarray | float = 0.0, exact: Callable | None = None) -> None:
+        """``s``: (queries from ``lo`` on, keys); -inf and NaN are no scores. ``exact``: (queries, columns) -> their scores, -inf for none,
+        and the other numbers, if there are any; ``s`` may then be off by ``slack`` for each query."""
+        if not s.size:
+            return
+        slack = np.broadcast_to(np.asarray(slack, float), len(s))
+        cut = self.bound[lo : lo + len(s)].copy()
+        if s.shape[1] > self.k and (open_ := np.flatnonzero(cut == -np.inf)).size:
+            # with few scores a row's k-th is -inf, and all of them pass; NaN would sort as the best
+            some = s[open_] if len(open_) < len(s) else s
+            cut[open_] = np.partition(np.where(np.isnan(some), -np.inf, some), -self.k, axis=1)[:, -self.k] - slack[open_]
+        cut = np.maximum(cut - slack - 1e-9, -np.finfo(s.dtype).max)
+        least = cut.astype(s.dtype)
+        above = least > cut
+        least[above] = np.nextafter(least[above], s.dtype.type(-np.inf))
+        passed = np.flatnonzero(s >= least[:, None])
+        for i in range(0, len(passed), 1 << 16):
+            at, of = np.divmod(passed[i : i + (1 << 16)], s.shape[1])
+            value, rest = (s[at, of].astype(float), self.none[3][:0]) if exact is None else exact(at + lo, of)
+            ok = value > -np.inf
+            if not ok.all():
+                at, of, value, rest = at[ok], of[ok], value[ok], rest[ok] if len(rest) else rest
+            if len(at):
+                self.waiting.append((at + lo, keys[of], value, rest if len(rest) else np.zeros((len(at), self.none[3].shape[1]))))
+                self.size += len(at)
+            if self.size > max(self.n * self.k, 1 << 16):
+                self._merge()
+
+    def _merge(self) -> None:
+        if not self.waiting:
+            return
+        at, keys, value, rest = (np.concatenate(p) for p in zip(*([self.kept] if self.kept else []), *self.waiting, strict=True))
+        digits = np.round(value, 9)
+        order = np.lexsort((keys, -digits, at))
+        own = at[order]
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        order = order[place < self.k]
+        last = own[place == self.k - 1]
+        self.kept = (at[order], keys[order], value[order], rest[order])
+        self.waiting, self.size = [], 0
+        self.bound[last] = digits[order][place[place < self.k] == self.k - 1]
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, keys, scores and the other numbers."""
+        self._merge()
+        return self.kept or self.none
+
+
+class Rough:
+    """Products in single precision, where they can't overflow, with a bound of their error; exact scores of pairs are in double."""
+
+    def __init__(self, q: np.ndarray, metric: str, present: np.ndarray | None = None):
+        """``present``: (queries, dimensions), 1 where a query has one; a row that shares none with it then has no score."""
+        self.q, self.metric, self.present = q, metric, present
+        self.wide = np.concatenate([2 * q, np.full((len(q), 1), -1.0)], 1) if metric == "l2" else q
+        self.norm = np.linalg.norm(self.wide, axis=1)
+        self.single = self.wide.astype(np.float32) if len(q) and self.norm.max() < 1e15 else None
+        self.constant = (q * q).sum(1) if metric == "l2" else None
+
+    def add_to(self, top: Top, x: np.ndarray, keys: np.ndarray, present: np.ndarray | None = None) -> None:
+        """All rows of ``x``, of unit length for cosine. ``present``: which dimensions each has."""
+        wide = np.concatenate([x, (x * x).sum(1)[:, None]], 1) if self.metric == "l2" else x
+        far = np.nan_to_num(np.linalg.norm(wide, axis=1), nan=0, posinf=np.inf).max(initial=0)  # of the rows that have a score
+        q, x_ = (self.single, wide.astype(np.float32)) if self.single is not None and far < 1e15 else (self.wide, wide)
+        unit_ = 2.0**-23 if q.dtype == np.float32 else 2.0**-52
+        step = max(1, min(4096, TILE // max(1, len(x))))
+        for lo in range(0, len(q), step):
+            some = slice(lo, lo + step)
+            s = q[some] @ x_.T
+            if self.constant is not None:
+                s -= self.constant[some, None].astype(s.dtype)
+            slack = (wide.shape[1] + 8) * unit_ * (self.norm[some] * far + (0 if self.constant is None else self.constant[some]))
+            if present is not None and self.present is not None and (top.bound[some] <= slack + 2e-9).any():  # else no 0 passes
+                s[self.present[some] @ present.T == 0] = -np.inf
+            top.add(s, keys, lo, slack, lambda at, of: (self.pairs(at, x, of), np.zeros((0, 0))))
+
+    def exact(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        q = self.q[at]
+        s = np.einsum("ij,ij->i", q, x)
+        return s if self.metric != "l2" else 2 * s - np.einsum("ij,ij->i", q, q) - np.einsum("ij,ij->i", x, x)
+
+    def pairs(self, at: np.ndarray, x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        few = max(1, TILE // max(1, x.shape[1]))
+        return np.concatenate([self.exact(at[i : i + few], x[of[i : i + few]]) for i in range(0, len(at), few)])
+
+
+def best_rows(top: Top, qids: np.ndarray, kind: pa.DataType | None) -> Iterator[pa.RecordBatch]:
+    at, keys, value, _ = top.best()
+    for lo in range(0, len(at), 1 << 16):
+        some = slice(lo, lo + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(qids[at[some]]), keys_from(keys[some], kind), pa.array(value[some])], ["qid", "key", "score"])
 
 
 def _scan(shared, k: int, dim: int, metric: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, raw = shared.value
-        q = np.frombuffer(raw, np.float64).reshape(-1, dim)
-        have, kind = no_best(), None
+        q = Rough(np.frombuffer(raw, np.float64).reshape(-1, dim), metric)
+        top, kind = Top(len(qids), k), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            step = max(1, TILE // max(1, len(q)))
-            for lo in range(0, batch.num_rows, step):
-                rows = batch.slice(lo, step)
+            for lo in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(lo, ROWS)
                 x = matrix(rows.column(1), dim)
-                have = better(have, scores(q, unit(x) if metric == "cosine" else x, metric), keys_of(rows.column(0)), k)
-        if len(have[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(qids[have[0]]), pa.array(have[1].tolist(), kind), pa.array(have[2])], ["qid", "key", "score"])
+                q.add_to(top, unit(x) if metric == "cosine" else x, keys_of(rows.column(0)))
+        yield from best_rows(top, qids, kind)
 
     return scan
 
@@ -105,28 +182,31 @@ def codes_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan_codes(shared, k: int, dim: int, metric: str, stored: bool):
-    """As ``_scan``, by the products of codes; a hit brings its vector along."""
+    """As ``_scan``, by the products of codes; a hit brings its exact score along."""
     kind = np.float32 if dim <= 1024 else np.float64  # exact: 127 * 127 * dim < 2^24
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, raw = shared.value
-        q, q_scale = codes_of(np.frombuffer(raw, np.float64).reshape(-1, dim))
+        full = Rough(np.frombuffer(raw, np.float64).reshape(-1, dim), metric)
+        q, q_scale = codes_of(full.q)
         q = q.astype(kind)
-        have, key_type = no_best(dim), None
+        top, key_type = Top(len(qids), k, 1), None
         for batch in batches:
             key_type = batch.schema.field(0).type
-            step = max(1, TILE // max(1, len(q)))
-            for lo in range(0, batch.num_rows, step):
-                rows = batch.slice(lo, step)
+            for lo in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(lo, ROWS)
                 v = matrix(rows.column(1), dim)
-                if stored:
-                    code, scale = matrix(rows.column(2), dim), rows.column(3).to_numpy()
-                else:
-                    code, scale = codes_of(unit(v) if metric == "cosine" else v)
-                value = (q @ code.astype(kind).T).astype(np.float64) * q_scale[:, None] * scale[None, :]
-                have = better(have, value, keys_of(rows.column(0)), k, v.astype(np.float32))
-        if len(have[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(qids[have[0]]), pa.array(have[1].tolist(), key_type), pa.array(have[2]), pa.array(list(have[3]), pa.list_(pa.float32()))], ["qid", "key", "score", "v"])
+                v = unit(v) if metric == "cosine" else v
+                code, scale = (matrix(rows.column(2), dim), rows.column(3).to_numpy()) if stored else codes_of(v)
+                keys, code = keys_of(rows.column(0)), code.astype(kind)
+                step = max(1, min(4096, TILE // len(keys)))
+                for at in range(0, len(q), step):
+                    some = slice(at, at + step)
+                    s = (q[some] @ code.T).astype(np.float64) * q_scale[some, None] * scale[None, :]
+                    top.add(s, keys, at, 0.0, lambda i, j, s=s, at=at, v=v, full=full: (s[i - at, j], full.pairs(i, v, j)[:, None]))
+        at, keys, value, rest = top.best()
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(qids[at]), keys_from(keys, key_type), pa.array(value), pa.array(rest[:, 0])], ["qid", "key", "score", "exact"])
 
     return scan
 
@@ -136,21 +216,53 @@ def check_metric(metric: str) -> None:
         raise InvalidInputError(f"metric {metric!r}; expected one of {', '.join(METRICS)}")
 
 
+def _packed(dim: int):
+    """Queries (qid, vector) -> (qids, vectors) as bytes of int64 and float64, at most BLOCK_BYTES a row; ``wrong``: a query that isn't finite of ``dim``."""
+    per = max(1, BLOCK_BYTES // (8 * dim))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in (batch.slice(i, per) for i in range(0, batch.num_rows, per)):
+                qids, lists = rows.column(0), rows.column(1)
+                good = pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False).to_numpy(zero_copy_only=False)
+                if good.all():
+                    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # nulls become NaN
+                    good = np.isfinite(x).all(1)
+                if not good.all():
+                    yield pa.RecordBatch.from_arrays([pa.array([b""]), pa.array([b""]), pa.array([str(qids[int(np.argmin(good))].as_py())])], ["qids", "vectors", "wrong"])
+                    return
+                yield pa.RecordBatch.from_arrays([pa.array([qids.to_numpy().astype(np.int64).tobytes()]), pa.array([x.tobytes()]), pa.array([None], pa.string())], ["qids", "vectors", "wrong"])
+
+    return pack
+
+
 def query_blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(qids, matrix) of the queries, in blocks of at most BLOCK_BYTES each; qids are integers."""
     per = max(1, BLOCK_BYTES // (8 * dim))
-    qids: list = []
-    rows: list = []
-    for row in queries.select("qid", "vector").toLocalIterator(prefetchPartitions=True):
-        if row["vector"] is None or len(row["vector"]) != dim or not np.isfinite(row["vector"]).all():
-            raise DimensionMismatchError(f"query {row['qid']}: a finite vector of {dim} is needed")
-        qids.append(row["qid"])
-        rows.append(row["vector"])
-        if len(qids) == per:
-            yield np.array(qids, np.int64), np.array(rows, np.float64)
-            qids, rows = [], []
-    if qids:
-        yield np.array(qids, np.int64), np.array(rows, np.float64)
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector"))
+    qids, x = np.zeros(0, np.int64), np.zeros((0, dim))
+    for row in asked.mapInArrow(_packed(dim), "qids binary, vectors binary, wrong string").toLocalIterator(prefetchPartitions=True):
+        if row["wrong"] is not None:
+            raise DimensionMismatchError(f"query {row['wrong']}: a finite vector of {dim} is needed")
+        qids = np.concatenate([qids, np.frombuffer(row["qids"], np.int64)])
+        x = np.concatenate([x, np.frombuffer(row["vectors"], np.float64).reshape(-1, dim)])
+        while len(qids) >= per:
+            yield qids[:per], x[:per]
+            qids, x = qids[per:], x[per:]
+    if len(qids):
+        yield qids, x
+
+
+def _shared_blocks(rows: DataFrame, queries: DataFrame, dim: int, metric: str) -> tuple[DataFrame, list]:
+    """The queries' blocks as broadcasts, and ``rows`` in so few partitions as keep all cores busy with that many blocks: each
+    partition returns k rows for each query."""
+    context = rows.sparkSession.sparkContext
+    blocks = [context.broadcast((qids, (unit(q) if metric == "cosine" else q).tobytes())) for qids, q in query_blocks(queries, dim)]
+    return gathered(rows, len(blocks)), blocks
+
+
+def gathered(rows: DataFrame, blocks: int) -> DataFrame:
+    return rows.coalesce(max(1, -(-4 * rows.sparkSession.sparkContext.defaultParallelism // max(1, blocks))))
 
 
 def key_type(df: DataFrame, key: str) -> str:
@@ -169,10 +281,8 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int, metric
     spark = vectors.sparkSession
     rows, kind = usable(vectors, dim, key, embedding), key_type(vectors, key)
     out = None
-    for qids, q in query_blocks(queries, dim):
-        if metric == "cosine":
-            q = unit(q)
-        shared = spark.sparkContext.broadcast((qids, q.tobytes()))
+    rows, blocks = _shared_blocks(rows, queries, dim, metric)
+    for shared in blocks:
         hits = rows.mapInArrow(_scan(shared, k, dim, metric), f"qid long, key {kind}, score double")
         out = hits if out is None else out.unionByName(hits)
     if out is None:
@@ -195,8 +305,6 @@ def int8_top_k(vectors: DataFrame, queries: DataFrame, k: int, pool: int | None
 
     ``vectors`` may carry stored columns ``codes`` and ``scale``; otherwise they are computed.
     """
-    from ..functions.vectors import cosine, dot
-
     check_metric(metric)
     if metric == "l2":
         raise InvalidInputError("int8 codes don't order l2 distances")
@@ -206,17 +314,16 @@ def int8_top_k(vectors: DataFrame, queries: DataFrame, k: int, pool: int | None
     dim = first[0] if first else 1
     stored = "codes" in vectors.columns
     rows, kind = usable(vectors, dim, key, embedding, *(["codes", "scale"] if stored else [])), key_type(vectors, key)
-    schema = f"qid long, key {kind}, score double, v array<float>"
+    schema = f"qid long, key {kind}, score double, exact double"
     out = None
-    for qids, q in query_blocks(queries, dim):
-        shared = vectors.sparkSession.sparkContext.broadcast((qids, (unit(q) if metric == "cosine" else q).tobytes()))
+    rows, blocks = _shared_blocks(rows, queries, dim, metric)
+    for shared in blocks:
         hits = rows.mapInArrow(_scan_codes(shared, wide, dim, metric, stored), schema)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = vectors.sparkSession.createDataFrame([], schema)
-    near = top_k(out.withColumnRenamed("key", key), wide, key).drop("score", "rank").join(queries.select("qid", "vector"), "qid")
-    value = (cosine if metric == "cosine" else dot)(F.col("vector"), F.col("v"))
-    return top_k(near.select("qid", key, value.alias("score")), k, key)
+    near = top_k(out.withColumnRenamed("key", key), wide, key)
+    return top_k(near.select("qid", key, F.col("exact").alias("score")), k, key)
 
 
 def max_sim_top_k(hits: DataFrame, queries: DataFrame, encode: Callable[[list[str]], list[np.ndarray]], k: int, key: str = "chunk_id", text: str = "text") -> DataFrame:

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dense import better, key_type, keys_of, matrix, no_best, scores, unit, usable
+from .dense import ROWS, Rough, Top, key_type, keys_from, keys_of, matrix, unit, usable
 from .rank import top_k
 
 SAMPLE = 20_000
@@ -94,14 +94,19 @@ def probes(queries: DataFrame, centroids: np.ndarray, nprobe: int, metric: str =
 def _in_lists(k: int, dim: int, metric: str, value=None):
     """Rows (list_id, part, kind, qid, q, key, v, ..) in order of list and part, queries first -> k best per query and part.
 
-    ``value``: (queries, batch) -> scores, by default those of the vectors.
+    ``value``: (queries, batch) -> scores, by default those of the vectors; ``exact``: those of the vectors.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, asked, qids, q, have, kind = None, [], [], None, no_best(dim), None
+        at, asked, qids, q, top, kind = None, [], [], None, None, None
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([qids[i] for i in have[0]], pa.int64()), pa.array(have[1].tolist(), kind), pa.array(have[2]), pa.array(list(have[3]), pa.list_(pa.float32()))], ["qid", "key", "score", "v"])
+        def done() -> Iterator[pa.RecordBatch]:
+            if top is None:
+                return
+            ids, (of, keys, score, exact) = np.array(qids, np.int64), top.best()
+            for lo in range(0, len(of), 1 << 16):
+                some = slice(lo, lo + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of[some]]), keys_from(keys[some], kind), pa.array(score[some]), pa.array(exact[some, 0] if value else score[some])], ["qid", "key", "score", "exact"])
 
         for batch in batches:
             kind = batch.schema.field(5).type
@@ -110,9 +115,8 @@ def _in_lists(k: int, dim: int, metric: str, value=None):
             for lo, hi in zip(edges, [*edges[1:], batch.num_rows], strict=True):
                 now = tuple(spot[:2, lo].tolist())
                 if now != at:
-                    if len(have[0]):
-                        yield done()
-                    at, asked, qids, q, have = now, [], [], None, no_best(dim)
+                    yield from done()
+                    at, asked, qids, q, top = now, [], [], None, None
                 rows = batch.slice(lo, hi - lo)
                 if spot[2, lo] == 0:
                     qids += rows.column(3).to_pylist()
@@ -121,15 +125,20 @@ def _in_lists(k: int, dim: int, metric: str, value=None):
                 if not qids:
                     continue
                 if q is None:
-                    q, asked = np.frombuffer(b"".join(asked), np.float64).reshape(-1, dim), []
-                step = max(1, (1 << 22) // len(q))
-                for i in range(0, rows.num_rows, step):
-                    some = rows.slice(i, step)
-                    x = matrix(some.column(6), dim)
-                    s = value(q, some) if value else scores(q, unit(x) if metric == "cosine" else x, metric)
-                    have = better(have, s, keys_of(some.column(5)), k, x.astype(np.float32))
-        if len(have[0]):
-            yield done()
+                    q, asked = Rough(np.frombuffer(b"".join(asked), np.float64).reshape(-1, dim), metric), []
+                    top = Top(len(qids), k, 1 if value else 0)
+                for i in range(0, rows.num_rows, ROWS):
+                    some = rows.slice(i, ROWS)
+                    x, keys = matrix(some.column(6), dim), keys_of(some.column(5))
+                    x = unit(x) if metric == "cosine" else x
+                    if value is None:
+                        q.add_to(top, x, keys)
+                        continue
+                    step = max(1, (1 << 22) // len(keys))
+                    for first in range(0, len(qids), step):
+                        s = value(q.q[first : first + step], some)
+                        top.add(s, keys, first, 0.0, lambda i, j, s=s, first=first, x=x: (s[i - first, j], q.pairs(i, x, j)[:, None]))
+        yield from done()
 
     return scan
 
@@ -156,7 +165,7 @@ def list_top_k(assigned: DataFrame, queries: DataFrame, centroids: np.ndarray, k
         members = members.unionByName(usable(fresh, dim, key, embedding).withColumn("list_id", F.lit(-1)))
     per_list = queries.count() * (1 if fresh is not None else min(1.0, nprobe / len(centroids)))
     met = _met(members, probes(queries, centroids, nprobe, metric, -1 if fresh is not None else None), int(per_list), dim)
-    hits = met.mapInArrow(_in_lists(k, dim, metric), f"qid long, key {key_type(assigned, key)}, score double, v array<float>").drop("v")
+    hits = met.mapInArrow(_in_lists(k, dim, metric), f"qid long, key {key_type(assigned, key)}, score double, exact double").drop("exact")
     return top_k(hits.withColumnRenamed("key", key), k, key)
 
 
@@ -225,13 +234,6 @@ def code_top_k(encoded: DataFrame, queries: DataFrame, centroids: np.ndarray, bo
 
     members = usable(encoded, dim, key, embedding, "list_id", "codes").select(F.col("list_id").cast("int").alias("list_id"), "key", "v", "codes")
     met = _met(members, probes(queries, centroids, nprobe, metric), int(queries.count() * min(1.0, nprobe / len(centroids))), dim)
-    rough = met.mapInArrow(_in_lists(wide, dim, metric, by_table), f"qid long, key {key_type(encoded, key)}, score double, v array<float>")
-    near = top_k(rough.withColumnRenamed("key", key), wide, key).drop("score", "rank").join(queries.select("qid", "vector"), "qid")
-    return top_k(near.select("qid", key, exact(metric).alias("score")), k, key)
-
-
-def exact(metric: str) -> Column:
-    from ..functions.vectors import cosine, dot, l2_squared
-
-    a, b = F.col("vector"), F.col("v")
-    return {"cosine": lambda: cosine(a, b), "dot": lambda: dot(a, b), "l2": lambda: -l2_squared(a, b)}[metric]()
+    rough = met.mapInArrow(_in_lists(wide, dim, metric, by_table), f"qid long, key {key_type(encoded, key)}, score double, exact double")
+    near = top_k(rough.withColumnRenamed("key", key), wide, key)
+    return top_k(near.select("qid", key, F.col("exact").alias("score")), k, key)
