@@ -3,6 +3,7 @@
 import numpy as np
 
 from deepwell.operators import dense, evaluation, lexical, sparse
+from deepwell.sources import files
 
 
 def plan(df):
@@ -87,3 +88,14 @@ def test_queries_do_not_pass_the_driver_a_row_each_and_tiles_change_nothing(spar
     for metric, s in (("cosine", u @ u.T), ("l2", -((x[:, None] - x[None]) ** 2).sum(2))):
         got = {(row.qid, row.chunk_id) for row in dense.dense_top_k(df, asked, 6, 4, metric).collect()}
         assert got == {(i, int(j)) for i in range(500) for j in np.lexsort((np.arange(500), -np.round(s[i], 9)))[:6]}
+
+
+def test_a_table_in_parts_is_one_file(spark, tmp_path):
+    spark.range(9).repartition(3).write.parquet(f"{tmp_path}/in/a.parquet")
+    spark.range(9).repartition(2).write.parquet(f"{tmp_path}/in/labels.parquet")
+    (tmp_path / "in/b.parquet").write_bytes(b"12")
+    got = files.discover(spark, f"{tmp_path}/in", ("*.parquet",), ("*labels.parquet",), content=False).collect()
+    assert sorted(row.relative for row in got) == ["a.parquet", "b.parquet"]
+    size = {row.relative: row.length for row in got}
+    assert size["b.parquet"] == 2 and size["a.parquet"] == sum(p.stat().st_size for p in (tmp_path / "in/a.parquet").glob("part*"))
+    assert {row.path.rsplit("/in/", 1)[1] for row in got} == {"a.parquet", "b.parquet"}
