@@ -21,6 +21,7 @@ from .chunking import estimate
 
 _U = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯฀-໿က-႟ក-៿"
 _RUN = re.compile(f"[{_U}]+|(?:(?![{_U}])[^\\W_])+")
+_UNSPACED, _SPACED_RUN = re.compile(f"[{_U}]"), re.compile(r"[^\W_]+")
 _FIELDS = {"chunk_id": "string", "document_id": "string", "document_version": "bigint", "chunk_index": "int", "text": "string", "score": "double", "token_count": "int", "title": "string", "section_path": "array<string>", "page_number": "int", "uri": "string"}
 _CHUNK = "struct<chunk_id:string,document_id:string,document_version:bigint,chunk_index:int,text:string,score:double,token_count:int,expanded:boolean,reason:string>"
 _CITATION = "struct<index:int,document_id:string,document_version:bigint,chunk_ids:array<string>,title:string,uri:string,section:string,page_number:int,score:double,text:string>"
@@ -29,15 +30,22 @@ SCHEMA = f"context string, token_count int, truncated boolean, chunks array<{_CH
 
 def terms(text: str) -> list[str]:
     """The Python twin of ``functions.text.tokenize``."""
+    if not _UNSPACED.search(text):
+        return [_folded(run) for run in _SPACED_RUN.findall(text)]
     out = []
     for run in _RUN.findall(text):
         if re.match(f"[{_U}]", run):
             out += [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
         else:
-            out.append("".join(c.lower() for c in run))
+            out.append(_folded(run))
     return out
 
 
+def _folded(run: str) -> str:
+    """Per character: a final capital sigma becomes another letter within a word."""
+    return "".join(c.lower() for c in run) if "Σ" in run else run.lower()
+
+
 def overlap(a: set[str], b: set[str]) -> float:
     return len(a & b) / min(len(a), len(b)) if a and b else 0.0
 
