@@ -19,6 +19,7 @@ _GAP = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(rf"(?<=[.!?…])\s+|(?<=[{CASELESS_ENDS}])\s*|(?<=[؟۔])\s+")
 _HEADING = re.compile(r"(#{1,6})\s+(.*)")
 STRATEGIES = ("auto", "markdown", "recursive", "paragraph", "sentence", "fixed")
+ROWS = 64
 SCHEMA = "chunk_index int, text string, char_start int, char_end int, token_count int, section_path array<string>"
 
 
@@ -148,7 +149,7 @@ def chunk_documents(docs: DataFrame, cfg: Chunking = Chunking(), key: str = "doc
     rows = docs.select(key, F.col(text).cast("string").alias("_text"), (F.col(fmt) if fmt else F.lit("text")).alias("_format"))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):  # pieces are several times their text
             at, pieces = [], []
             for i, (t, f) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 for n, p in enumerate(chunk_text(t, cfg, f)):
