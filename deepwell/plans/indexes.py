@@ -20,21 +20,20 @@ from ..sources.scratch import small, written
 
 def _stamped(chunks: DataFrame) -> DataFrame:
     """With a digest of what is indexed."""
-    vector = F.to_json(F.struct("embedding")) if "embedding" in chunks.columns else F.lit("")
-    return chunks.withColumn("_stamp", F.xxhash64("text", vector))
+    return chunks.withColumn("_stamp", F.xxhash64("text", *(["embedding"] if "embedding" in chunks.columns else [F.lit("")])))
 
 
 def build(chunks: DataFrame, folder: str, dim: int | None, metric: str = "cosine") -> Index:
     """``chunks``: chunk_id, text, and embedding if there is one."""
     spark = chunks.sparkSession
     rows = written(_stamped(chunks).select("chunk_id", "text", "_stamp", *(["embedding"] if dim else [])), "indexed")
-    stamps = rows.select("chunk_id", "_stamp")
-    lexical.lengths(rows).join(stamps, "chunk_id").write.parquet(f"{folder}/lengths")
-    lexical.postings(rows).join(stamps, "chunk_id").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
+    every = written(lexical.counted(rows, ("chunk_id", "_stamp")), "terms")  # ranges are drawn from a sample, which would make them twice
+    every.where("term IS NULL").select("chunk_id", "dl", "_stamp").write.parquet(f"{folder}/lengths")
+    every.where("term IS NOT NULL").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/postings")
     settings = {"dim": dim, "metric": metric, "centroids": None}
     if dim and (n := rows.where(F.size("embedding") == dim).count()):
         centroids = inverted.train_lists(rows, dim, n, metric=metric)
-        inverted.assign(rows.select("chunk_id", "embedding", "_stamp"), centroids, metric=metric).write.partitionBy("list_id").parquet(f"{folder}/lists")
+        inverted.assign(rows.select("chunk_id", "embedding", "_stamp"), centroids, metric=metric).repartition("list_id").write.partitionBy("list_id").parquet(f"{folder}/lists")
         settings["centroids"] = centroids.tolist()
     spark.createDataFrame([(json.dumps(settings),)], "settings string").coalesce(1).write.parquet(f"{folder}/settings")
     return Index(spark, folder)
@@ -43,6 +42,7 @@ def build(chunks: DataFrame, folder: str, dim: int | None, metric: str = "cosine
 class Index:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._asked: tuple[DataFrame, DataFrame, DataFrame] | None = None
         settings = json.loads(spark.read.parquet(f"{folder}/settings").first()[0])
         self.dim, self.metric = settings["dim"], settings["metric"]
         self.centroids = np.array(settings["centroids"], float) if settings["centroids"] else None
@@ -51,11 +51,19 @@ class Index:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def _parts(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(chunk_id, _stamp) of the chunks that the index has as they are, and the chunks that it lacks."""
-        now = written(_stamped(chunks), "now")
-        have = self._read("lengths").select("chunk_id", "_stamp")
-        kept = now.select("chunk_id", "_stamp").join(have, ["chunk_id", "_stamp"], "left_semi")
-        return small(written(kept, "kept")), now.join(have, ["chunk_id", "_stamp"], "left_anti")
+        """(chunk_id, _stamp) of the chunks that the index has as they are, and the chunks that it lacks. Both signals of a search ask once."""
+        if self._asked is None or self._asked[0] is not chunks:
+            now = _stamped(chunks)
+            marks = written(now.select("chunk_id", "_stamp"), "now")
+            have = self._read("lengths").select("chunk_id", "_stamp")
+            kept = small(written(marks.join(have, ["chunk_id", "_stamp"], "left_semi"), "kept"))
+            new = written(marks.join(have, ["chunk_id", "_stamp"], "left_anti").select("chunk_id"), "new")
+            if new.head(1):
+                fresh = written(now.join(have, ["chunk_id", "_stamp"], "left_anti"), "fresh")
+            else:
+                fresh = self.spark.createDataFrame([], now.schema)
+            self._asked = (chunks, kept, fresh)
+        return self._asked[1:]
 
     def bm25(self, chunks: DataFrame, queries: DataFrame, k: int, accept: DataFrame | None = None) -> DataFrame:
         """(qid, chunk_id, score, rank): that of ``lexical.bm25_top_k`` over the current chunks."""
@@ -67,8 +75,7 @@ class Index:
         lengths = self._read("lengths").join(kept, same, "left_semi").select("dl").union(lexical.lengths(fresh).select("dl"))
         stats = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"))
         stats = stats.withColumn("avg_len", F.when(F.col("n") > 0, F.col("total_len") / F.col("n")).otherwise(0.0))
-        found = written(old.unionByName(new.select(*old.columns)), "postings")
-        return lexical.bm25_best(found, stats, queries, k, accept)
+        return lexical.bm25_best(old.unionByName(new.select(*old.columns)), stats, queries, k, accept)
 
     def dense(self, chunks: DataFrame, queries: DataFrame, k: int, nprobe: int, accept: DataFrame | None = None) -> DataFrame:
         """(qid, chunk_id, score, rank) within the probed lists and all that no list has yet. A query that a filter starves of k

@@ -118,3 +118,14 @@ def test_tables_of_the_queries_reach_python_in_bounded_batches(spark, tmp_path):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     assert Q.table(spark, str(tmp_path), "t").count() == 3
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+
+
+def test_an_index_has_a_file_for_each_list(spark, tmp_path):
+    from deepwell.plans import indexes
+
+    r = np.random.default_rng(6)
+    chunks = spark.createDataFrame([(i, f"w{i % 7} word", r.normal(size=4).tolist()) for i in range(400)], "chunk_id long, text string, embedding array<float>").repartition(4)
+    index = indexes.build(chunks, f"{tmp_path}/index", 4)
+    lists = list((tmp_path / "index/lists").glob("list_id=*"))
+    assert lists and all(len(list(p.glob("part*"))) == 1 for p in lists)
+    assert index._read("lengths").count() == 400 and index._read("postings").agg({"tf": "sum"}).first()[0] == 800
