@@ -124,8 +124,8 @@ class Rough:
         self.single = self.wide.astype(np.float32) if len(q) and self.norm.max() < 1e15 else None
         self.constant = (q * q).sum(1) if metric == "l2" else None
 
-    def add_to(self, top: Top, x: np.ndarray, keys: np.ndarray, present: np.ndarray | None = None) -> None:
-        """All rows of ``x``, of unit length for cosine. ``present``: which dimensions each has."""
+    def add_to(self, top: Top, x: np.ndarray, keys: np.ndarray, present: np.ndarray | None = None, more: Callable | None = None) -> None:
+        """All rows of ``x``, of unit length for cosine. ``present``: which dimensions each has. ``more``: (queries, rows) -> other numbers."""
         wide = np.concatenate([x, (x * x).sum(1)[:, None]], 1) if self.metric == "l2" else x
         far = np.nan_to_num(np.linalg.norm(wide, axis=1), nan=0, posinf=np.inf).max(initial=0)  # of the rows that have a score
         q, x_ = (self.single, wide.astype(np.float32)) if self.single is not None and far < 1e15 else (self.wide, wide)
@@ -139,7 +139,7 @@ class Rough:
             slack = (wide.shape[1] + 8) * unit_ * (self.norm[some] * far + (0 if self.constant is None else self.constant[some]))
             if present is not None and self.present is not None and (top.bound[some] <= slack + 2e-9).any():  # else no 0 passes
                 s[self.present[some] @ present.T == 0] = -np.inf
-            top.add(s, keys, lo, slack, lambda at, of: (self.pairs(at, x, of), np.zeros((0, 0))))
+            top.add(s, keys, lo, slack, lambda at, of: (self.pairs(at, x, of), more(at, of) if more else np.zeros((0, 0))))
 
     def exact(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
         q = self.q[at]

@@ -129,3 +129,46 @@ def test_an_index_has_a_file_for_each_list(spark, tmp_path):
     lists = list((tmp_path / "index/lists").glob("list_id=*"))
     assert lists and all(len(list(p.glob("part*"))) == 1 for p in lists)
     assert index._read("lengths").count() == 400 and index._read("postings").agg({"tf": "sum"}).first()[0] == 800
+
+
+def test_codes_are_searched_by_their_definition_in_many_tasks(spark, monkeypatch):
+    """Tables of distances are sums over subspaces; Spark joined the lists of small tables into few tasks, each with all their hits."""
+    from deepwell.operators import inverted
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(900, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "chunk_id long, embedding array<float>")
+    x = dense.unit(x.astype(np.float32).astype(float))
+    centroids, books = inverted.train_lists(df, 8, 900), inverted.train_codes(df, 8)
+    coded = inverted.encode(inverted.assign(df, centroids), books)
+    q = dense.unit(r.normal(size=(7, 8)))
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, vector array<double>")
+    code = {row.chunk_id: np.frombuffer(row.codes, np.uint8) for row in coded.collect()}
+    parts = q.reshape(7, len(books), -1)
+    s = np.array([[sum(p[i] @ books[i][code[j][i]] for i in range(len(books))) for j in range(900)] for p in parts])
+    near = np.argsort(-s, axis=1, kind="stable")[:, :36]
+    want = {(a, int(j)) for a in range(7) for j in sorted(near[a], key=lambda j: -(q[a] @ x[j]))[:4]}
+    assert {(row.qid, row.chunk_id) for row in inverted.code_top_k(coded, asked, centroids, books, 4, len(centroids)).collect()} == want
+    monkeypatch.setattr(inverted, "TASK_HITS", 100)  # what is kept from list to list leaves after every third query
+    assert {(row.qid, row.chunk_id) for row in inverted.code_top_k(coded, asked, centroids, books, 4, len(centroids)).collect()} == want
+    monkeypatch.undo()
+    members = dense.usable(coded, 8, "chunk_id", "embedding", "list_id", "codes").select("list_id", "key", "v", "codes")
+    met = inverted._met(members, inverted.probes(asked, centroids, 3), 1, 8, 40 << 20)
+    assert met.rdd.getNumPartitions() == 40
+    one = inverted._met(members, inverted.probes(asked, centroids, len(centroids)), 7, 8, 1).coalesce(1).sortWithinPartitions("list_id", "part", "kind")
+    assert one.mapInArrow(inverted._in_lists(4, 8, "cosine"), "qid long, key long, score double, exact double").count() == 28  # not for each list
+
+
+def test_distances_to_many_lists_are_held_in_blocks():
+    import tracemalloc
+
+    from deepwell.operators import inverted
+
+    r = np.random.default_rng(9)
+    x, c = r.normal(size=(10_000, 16)), r.normal(size=(1024, 16))
+    tracemalloc.start()
+    got = inverted.nearest(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20  # all distances at once are 80 MB
+    assert (got == [((c - v) ** 2).sum(1).argmin() for v in x]).all() and len(inverted.nearest(x[:0], c)) == 0
