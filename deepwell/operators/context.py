@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window as W
 
+from ..functions.text import estimate_tokens
+from ..sources.scratch import small, written
 from .chunking import estimate
 
 _U = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯฀-໿က-႟ក-៿"
@@ -187,17 +189,20 @@ def assemble(rows: list[dict], budget: Budget, near: dict[str, list[dict]] | Non
 
 def _shape(df: DataFrame, extra: list[str]) -> DataFrame:
     columns = [F.col(c).cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in _FIELDS.items()]
+    if "token_count" not in df.columns:  # of the chunks that were found, not of all
+        df, columns = df.withColumn("token_count", estimate_tokens(F.col("text"))), [F.col(c) if c == "token_count" else column for c, column in zip(_FIELDS, columns, strict=True)]
     return df.select("qid", *extra, *columns)
 
 
 def neighbors(hits: DataFrame, chunks: DataFrame, before: int, after: int) -> DataFrame:
     """(qid, neighbor_of, chunk columns): chunks of the same document and version up to so many places away.
 
-    Places are spelt out, so the join is on equal keys rather than a range.
+    Places are spelt out, so the join is on equal keys rather than a range. They are written, so few go to the chunks' tasks
+    and the texts stay there.
     """
     at = hits.select("qid", F.col("chunk_id").alias("neighbor_of"), "document_id", "document_version", "score", F.explode(F.sequence(F.col("chunk_index") - before, F.col("chunk_index") + after)).alias("place"), F.col("chunk_index").alias("own"))
     at = at.where("place <> own").select("qid", "neighbor_of", "score", "document_id", "document_version", F.col("place").alias("chunk_index"))
-    return at.join(chunks.drop("score"), ["document_id", "document_version", "chunk_index"])
+    return small(written(at, "places")).join(chunks.drop("score"), ["document_id", "document_version", "chunk_index"])
 
 
 def assemble_contexts(candidates: DataFrame, budget: Budget = Budget(), chunks: DataFrame | None = None, before: int = 0, after: int = 0) -> DataFrame:
@@ -205,9 +210,10 @@ def assemble_contexts(candidates: DataFrame, budget: Budget = Budget(), chunks:
 
     ``candidates``: (qid, rank, chunk_id, document_id, document_version, chunk_index, text, score) and, where known,
     token_count, title, section_path, page_number, uri. ``chunks`` is the table neighbors come from. Candidates
-    without text are passed over.
+    without text are passed over. They are written, as their neighbors are looked up too.
     """
-    rows = _shape(candidates.where("text IS NOT NULL"), ["rank"]).withColumn("neighbor_of", F.lit(None).cast("string"))
+    candidates = written(_shape(candidates, ["rank"]), "candidates")
+    rows = candidates.where("text IS NOT NULL").withColumn("neighbor_of", F.lit(None).cast("string"))
     if chunks is not None and (before or after):
         rows = rows.unionByName(_shape(neighbors(candidates, chunks, before, after).where("text IS NOT NULL").withColumn("rank", F.lit(0)), ["rank", "neighbor_of"]), allowMissingColumns=True)
     kind = candidates.schema["qid"].dataType.simpleString()

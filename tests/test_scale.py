@@ -172,3 +172,15 @@ def test_distances_to_many_lists_are_held_in_blocks():
     tracemalloc.stop()
     assert peak < 24 << 20  # all distances at once are 80 MB
     assert (got == [((c - v) ** 2).sum(1).argmin() for v in x]).all() and len(inverted.nearest(x[:0], c)) == 0
+
+
+def test_contexts_leave_the_texts_where_they_are(spark):
+    """Few hits go to the chunks; tokens are estimated of those that were found."""
+    from deepwell import queries as Q
+    from deepwell.operators import context
+
+    hits, chunks = Q._candidates(spark, "/root/testdata/sf0.001", 24)
+    assert "strategy=broadcast" in plan(hits) and "strategy=broadcast" in plan(Q._hits(spark, "/root/testdata/sf0.001", "doc_id"))
+    assert "strategy=broadcast" in plan(context.neighbors(hits, chunks, 1, 1)) and "token_count" not in chunks.columns
+    counts = {row.chunk_id: row.token_count for row in context._shape(hits, []).collect()}
+    assert all(counts[row.chunk_id] == context.estimate(row.text) for row in hits.collect())
