@@ -184,3 +184,11 @@ def test_contexts_leave_the_texts_where_they_are(spark):
     assert "strategy=broadcast" in plan(context.neighbors(hits, chunks, 1, 1)) and "token_count" not in chunks.columns
     counts = {row.chunk_id: row.token_count for row in context._shape(hits, []).collect()}
     assert all(counts[row.chunk_id] == context.estimate(row.text) for row in hits.collect())
+
+
+def test_subqueries_are_searched_once(spark, monkeypatch):
+    from deepwell import queries as Q
+
+    monkeypatch.setattr(Q, "_rounded", lambda df, *columns: df)
+    got = plan(Q.multi_query(spark, "/root/testdata/sf0.001"))
+    assert "MapInArrow" not in got and "_products" not in got and "scan(" not in got  # the search ran; its hits are read
