@@ -192,3 +192,22 @@ def test_subqueries_are_searched_once(spark, monkeypatch):
     monkeypatch.setattr(Q, "_rounded", lambda df, *columns: df)
     got = plan(Q.multi_query(spark, "/root/testdata/sf0.001"))
     assert "MapInArrow" not in got and "_products" not in got and "scan(" not in got  # the search ran; its hits are read
+
+
+def test_texts_meet_no_vector_and_vectors_without_a_text_are_found(spark, tmp_path, monkeypatch):
+    from deepwell import queries as Q
+
+    r = np.random.default_rng(10)
+    x = r.normal(size=(30, 64)).astype(np.float32)
+    spark.createDataFrame([(i, f"w{i % 5} word", "en" if i % 2 else "de", 9) for i in range(20)], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(25, "absent"), (3, "w3"), (99, "w1")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, top = [], lexical.bm25_top_k
+    monkeypatch.setattr(lexical, "bm25_top_k", lambda chunks, *rest: seen.append(plan(chunks)) or top(chunks, *rest))
+    u = dense.unit(x.astype(float))
+    got = {(row.qid, row.chunk_id) for row in Q.hybrid_search(spark, str(tmp_path)).collect()}
+    assert {c for q, c in got if q == 25} == set(np.argsort(-u @ u[25])[:10].tolist())  # 20 to 29 have no text
+    assert {c for q, c in got if q == 99} == {1, 6, 11, 16}
+    odd = {c for q, c in ((row.qid, row.chunk_id) for row in Q.hybrid_search_filtered(spark, str(tmp_path)).collect()) if q == 25}
+    assert odd == set(sorted(range(1, 20, 2), key=lambda i: -u[i] @ u[25])[:10])
+    assert len(seen) == 2 and not any("Join" in p for p in seen)
